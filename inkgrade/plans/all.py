@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from inkgrade.plans import relational  # noqa: F401
+from inkgrade.plans import relational, scores  # noqa: F401

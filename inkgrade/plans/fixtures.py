@@ -125,7 +125,7 @@ SELECT l_orderkey AS submission_id, count(*) AS n,
        CAST(sum(l_suppkey) AS BIGINT) AS s,
        CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d,
        CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS t,
-       CAST(sum(l_linenumber) AS BIGINT) AS l
+       CAST(sum(l_linenumber) AS BIGINT) AS l, min(l_partkey) AS part
 FROM {lineitem} GROUP BY l_orderkey
 """
 FIXTURES["ref_features"] = """
@@ -215,3 +215,58 @@ SELECT submission_id,
   || CASE submission_id % 10 WHEN 1 THEN ',"rows":[1,2,' || n || ']' ELSE '' END || '}}' AS json
 FROM {order_sums}
 """
+
+# ---------------------------------------------------------------- views of a drawing, one per line number (at most 7)
+FIXTURES["views"] = """
+SELECT l_orderkey AS drawing_id, l_linenumber AS seq, CAST(min(l_partkey % 900) AS INT) AS x1,
+       CAST(min((l_suppkey * 37) % 700) AS INT) AS y1,
+       CAST(max(l_partkey % 900 + 20 + l_quantity * 4) AS INT) AS x2,
+       CAST(max((l_suppkey * 37) % 700 + 20 + l_linenumber * 17 + l_partkey % 90) AS INT) AS y2,
+       CAST(sum(l_partkey) % 101 AS DOUBLE) / 100 AS diag_ratio,
+       CAST(sum(l_suppkey * 3) % 101 AS DOUBLE) / 100 AS hv_ratio,
+       CASE WHEN sum(l_partkey) % 101 > sum(l_suppkey * 3) % 101 + 12 THEN 'diag_dominant' ELSE 'hv_dominant' END AS view_type
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber
+"""
+FIXTURES["role_boxes"] = """
+SELECT drawing_id, seq, CASE seq WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
+       ELSE 'extra_' || (seq - 4) END AS role, x1, y1, x2, y2
+FROM {views}
+"""
+FIXTURES["role_wide"] = """
+SELECT drawing_id,
+  max(CASE WHEN seq = 1 THEN x1 END) AS fx1, max(CASE WHEN seq = 1 THEN y1 END) AS fy1, max(CASE WHEN seq = 1 THEN x2 END) AS fx2, max(CASE WHEN seq = 1 THEN y2 END) AS fy2,
+  max(CASE WHEN seq = 2 THEN x1 END) AS tx1, max(CASE WHEN seq = 2 THEN y1 END) AS ty1, max(CASE WHEN seq = 2 THEN x2 END) AS tx2, max(CASE WHEN seq = 2 THEN y2 END) AS ty2,
+  max(CASE WHEN seq = 3 THEN x1 END) AS sx1, max(CASE WHEN seq = 3 THEN y1 END) AS sy1, max(CASE WHEN seq = 3 THEN x2 END) AS sx2, max(CASE WHEN seq = 3 THEN y2 END) AS sy2,
+  CAST(sum(CASE WHEN seq <> 4 THEN 1 ELSE 0 END) AS INT) AS orthographic_count,
+  max(CASE WHEN seq = 4 THEN 1 ELSE 0 END) = 1 AS has_isometric,
+  CAST(sum(CASE WHEN seq > 4 THEN 1 ELSE 0 END) AS INT) AS extra_count
+FROM {views} GROUP BY drawing_id
+"""
+FIXTURES["hatch_measures"] = """
+SELECT l_orderkey AS drawing_id, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
+       ELSE 'extra_' || (l_linenumber - 4) END AS role,
+  CAST(sum(l_partkey) % 9 AS INT) AS line_count, CAST(sum(l_suppkey) % 101 AS DOUBLE) / 100 AS parallel_ratio,
+  CAST(sum(l_partkey) % 250 AS DOUBLE) / 100 AS length_ratio, CAST(sum(l_partkey * 3) % 450 AS DOUBLE) / 1000 AS coverage,
+  CAST(sum(l_suppkey) % 35 AS DOUBLE) / 2 AS angle_std,
+  CASE WHEN l_linenumber <> 3 THEN CAST(sum(l_suppkey) % 131 AS DOUBLE) / 100 END AS spacing_cv
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber
+"""
+FIXTURES["role_evidence"] = """
+SELECT l_orderkey AS drawing_id, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
+       ELSE 'extra_' || (l_linenumber - 4) END AS role,
+  CAST(sum(l_partkey) % 5 AS INT) AS text_count, CAST(sum(l_suppkey) % 4 AS INT) AS line_count,
+  CAST(sum(l_partkey + l_suppkey) % 3 AS INT) AS cluster_count, sum(l_partkey) % 3 > 0 AS visible,
+  CAST(sum(l_suppkey) % 3 AS INT) AS hidden_sequences,
+  CASE sum(l_partkey + l_suppkey) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'weak' ELSE 'strong' END AS center
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber
+"""
+FIXTURES["clean_facts"] = """
+SELECT submission_id AS drawing_id, CAST(p % 240 AS DOUBLE) AS sharpness, CAST(s % 150 AS DOUBLE) AS contrast,
+  CAST(q % 41 AS DOUBLE) / 1000 AS border_occ, CAST((p + q) % 241 AS DOUBLE) / 10000 AS stray_ratio, CAST(s % 7 AS INT) AS stray_count
+FROM {order_sums}
+"""
+FIXTURES["compliance_facts"] = """
+SELECT o.submission_id AS drawing_id, t.description, CAST(o.n % 5 AS INT) AS orthographic_count, o.q % 2 = 0 AS has_isometric,
+  CAST(o.p % 3 AS INT) AS detected, CAST(o.s % 4 AS INT) AS dim_roles
+FROM {order_sums} o JOIN {task_text} t ON t.task_id = o.part
+"""
