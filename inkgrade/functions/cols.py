@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def clip(value: Column, low, high) -> Column:
-    """Limit to [low, high]; null stays null (``least`` and ``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(value, F.lit(high))))
+    """Limit to [low, high]. Null is skipped by both functions and comes out as ``high``: callers guard
+    nullable inputs themselves, which keeps ``value`` single in the plan."""
+    return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 
 
 def clip01(value: Column) -> Column:

@@ -41,7 +41,7 @@ def score_placement(df: DataFrame) -> DataFrame:
     near = clip01(1.0 - shift / F.greatest("width", "height") / 0.12)
     quality = 0.50 * c("coverage") + 0.35 * near + 0.15 * c("angle_sim")
     return df.withColumn("shift_q", near).withColumn(
-        "placement", F.when(near.isNull(), 0).otherwise(points(quality * 6, 6)))
+        "placement", F.when(quality.isNull() | shift.isNull(), 0).otherwise(points(quality * 6, 6)))
 
 
 def dash_ratio(st="st_dash", et="et_dash"):
