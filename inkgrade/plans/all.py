@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from inkgrade.plans import relational, reports, scores  # noqa: F401
+from inkgrade.plans import relational, reports, scores, spatial  # noqa: F401

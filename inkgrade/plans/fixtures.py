@@ -270,3 +270,84 @@ SELECT o.submission_id AS drawing_id, t.description, CAST(o.n % 5 AS INT) AS ort
   CAST(o.p % 3 AS INT) AS detected, CAST(o.s % 4 AS INT) AS dim_roles
 FROM {order_sums} o JOIN {task_text} t ON t.task_id = o.part
 """
+
+# ---------------------------------------------------------------- boxes, components and pages
+FIXTURES["boxes"] = """
+SELECT l_orderkey AS drawing_id, (l_partkey * 8 + l_linenumber) * 1048576 + l_suppkey AS seq,
+       CAST(l_partkey % 900 AS INT) AS x1, CAST((l_suppkey * 37) % 700 AS INT) AS y1,
+       CAST(l_partkey % 900 + 20 + l_quantity * 4 AS INT) AS x2,
+       CAST((l_suppkey * 37) % 700 + 20 + l_linenumber * 17 + l_partkey % 90 AS INT) AS y2
+FROM {lineitem}
+"""
+FIXTURES["band_boxes"] = """
+SELECT l_orderkey AS drawing_id, CAST(l_linenumber % 2 AS INT) AS band, (l_partkey * 8 + l_linenumber) * 1048576 + l_suppkey AS seq,
+       CASE WHEN l_partkey % 2 = 0 THEN 'text' ELSE 'line' END AS kind, CAST(l_quantity AS INT) AS area,
+       CAST(l_partkey % 300 AS INT) AS x1, CAST((l_suppkey * 37) % 120 AS INT) AS y1,
+       CAST(l_partkey % 300 + 10 + l_quantity AS INT) AS x2, CAST((l_suppkey * 37) % 120 + 6 + l_linenumber * 3 AS INT) AS y2
+FROM {lineitem}
+"""
+FIXTURES["components"] = """
+SELECT l_orderkey AS drawing_id, (l_partkey * 8 + l_linenumber) * 1048576 + l_suppkey AS seq,
+       CAST(l_partkey % 900 AS INT) AS x, CAST((l_suppkey * 37) % 700 AS INT) AS y,
+       CAST(1 + CAST(l_quantity AS INT) % 60 AS INT) AS w, CAST(1 + l_partkey % 60 AS INT) AS h,
+       CAST(1 + floor((1 + CAST(l_quantity AS INT) % 60) * (1 + l_partkey % 60) * (l_suppkey % 10 + 1) / 12) AS INT) AS area,
+       CAST((l_suppkey * 7 + l_partkey) % 180 AS DOUBLE) AS angle, 1.0 + CAST(l_partkey % 30 AS DOUBLE) / 10 AS aspect,
+       CAST(8 + l_orderkey % 40 AS INT) AS gap
+FROM {lineitem}
+"""
+FIXTURES["page_components"] = """
+SELECT k.drawing_id, k.seq, k.x, k.y, k.w * 12 AS w, k.h * 10 AS h, k.area * 3 AS area, d.w AS page_w, d.h AS page_h,
+       CAST(200 + k.gap * 4 AS INT) AS region_w, CAST(150 + k.gap * 3 AS INT) AS region_h, CAST(10 + k.gap AS INT) AS base
+FROM {components} k JOIN {drawing_dims} d ON d.drawing_id = k.drawing_id
+"""
+FIXTURES["drawing_dims"] = """
+SELECT o_orderkey AS drawing_id, CAST(1100 + o_custkey % 300 AS INT) AS w, CAST(900 + o_custkey % 200 AS INT) AS h FROM {orders}
+"""
+FIXTURES["zones"] = """
+SELECT drawing_id, 12 AS zx1, 12 AS zy1, w - 12 AS zx2, h - 12 AS zy2 FROM {drawing_dims}
+"""
+FIXTURES["titles"] = """
+SELECT drawing_id, w - 100 - w % 7 * 60 AS x1, h - 60 - h % 5 * 50 AS y1, w - 10 AS x2, h - 10 AS y2 FROM {drawing_dims} WHERE w % 3 <> 0
+"""
+FIXTURES["title_candidates"] = """
+SELECT v.drawing_id, v.seq, v.x1 + 200 AS x1, v.y1 + 150 AS y1, v.x2 + 250 AS x2, v.y2 + 150 AS y2, d.w, d.h,
+       v.diag_ratio AS hv_fill, v.hv_ratio / 5 AS fill_ratio
+FROM {views} v JOIN {drawing_dims} d ON d.drawing_id = v.drawing_id
+"""
+FIXTURES["ink_boxes"] = """
+SELECT b.drawing_id, b.seq, b.x1, b.y1, b.x2, b.y2, CAST((b.x2 - b.x1) * (b.y2 - b.y1) * (b.seq % 7 + 1) / 16 AS INT) AS area,
+       CAST(b.seq % 11 AS DOUBLE) / 200 AS fill_ratio
+FROM {boxes} b
+"""
+FIXTURES["visible_candidates"] = """
+SELECT v.drawing_id, v.seq, v.diag_ratio * 0.5 AS long_diag_ratio, v.diag_ratio, CAST((v.x2 - v.x1) * (v.y2 - v.y1) AS DOUBLE) / (d.w * d.h) AS area_ratio, v.hv_ratio AS density
+FROM {views} v JOIN {drawing_dims} d ON d.drawing_id = v.drawing_id
+"""
+FIXTURES["cuts"] = """
+SELECT drawing_id, w, CAST(floor(h * 52 / 100) AS INT) AS ycut, 0 AS k FROM {drawing_dims} UNION ALL
+SELECT drawing_id, w, CAST(floor(h * 58 / 100) AS INT), 1 FROM {drawing_dims} UNION ALL
+SELECT drawing_id, w, CAST(floor(h * 64 / 100) AS INT), 2 FROM {drawing_dims} UNION ALL
+SELECT drawing_id, w, CAST(floor(h * 70 / 100) AS INT), 3 FROM {drawing_dims}
+"""
+FIXTURES["cut_boxes"] = """
+SELECT v.drawing_id, c.ycut, v.x1, v.y1, v.x2, v.y2 FROM {views} v JOIN {cuts} c ON c.drawing_id = v.drawing_id AND c.k = v.seq % 4
+"""
+FIXTURES["projection_features"] = """
+SELECT v.drawing_id, v.seq, v.x2 - v.x1 AS bw, v.y2 - v.y1 AS bh, CAST((v.x2 - v.x1) * (v.y2 - v.y1) / 4 AS INT) AS area,
+       v.diag_ratio * 0.6 AS hvs, v.hv_ratio AS hvl, CAST(v.x1 AS DOUBLE) AS hv_len, CAST(v.y1 AS DOUBLE) AS diag_len,
+       120 AS min_w, 110 AS min_h, 2500 AS min_area, d.w, d.h
+FROM {views} v JOIN {drawing_dims} d ON d.drawing_id = v.drawing_id
+"""
+FIXTURES["role_clusters"] = """
+SELECT r.drawing_id, r.role, r.x1 - 60 + CAST(k.x % 300 AS INT) AS x1, r.y1 - 50 + CAST(k.y % 250 AS INT) AS y1,
+       r.x1 - 60 + CAST(k.x % 300 AS INT) + k.w AS x2, r.y1 - 50 + CAST(k.y % 250 AS INT) + k.h AS y2,
+       k.area % 3 AS text_count, k.h % 3 AS line_count
+FROM {role_boxes} r JOIN {components} k ON k.drawing_id = r.drawing_id AND k.seq % 7 + 1 = r.seq
+"""
+FIXTURES["regions"] = """
+SELECT drawing_id, CAST(seq % 4 AS INT) AS region_id, CAST(sum(area) AS INT) AS area FROM {components} GROUP BY drawing_id, CAST(seq % 4 AS INT)
+"""
+FIXTURES["region_ink"] = """
+SELECT l_orderkey AS drawing_id, CAST(((l_partkey * 8 + l_linenumber) * 1048576 + l_suppkey) % 4 AS INT) AS region_id, x
+FROM {lineitem} <<LATERAL VIEW explode(sequence(1, CAST(l_quantity AS INT))) e AS x|, unnest(range(1, CAST(l_quantity AS INT) + 1)) AS e(x)>>
+"""
