@@ -16,15 +16,13 @@ def raw_angle(x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
 
 
 def mod180(angle: Column) -> Column:
-    """Undirected angle in [0, 180) of an angle in [-180, 180]."""
-    return F.when(angle < 0, F.when(angle <= -180, 0.0).otherwise(angle + 180.0)).otherwise(
-        F.when(angle >= 180, 0.0).otherwise(angle))
+    """Undirected angle in [0, 180)."""
+    return F.pmod(angle, F.lit(180.0))
 
 
 def acute(angle: Column) -> Column:
-    """Angle to the horizontal in [0, 90]."""
-    a = F.abs(angle)
-    return F.when(a > 90, 180.0 - a).otherwise(a)
+    """Angle to the horizontal in [0, 90] of an angle in [-180, 180]."""
+    return F.least(F.abs(angle), 180.0 - F.abs(angle))
 
 
 def skew_fold(angle: Column) -> Column:

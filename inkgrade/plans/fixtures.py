@@ -351,3 +351,35 @@ FIXTURES["region_ink"] = """
 SELECT l_orderkey AS drawing_id, CAST(((l_partkey * 8 + l_linenumber) * 1048576 + l_suppkey) % 4 AS INT) AS region_id, x
 FROM {lineitem} <<LATERAL VIEW explode(sequence(1, CAST(l_quantity AS INT))) e AS x|, unnest(range(1, CAST(l_quantity AS INT) + 1)) AS e(x)>>
 """
+
+# ---------------------------------------------------------------- segments and profiles
+FIXTURES["segments"] = """
+SELECT b.drawing_id, CASE b.seq % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'top' ELSE 'side' END AS role, b.seq, b.x1, b.y1,
+       b.x1 + CAST(b.seq % 201 AS INT) - 100 AS x2, b.y1 + CAST(b.seq % 197 AS INT) - 98 AS y2, d.w, d.h
+FROM {boxes} b JOIN {drawing_dims} d ON d.drawing_id = b.drawing_id
+"""
+FIXTURES["hatch_segments"] = """
+SELECT l_suppkey AS drawing_id, CAST(l_partkey % 500 AS INT) AS x1, CAST((l_orderkey * 7) % 400 AS INT) AS y1,
+       CAST(l_partkey % 500 + 8 + l_quantity AS INT) AS x2,
+       CAST((l_orderkey * 7) % 400 + CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END * (8 + floor(l_quantity * (1 + l_suppkey % 3) / 2)) AS INT) AS y2, 600 AS w, 500 AS h
+FROM {lineitem}
+"""
+FIXTURES["dash_segments"] = """
+SELECT drawing_id, role, CASE WHEN across THEN a ELSE k END AS x1, CASE WHEN across THEN k ELSE a END AS y1,
+       CASE WHEN across THEN a + len ELSE k + 1 END AS x2, CASE WHEN across THEN k ELSE a + len END AS y2, 600 AS w, 600 AS h, 26 AS base
+FROM (SELECT l_suppkey AS drawing_id, CASE l_linenumber % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'top' ELSE 'side' END AS role,
+        l_partkey % 2 = 0 AS across, CAST((l_partkey % 6) * 70 + 60 + l_linenumber AS INT) AS k, CAST((l_orderkey * 13) % 560 AS INT) AS a,
+        CAST(20 + l_quantity AS INT) AS len FROM {lineitem}) s
+"""
+FIXTURES["dash_views"] = """
+SELECT drawing_id, role, 600 AS w, 600 AS h FROM {dash_segments} GROUP BY drawing_id, role
+"""
+FIXTURES["profile_counts"] = """
+SELECT user_id AS profile_id, CAST(event_id % 64 AS INT) AS pos, CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) AS val
+FROM {events} GROUP BY user_id, CAST(event_id % 64 AS INT)
+"""
+FIXTURES["profiles"] = """
+SELECT p.profile_id, CAST(p.pos AS INT) AS pos, coalesce(c.val, CAST(0 AS DOUBLE)) AS val
+FROM (SELECT profile_id, <<explode(sequence(0, 63))|unnest(range(64))>> AS pos FROM {profile_counts} GROUP BY profile_id) p
+LEFT JOIN {profile_counts} c ON c.profile_id = p.profile_id AND c.pos = p.pos
+"""

@@ -129,9 +129,9 @@ def _(t):
 @query("pick_isometric", f"""WITH far AS (SELECT a.drawing_id, a.seq, avg(sqrt(((a.x1 + a.x2 - b.x1 - b.x2) / 2.0) ** 2 + ((a.y1 + a.y2 - b.y1 - b.y2) / 2.0) ** 2)) AS far FROM {{views}} a JOIN {{views}} b ON a.drawing_id = b.drawing_id AND a.seq <> b.seq GROUP BY ALL),
 s AS (SELECT a.drawing_id, a.seq, a.diag_ratio, a.view_type, 1.6 * (a.diag_ratio - a.hv_ratio) + 0.9 * ({area('a')} / ((z.zx2 - z.zx1) * (z.zy2 - z.zy1))) + 0.6 * (coalesce(f.far, 0) / (greatest(z.zx2 - z.zx1, z.zy2 - z.zy1) + 1e-6))
   + CASE WHEN a.view_type = 'diag_dominant' THEN 0.35 ELSE 0 END AS score FROM {{views}} a LEFT JOIN far f ON f.drawing_id = a.drawing_id AND f.seq = a.seq JOIN {{zones}} z ON z.drawing_id = a.drawing_id)
-SELECT drawing_id, seq, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY score DESC, seq) AS k FROM s) WHERE k = 1 AND (diag_ratio >= 0.12 OR view_type = 'diag_dominant')""")
+SELECT drawing_id, seq, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY score DESC, seq) AS k FROM s) WHERE k = 1 AND (diag_ratio >= 0.12 OR view_type = 'diag_dominant')""")
 def _(t):
-    return B.pick_isometric(t.views, t.zones).select("drawing_id", "seq", F.round("score", 6).alias("score"))
+    return B.pick_isometric(t.views, t.zones).select("drawing_id", "seq", F.round("score", 4).alias("score"))
 
 
 def _front_sql(views):
