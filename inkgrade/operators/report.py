@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgrade.functions.cols import ladder, messages
 from inkgrade.functions.text import band_label, grade_label, safe_text
-from inkgrade.operators import rubric_ref as ref
+from inkgrade.operators import rubric_free as free, rubric_ref as ref
+from inkgrade.operators.boxes import resolve_roles
 
 c = F.col
 
@@ -202,3 +203,60 @@ def evaluate_etalon_batch(features: DataFrame, hatch_features: DataFrame) -> Dat
     return rows.select(
         "submission_id", *[key for _, key, _, _ in ref.CRITERIA], total.alias("total_score"),
         grade_label(total).alias("grade_label"), table.alias("table_json"))
+
+
+# ---- whole stand-alone rubric -------------------------------------------------------------------
+def role_summary(roles: DataFrame) -> DataFrame:
+    """One row per drawing: front, top and side boxes, and how many views of each sort."""
+    at = lambda r: F.max(F.when(c("role") == r, F.struct("x1", "y1", "x2", "y2"))).alias(r)
+    return roles.groupBy("drawing_id").agg(
+        at("front"), at("top"), at("side"), F.count("*").alias("projection_count"),
+        F.count_if(c("role") != "isometric").alias("orthographic_count"),
+        F.coalesce(F.max(c("role") == "isometric"), F.lit(False)).alias("has_isometric"),
+        F.count_if(c("role").startswith("extra_")).alias("extra_count"))
+
+
+def evaluate_optional_batch(views, zones, titles, measures, evidence, clean, text) -> DataFrame:
+    """All six modules, totals, grade, confidence and messages for every drawing.
+
+    ``measures`` and ``evidence`` hold one row per (drawing_id, seq) view, ``clean`` one row per
+    drawing and ``text`` its task description. Everything is keyed by drawing, so the joins share one
+    partitioning, and the report is built from the joined row without going back to module rows.
+    """
+    roles = resolve_roles(views, zones)
+    summary = role_summary(roles).join(largest_shares(views), "drawing_id").join(
+        titles.select("drawing_id", F.lit(True).alias("title_found")), "drawing_id", "left").withColumn(
+        "title_found", F.coalesce("title_found", F.lit(False)))
+    named = roles.select("drawing_id", "seq", "role")
+    hatch = free.hatch_candidate_rows(
+        named.select("drawing_id", "role"), free.hatch_quality(named.join(measures, ["drawing_id", "seq"])))
+    seen = named.join(evidence, ["drawing_id", "seq"])
+    flat = c("role") != "isometric"
+    main = c("role").isin("front", "top", "side")
+    counted = seen.select("drawing_id", *[F.when(flat, c(n)).otherwise(0).alias(n) for n in ("text_count", "line_count", "cluster_count")])
+    lined = seen.select("drawing_id", (main & c("visible")).alias("visible"), F.when(main, c("hidden_sequences")).otherwise(0).alias("hidden_sequences"),
+                        F.when(main, c("center")).otherwise("none").alias("center"))
+
+    def module(df, i, *more):
+        return df.select("drawing_id", c("score").alias(f"s{i}"), c("errors").alias(f"e{i}"), c("warnings").alias(f"w{i}"), *more)
+
+    dims = free.score_dimensions(counted)
+    rows = (
+        module(free.score_completeness(summary), 1, "projection_count", "orthographic_count", "has_isometric", "title_found", "largest_share")
+        .join(module(free.score_hatching(hatch), 2, "detected"), "drawing_id")
+        .join(module(dims, 3, c("roles").alias("dim_roles")), "drawing_id")
+        .join(module(free.score_line_semantics(lined), 4), "drawing_id")
+        .join(module(free.score_cleanliness_free(clean), 5), "drawing_id")
+        .join(text.select("drawing_id", "description"), "drawing_id", "left"))
+    rows = free.score_task_compliance(free.with_requirements(rows)).withColumnsRenamed({"score": "s6", "errors": "e6", "warnings": "w6"})
+    rows = layout_reliability(rows).withColumnRenamed("warnings", "w7")
+    tops = [top for *_, top in free.MODULES]
+    raw = reduce(Column.__add__, [c(f"s{i}") for i in range(1, 7)])
+    merged = lambda kind, last: F.array_distinct(F.concat(*[c(f"{kind}{i}") for i in range(1, last + 1)]))
+    notes = messages(*[(c(f"s{i}") / float(top) < bound, text) for i, (top, (_, bound, text)) in enumerate(zip(tops, FEEDBACK), 1)])
+    out = rows.select(
+        "drawing_id", *[c(f"s{i}").cast("int").alias(key) for i, key, *_ in free.MODULES], raw.cast("int").alias("raw_total"),
+        F.rint(raw / float(sum(tops)) * 100).cast("int").alias("final_score_100"), "confidence_score", "confidence_label",
+        merged("e", 6).alias("errors"), merged("w", 7).alias("warnings"),
+        F.when(F.size(notes) == 0, F.array(F.lit(ALL_GOOD))).otherwise(notes).alias("feedback"))
+    return out.withColumn("grade_label", band_label(c("final_score_100")))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from inkgrade.plans import lines, relational, reports, scores, spatial  # noqa: F401
+from inkgrade.plans import lines, masks, relational, reports, scores, spatial  # noqa: F401

@@ -243,7 +243,7 @@ SELECT drawing_id,
 FROM {views} GROUP BY drawing_id
 """
 FIXTURES["hatch_measures"] = """
-SELECT l_orderkey AS drawing_id, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
+SELECT l_orderkey AS drawing_id, l_linenumber AS seq, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
        ELSE 'extra_' || (l_linenumber - 4) END AS role,
   CAST(sum(l_partkey) % 9 AS INT) AS line_count, CAST(sum(l_suppkey) % 101 AS DOUBLE) / 100 AS parallel_ratio,
   CAST(sum(l_partkey) % 250 AS DOUBLE) / 100 AS length_ratio, CAST(sum(l_partkey * 3) % 450 AS DOUBLE) / 1000 AS coverage,
@@ -252,7 +252,7 @@ SELECT l_orderkey AS drawing_id, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 TH
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
 FIXTURES["role_evidence"] = """
-SELECT l_orderkey AS drawing_id, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
+SELECT l_orderkey AS drawing_id, l_linenumber AS seq, CASE l_linenumber WHEN 1 THEN 'front' WHEN 2 THEN 'top' WHEN 3 THEN 'side' WHEN 4 THEN 'isometric'
        ELSE 'extra_' || (l_linenumber - 4) END AS role,
   CAST(sum(l_partkey) % 5 AS INT) AS text_count, CAST(sum(l_suppkey) % 4 AS INT) AS line_count,
   CAST(sum(l_partkey + l_suppkey) % 3 AS INT) AS cluster_count, sum(l_partkey) % 3 > 0 AS visible,
@@ -266,7 +266,7 @@ SELECT submission_id AS drawing_id, CAST(p % 240 AS DOUBLE) AS sharpness, CAST(s
 FROM {order_sums}
 """
 FIXTURES["compliance_facts"] = """
-SELECT o.submission_id AS drawing_id, t.description, CAST(o.n % 5 AS INT) AS orthographic_count, o.q % 2 = 0 AS has_isometric,
+SELECT o.submission_id AS drawing_id, t.description, o.part, CAST(o.n % 5 AS INT) AS orthographic_count, o.q % 2 = 0 AS has_isometric,
   CAST(o.p % 3 AS INT) AS detected, CAST(o.s % 4 AS INT) AS dim_roles
 FROM {order_sums} o JOIN {task_text} t ON t.task_id = o.part
 """
@@ -383,3 +383,36 @@ SELECT p.profile_id, CAST(p.pos AS INT) AS pos, coalesce(c.val, CAST(0 AS DOUBLE
 FROM (SELECT profile_id, <<explode(sequence(0, 63))|unnest(range(64))>> AS pos FROM {profile_counts} GROUP BY profile_id) p
 LEFT JOIN {profile_counts} c ON c.profile_id = p.profile_id AND c.pos = p.pos
 """
+
+# ---------------------------------------------------------------- masks
+FIXTURES["pixels8"] = """
+SELECT vec_id AS mask_id, CAST(floor(p / 8) AS INT) AS y, CAST(p % 8 AS INT) AS x,
+       CASE WHEN v > 0 THEN CAST(254 - floor(v * 100) AS INT) ELSE 255 END AS v
+FROM <<{embeddings} LATERAL VIEW posexplode(embedding) e AS p, v|(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM {embeddings}) e>>
+"""
+FIXTURES["cells8"] = "SELECT mask_id, y, x FROM {pixels8} WHERE v < 255"
+FIXTURES["dark8"] = "SELECT mask_id, y, x FROM {pixels8} WHERE v < 244"
+FIXTURES["core8"] = "SELECT CAST(floor(mask_id / 2) AS BIGINT) AS mask_id, y, x FROM {pixels8} WHERE v < 233 AND mask_id % 2 = 0"
+FIXTURES["dims8"] = "SELECT vec_id AS mask_id, 8 AS h, 8 AS w FROM {embeddings}"
+FIXTURES["ref8"] = "SELECT CAST(floor(mask_id / 2) AS BIGINT) AS mask_id, y, x FROM {cells8} WHERE mask_id % 2 = 0"
+FIXTURES["stu8"] = "SELECT CAST(floor(mask_id / 2) AS BIGINT) AS mask_id, y, x FROM {cells8} WHERE mask_id % 2 = 1"
+FIXTURES["pair_dims8"] = "SELECT CAST(floor(vec_id / 2) AS BIGINT) AS mask_id, max(8) AS h, max(8) AS w FROM {embeddings} GROUP BY CAST(floor(vec_id / 2) AS BIGINT)"
+FIXTURES["pixels48"] = """
+SELECT l_suppkey AS mask_id, l_linestatus AS side, CAST(l_partkey % 48 AS INT) AS y, CAST((l_orderkey * 7 + l_linenumber) % 48 AS INT) AS x
+FROM {lineitem} GROUP BY l_suppkey, l_linestatus, CAST(l_partkey % 48 AS INT), CAST((l_orderkey * 7 + l_linenumber) % 48 AS INT)
+"""
+FIXTURES["ref48"] = "SELECT mask_id, y, x FROM {pixels48} WHERE side = 'F'"
+FIXTURES["stu48"] = "SELECT mask_id, y, x FROM {pixels48} WHERE side = 'O'"
+FIXTURES["all48"] = "SELECT DISTINCT mask_id, y, x FROM {pixels48}"
+FIXTURES["dims48"] = "SELECT s_suppkey AS mask_id, 48 AS h, 48 AS w FROM {supplier}"
+FIXTURES["mask_boxes"] = """
+SELECT l_suppkey AS mask_id, CAST(l_linenumber * 5 AS INT) AS x1, CAST(min(l_partkey % 40) AS INT) AS y1,
+       CAST(l_linenumber * 5 + 4 AS INT) AS x2, CAST(min(l_partkey % 40) + 6 AS INT) AS y2
+FROM {lineitem} GROUP BY l_suppkey, l_linenumber
+"""
+FIXTURES["stroke_values"] = """
+SELECT l_suppkey AS mask_id, CAST(l_quantity AS INT) % 9 + CAST(l_linenumber AS DOUBLE) / 4 AS value FROM {lineitem}
+"""
+FIXTURES["two_fills"] = """
+SELECT submission_id AS mask_id, CAST(p % 401 AS DOUBLE) / 1000 AS fill1, CAST(s % 401 AS DOUBLE) / 1000 AS fill2 FROM {order_sums}
+"""

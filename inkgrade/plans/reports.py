@@ -153,3 +153,38 @@ b AS (SELECT *, round_even(frame + placement + line_types + dimension_marks + pr
 SELECT *, CASE WHEN total_score >= 86 THEN 'A''lo' WHEN total_score >= 71 THEN 'Yaxshi' WHEN total_score >= 56 THEN 'Qoniqarli' ELSE 'Qoniqarsiz' END AS grade_label FROM b""")
 def _(t):
     return report.evaluate_etalon_batch(t.ref_features, t.hatch_features).drop("table_json")
+
+
+_X = "greatest(least(f.{b}, o.{b}) - greatest(f.{a}, o.{a}), 0) / greatest(1, least(f.{b} - f.{a}, o.{b} - o.{a})) >= 0.18"
+
+
+@query("evaluate_optional_batch", """WITH r AS (SELECT v.*, r.role FROM {views} v JOIN {resolve_roles} r USING (drawing_id, seq)),
+n AS (SELECT drawing_id, count(*) AS views, count(*) FILTER (role <> 'isometric') AS orth, coalesce(bool_or(role = 'isometric'), false) AS iso, count(*) FILTER (role IN ('front', 'top', 'side')) AS named FROM r GROUP BY drawing_id),
+a AS (SELECT f.drawing_id, sum(CASE WHEN o.role = 'top' THEN (o.y1 + o.y2 > f.y1 + f.y2)::INT + (""" + _X.format(a="x1", b="x2") + """)::INT ELSE (abs(o.x1 + o.x2 - f.x1 - f.x2) > 10)::INT + (""" + _X.format(a="y1", b="y2") + """)::INT END) AS arr
+  FROM r f JOIN r o ON o.drawing_id = f.drawing_id AND o.role IN ('top', 'side') WHERE f.role = 'front' GROUP BY f.drawing_id),
+h AS (SELECT r.drawing_id, r.role, q.quality, q.present, m.angle_std, m.spacing_cv, m.coverage, m.parallel_ratio, CASE r.role WHEN 'front' THEN 1 WHEN 'top' THEN 2 WHEN 'side' THEN 3 WHEN 'isometric' THEN 4 ELSE 4 + CAST(r.role[7:] AS INT) END AS ord
+  FROM r JOIN {hatch_measures} m USING (drawing_id, seq) JOIN {hatch_quality} q ON q.drawing_id = m.drawing_id AND q.role = m.role),
+hb AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY quality DESC, ord) AS k FROM h WHERE present),
+hs AS (SELECT drawing_id, least(10, CASE WHEN quality >= 0.55 THEN 3 WHEN quality >= 0.35 THEN 2 ELSE 1 END + CASE WHEN angle_std <= 3.5 THEN 3 WHEN angle_std <= 6.5 THEN 2 WHEN angle_std <= 10 THEN 1 ELSE 0 END
+  + CASE WHEN spacing_cv IS NULL THEN 1 WHEN spacing_cv <= 0.35 THEN 2 WHEN spacing_cv <= 0.70 THEN 1 ELSE 0 END + (coverage BETWEEN 0.004 AND 0.24)::INT + (parallel_ratio >= 0.70)::INT) AS s FROM hb WHERE k = 1),
+hd AS (SELECT drawing_id, count(*) FILTER (present) AS detected FROM h GROUP BY drawing_id),
+d AS (SELECT r.drawing_id, count(*) FILTER (role <> 'isometric' AND (cluster_count > 0 OR (text_count >= 2 AND line_count >= 2))) AS roles, coalesce(sum(text_count) FILTER (role <> 'isometric'), 0) AS t,
+  coalesce(sum(line_count) FILTER (role <> 'isometric'), 0) AS l, coalesce(sum(cluster_count) FILTER (role <> 'isometric'), 0) AS k,
+  count(*) FILTER (role IN ('front', 'top', 'side') AND visible) AS v, count(*) FILTER (role IN ('front', 'top', 'side') AND hidden_sequences >= 1) AS h, coalesce(sum(hidden_sequences) FILTER (role IN ('front', 'top', 'side')), 0) AS q,
+  count(*) FILTER (role IN ('front', 'top', 'side') AND center <> 'none') AS m, count(*) FILTER (role IN ('front', 'top', 'side') AND center = 'strong') AS s
+  FROM r JOIN (SELECT drawing_id, seq, text_count, line_count, cluster_count, visible, hidden_sequences, center FROM {role_evidence}) e USING (drawing_id, seq) GROUP BY r.drawing_id),
+x AS (SELECT drawing_id, max((x2 - x1) * (y2 - y1)) / sum((x2 - x1) * (y2 - y1)) AS share FROM {views} GROUP BY drawing_id),
+z AS (SELECT n.drawing_id, CASE WHEN orth >= 3 THEN 6 WHEN orth = 2 THEN 4 WHEN orth = 1 THEN 2 ELSE 0 END + CASE WHEN iso THEN 2 ELSE 0 END + named + coalesce(a.arr, 0) AS s1, coalesce(hs.s, 0) AS s2,
+  least(15, CASE WHEN roles >= 3 THEN 6 WHEN roles = 2 THEN 4 WHEN roles = 1 THEN 2 ELSE 0 END + CASE WHEN t >= 8 THEN 4 WHEN t >= 5 THEN 3 WHEN t >= 3 THEN 2 WHEN t >= 1 THEN 1 ELSE 0 END
+    + CASE WHEN l + 2 * k >= 12 THEN 3 WHEN l + 2 * k >= 7 THEN 2 WHEN l + 2 * k >= 3 THEN 1 ELSE 0 END + CASE WHEN k > 0 THEN 2 ELSE 0 END) AS s3,
+  least(15, CASE WHEN v >= 3 THEN 5 WHEN v = 2 THEN 3 WHEN v = 1 THEN 1 ELSE 0 END + CASE WHEN h >= 2 OR q >= 3 THEN 4 WHEN h = 1 AND q >= 1 THEN 2 ELSE 0 END + CASE WHEN d.s >= 1 THEN 3 WHEN m >= 1 THEN 2 ELSE 0 END
+    + CASE WHEN v >= 3 AND h >= 1 AND m >= 1 THEN 3 WHEN v >= 2 AND (h >= 1 OR m >= 1) THEN 2 WHEN v >= 1 THEN 1 ELSE 0 END) AS s4, cf.score AS s5,
+  least(10, CASE WHEN orth >= required_views THEN 4 WHEN orth = required_views - 1 THEN 2 ELSE 0 END + CASE WHEN requires_isometric AND NOT iso THEN 0 ELSE 2 END + CASE WHEN requires_section AND hd.detected = 0 THEN 0 ELSE 2 END + least(roles, 2)) AS s6,
+  round_even(greatest(0, 1.0::DOUBLE - (views <= 1)::INT * 0.35 - (views >= 6)::INT * 0.20 - (orth = 0)::INT * 0.35 - (orth > 3)::INT * 0.15 - (NOT iso)::INT * 0.10 - (tt.drawing_id IS NULL)::INT * 0.05 - (share >= 0.72)::INT * 0.20), 4) AS confidence_score
+  FROM n LEFT JOIN a USING (drawing_id) LEFT JOIN hs USING (drawing_id) JOIN hd USING (drawing_id) JOIN d USING (drawing_id) JOIN x USING (drawing_id) JOIN {score_cleanliness_free} cf USING (drawing_id)
+  JOIN {compliance_facts} p USING (drawing_id) JOIN {task_requirements} q2 ON q2.task_id = p.part LEFT JOIN {titles} tt ON tt.drawing_id = n.drawing_id)
+SELECT drawing_id, s1::INT AS completeness_arrangement, s2::INT AS section_hatching, s3::INT AS dimensions, s4::INT AS line_semantics, s5::INT AS cleanliness, s6::INT AS task_compliance, (s1 + s2 + s3 + s4 + s5 + s6)::INT AS raw_total,
+  round_even((s1 + s2 + s3 + s4 + s5 + s6) / 75 * 100, 0)::INT AS final_score_100, confidence_score FROM z""")
+def _(t):
+    out = report.evaluate_optional_batch(t.views, t.zones, t.titles, t.hatch_measures.drop("role"), t.role_evidence.drop("role"), t.clean_facts, t.compliance_facts)
+    return out.drop("errors", "warnings", "feedback", "confidence_label", "grade_label")
