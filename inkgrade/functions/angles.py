@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -47,3 +49,27 @@ def nearest_angle(angle: Column, allowed=(45.0, 60.0, 120.0, 135.0)) -> Column:
 def cosine_sim(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
+
+
+# Comparing slopes instead of angles saves an arc tangent per test. Segments have whole-number ends, so
+# no slope equals the tangent of one of the bounds in use, and both forms agree.
+def _rise_run(x1="x1", y1="y1", x2="x2", y2="y2"):
+    return F.abs(F.col(y2) - F.col(y1)), F.abs(F.col(x2) - F.col(x1))
+
+
+def flat(degrees: float) -> Column:
+    """Within ``degrees`` of the horizontal."""
+    rise, run = _rise_run()
+    return rise <= run * math.tan(math.radians(degrees))
+
+
+def steep(degrees: float) -> Column:
+    """At least ``degrees`` from the horizontal."""
+    rise, run = _rise_run()
+    return (run <= rise * math.tan(math.radians(90 - degrees))) & (rise > 0)
+
+
+def slanted(low: float, high: float) -> Column:
+    """Between ``low`` and ``high`` degrees from the horizontal."""
+    rise, run = _rise_run()
+    return (rise >= run * math.tan(math.radians(low))) & (rise <= run * math.tan(math.radians(high))) & (rise > 0)

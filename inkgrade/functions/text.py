@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from inkgrade.functions.cols import ladder
@@ -30,6 +32,13 @@ def file_suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/\\](\.[^./\\]+)$", 1))
 
 
+def has_suffix(path: Column, suffixes: list[str] = UPLOAD_SUFFIXES) -> Column:
+    """Whether the file name ends with one of the suffixes and has a stem before it."""
+    low = F.lower(path)
+    return reduce(Column.__or__, [
+        low.endswith(s) & ~low.endswith("/" + s) & ~low.endswith("\\" + s) & (low != s) for s in suffixes])
+
+
 def parse_id_list(text: Column) -> Column:
     """Struct(ids array<bigint>, valid): comma list, blanks skipped, first-seen order, digits only."""
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")

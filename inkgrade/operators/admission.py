@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from inkgrade.functions.cols import messages
-from inkgrade.functions.text import UPLOAD_SUFFIXES, file_suffix
+from inkgrade.functions.text import has_suffix
 
 MAX_ATTEMPTS = 2
 
@@ -53,7 +53,7 @@ def admit_submissions(requests, tasks, assignments, cap: int = MAX_ATTEMPTS) ->
     a = assignments.select("task_id", "student_id").distinct().withColumn("assigned", F.lit(True))
     checked = requests.join(t, "task_id", "left").join(a, ["task_id", "student_id"], "left").select(
         "id", "task_id", "student_id", "created_at", "uploaded_file_path", "mode",
-        F.when(~file_suffix(F.col("uploaded_file_path")).isin(UPLOAD_SUFFIXES), "extension")
+        F.when(~has_suffix(F.col("uploaded_file_path")), "extension")
         .when(~F.coalesce(F.col("assigned") & F.col("is_active"), F.lit(False)), "not_assigned")
         .when(is_late(F.col("created_at"), F.col("deadline")), "deadline").alias("reason"),
     )

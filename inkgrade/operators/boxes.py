@@ -11,6 +11,8 @@ Views are few: merged boxes of at least 0.4 % of the page that lie apart from ea
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgrade.functions.boxes import (
@@ -22,13 +24,14 @@ from inkgrade.operators.lineage import by_group_size, cut_lineage
 
 c = F.col
 CELL = 256  # side of a lookup cell in pixels
-FOLD_LIMIT = 64  # most boxes of one drawing that are folded in a single row
+FOLD_LIMIT = 64  # most boxes of one drawing that are merged in a single row
+NMS_LIMIT = 1024  # most boxes of one drawing that are suppressed in a single row
 
 
-def _cells(df: DataFrame, pad: int = 0) -> DataFrame:
+def _cells(df: DataFrame, pad: int = 0, size: int = CELL) -> DataFrame:
     """One row per lookup cell (gx, gy) a box reaches, widened by ``pad`` to the right and below."""
     def span(low, high):
-        return F.explode(F.sequence(F.floor(c(low) / CELL), F.floor((c(high) + pad) / CELL)))
+        return F.explode(F.sequence(F.floor(c(low) / size), F.floor((c(high) + pad) / size)))
     return df.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
 
 
@@ -139,7 +142,7 @@ def nms(boxes: DataFrame, iou_thr: float = 0.45, keys: list[str] = ["drawing_id"
     """
     unique = boxes.groupBy(*keys, *SIDES).agg(F.min("seq").alias("seq"))
     return by_group_size(
-        unique, keys, FOLD_LIMIT, lambda df: _nms_in_row(df, keys, iou_thr), lambda df: _nms_spread(df, keys, iou_thr))
+        unique, keys, NMS_LIMIT, lambda df: _nms_in_row(df, keys, iou_thr), lambda df: _nms_spread(df, keys, iou_thr))
 
 
 def _nms_in_row(boxes, keys, iou_thr):
@@ -154,20 +157,22 @@ def _nms_in_row(boxes, keys, iou_thr):
 
 
 def _nms_spread(boxes, keys, iou_thr):
-    """Rounds over lookup cells: a box that leads every cell it reaches is kept, then removes what it
-    overlaps. Only leaders are joined to the rest, never all boxes to all."""
+    """Rounds over small lookup cells: a box that leads every cell it reaches is kept, then removes
+    what it overlaps. Only leaders are joined to the rest, never all boxes to all. What is left of a
+    drawing overlaps no kept box, so once it is few enough it is finished in a row."""
     on, ident = [*keys, "gx", "gy"], [*keys, "seq"]
-    left, kept = cut_lineage(boxes.select(*keys, "seq", *SIDES)), None
-    while not left.isEmpty():
-        cells = _cells(left).withColumn("rank", F.struct(box_area(box()).alias("area"), (-c("seq")).alias("first")))
+    spread = lambda df: _cells(df, size=64)
+    left, kept = cut_lineage(boxes.select(*keys, "seq", *SIDES)), []
+    while not left.groupBy(*keys).count().filter(c("count") > NMS_LIMIT).isEmpty():
+        cells = spread(left).withColumn("rank", F.struct(box_area(box()).alias("area"), (-c("seq")).alias("first")))
         leaders = cells.groupBy(*on).agg(F.max_by("seq", "rank").alias("leader"))
         won = cells.join(leaders, on).groupBy(*ident, *SIDES).agg(F.min(c("leader") == c("seq")).alias("won"))
         won = cut_lineage(won.filter("won").drop("won"))
-        hit = cells.drop("rank").join(_renamed(_cells(won), "k_", on), on).filter(iou(box(), box("k_")) >= iou_thr)
+        hit = cells.drop("rank").join(_renamed(spread(won), "k_", on), on).filter(iou(box(), box("k_")) >= iou_thr)
         gone = hit.select(*ident).distinct().unionByName(won.select(*ident)).distinct()
         left = cut_lineage(left.join(gone, ident, "left_anti"))
-        kept = won if kept is None else kept.unionByName(won)
-    return boxes.select(*keys, "seq", *SIDES).limit(0) if kept is None else kept.select(*keys, "seq", *SIDES)
+        kept.append(won.select(*keys, "seq", *SIDES))
+    return reduce(DataFrame.unionByName, kept, _nms_in_row(left, keys, iou_thr))
 
 
 def nms_topk(boxes: DataFrame, dims: DataFrame, k: int = 3, iou_thr: float = 0.35) -> DataFrame:
@@ -305,19 +310,21 @@ def assign_side(views: DataFrame, front: DataFrame) -> DataFrame:
     return _first(fit).select(*views.columns, "score")
 
 
-def resolve_roles(views: DataFrame, zones: DataFrame, system: str = "first_angle") -> DataFrame:
+def resolve_roles(views: DataFrame, zones: DataFrame, system: str = "first_angle", carry: list[str] = []) -> DataFrame:
     """Every view with its role: isometric, front, top, side, else extra_1, extra_2, … in order.
 
     The few views of a drawing are gathered into one row, so the successive choices need a single
-    shuffle instead of a join each.
+    shuffle instead of a join each. Columns named in ``carry`` stay with their view.
     """
-    rows = views.groupBy("drawing_id").agg(F.sort_array(F.collect_list(_view())).alias("v")).join(
+    view = F.struct("seq", *SIDES, "diag_ratio", "hv_ratio", "view_type", *carry)
+    rows = views.groupBy("drawing_id").agg(F.sort_array(F.collect_list(view)).alias("v")).join(
         _zone_sides(zones), "drawing_id")
-    fields = ("seq", *SIDES)
+    fields = ("seq", *SIDES, *carry)
 
     def best(candidates, score):
         ranked = F.transform(candidates, lambda b: F.struct(
-            score(b).alias("score"), (-b.getField("seq")).alias("first"), b.alias("b")))
+            score(b).alias("score"), (-b.getField("seq")).alias("first"), F.struct(
+                *[b.getField(n).alias(n) for n in ("seq", *SIDES, "diag_ratio", "view_type")]).alias("b")))
         return F.array_max(ranked).getField("b")
 
     def differs(b, other):

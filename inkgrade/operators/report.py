@@ -48,20 +48,24 @@ def normalize_results(df: DataFrame, json: str = "json") -> DataFrame:
     The score is the first key that is not null (0 counts); the others are the first key that is
     truthy, so empty objects, lists and texts fall through. A single table object becomes a list.
     """
-    doc = F.try_parse_json(c(json))
-    scores = [F.try_variant_get(doc, f"$.{k}", "string") for k in SCORE_KEYS]
-    raw, table = F.coalesce(*scores), _first_truthy(c("_doc"), TABLE_KEYS)
-    number = F.when(raw.isin("true", "false"), (raw == "true").cast("double")).otherwise(raw.try_cast("double"))
     text = lambda v: F.try_variant_get(v, "$", "string")
-    return df.withColumn("_doc", doc).select(
-        *df.columns, number.alias("total_score"),
-        F.coalesce(text(_first_truthy(c("_doc"), DETAIL_KEYS)), F.lit("{}")).alias("ai_json_result"),
-        text(_first_truthy(c("_doc"), OVERLAY_KEYS)).alias("overlay_path"),
-        F.when(_kind(table).startswith("OBJECT"), F.concat(F.lit("["), text(table), F.lit("]")))
-        .when(_kind(table).startswith("ARRAY"), text(table)).otherwise("[]").alias("table_json"),
-        F.when(c("_doc").isNull(), "result is not an object").when(raw.isNull(), "total_score not found")
-        .when(number.isNull(), "total_score is not a number").alias("error"),
-    )
+    # each stage names what the next one reads several times, so that nothing is parsed twice
+    parsed = df.withColumn("_doc", F.try_parse_json(c(json)))
+    parts = parsed.select(
+        *df.columns, c("_doc").isNull().alias("_bad"),
+        F.coalesce(*[F.try_variant_get("_doc", f"$.{k}", "string") for k in SCORE_KEYS]).alias("_raw"),
+        _first_truthy(c("_doc"), DETAIL_KEYS).alias("_details"), _first_truthy(c("_doc"), OVERLAY_KEYS).alias("_overlay"),
+        _first_truthy(c("_doc"), TABLE_KEYS).alias("_table"))
+    raw = c("_raw")
+    number = F.when(raw.isin("true", "false"), (raw == "true").cast("double")).otherwise(raw.try_cast("double"))
+    kind = _kind(c("_table"))
+    return parts.select(
+        *df.columns, number.alias("total_score"), F.coalesce(text(c("_details")), F.lit("{}")).alias("ai_json_result"),
+        text(c("_overlay")).alias("overlay_path"),
+        F.when(kind.startswith("OBJECT"), F.concat(F.lit("["), text(c("_table")), F.lit("]")))
+        .when(kind.startswith("ARRAY"), text(c("_table"))).otherwise("[]").alias("table_json"),
+        F.when(c("_bad"), "result is not an object").when(raw.isNull(), "total_score not found")
+        .when(number.isNull(), "total_score is not a number").alias("error"))
 
 
 def flatten_report(df: DataFrame, json: str = "json", levels: int = 8) -> DataFrame:
@@ -206,49 +210,39 @@ def evaluate_etalon_batch(features: DataFrame, hatch_features: DataFrame) -> Dat
 
 
 # ---- whole stand-alone rubric -------------------------------------------------------------------
-def role_summary(roles: DataFrame) -> DataFrame:
-    """One row per drawing: front, top and side boxes, and how many views of each sort."""
-    at = lambda r: F.max(F.when(c("role") == r, F.struct("x1", "y1", "x2", "y2"))).alias(r)
-    return roles.groupBy("drawing_id").agg(
-        at("front"), at("top"), at("side"), F.count("*").alias("projection_count"),
-        F.count_if(c("role") != "isometric").alias("orthographic_count"),
-        F.coalesce(F.max(c("role") == "isometric"), F.lit(False)).alias("has_isometric"),
-        F.count_if(c("role").startswith("extra_")).alias("extra_count"))
-
-
 def evaluate_optional_batch(views, zones, titles, measures, evidence, clean, text) -> DataFrame:
     """All six modules, totals, grade, confidence and messages for every drawing.
 
     ``measures`` and ``evidence`` hold one row per (drawing_id, seq) view, ``clean`` one row per
-    drawing and ``text`` its task description. Everything is keyed by drawing, so the joins share one
-    partitioning, and the report is built from the joined row without going back to module rows.
+    drawing and ``text`` its task description. What is known about a view travels with it while roles
+    are resolved; one grouping per drawing then yields every number the modules need.
     """
-    roles = resolve_roles(views, zones)
-    summary = role_summary(roles).join(largest_shares(views), "drawing_id").join(
-        titles.select("drawing_id", F.lit(True).alias("title_found")), "drawing_id", "left").withColumn(
-        "title_found", F.coalesce("title_found", F.lit(False)))
-    named = roles.select("drawing_id", "seq", "role")
-    hatch = free.hatch_candidate_rows(
-        named.select("drawing_id", "role"), free.hatch_quality(named.join(measures, ["drawing_id", "seq"])))
-    seen = named.join(evidence, ["drawing_id", "seq"])
-    flat = c("role") != "isometric"
-    main = c("role").isin("front", "top", "side")
-    counted = seen.select("drawing_id", *[F.when(flat, c(n)).otherwise(0).alias(n) for n in ("text_count", "line_count", "cluster_count")])
-    lined = seen.select("drawing_id", (main & c("visible")).alias("visible"), F.when(main, c("hidden_sequences")).otherwise(0).alias("hidden_sequences"),
-                        F.when(main, c("center")).otherwise("none").alias("center"))
-
-    def module(df, i, *more):
-        return df.select("drawing_id", c("score").alias(f"s{i}"), c("errors").alias(f"e{i}"), c("warnings").alias(f"w{i}"), *more)
-
-    dims = free.score_dimensions(counted)
+    seen = free.hatch_quality(views.join(measures, ["drawing_id", "seq"], "left")).drop(
+        "line_count", "length_ratio").join(evidence, ["drawing_id", "seq"], "left")
+    carry = [n for n in seen.columns if n not in ("drawing_id", "seq", "x1", "y1", "x2", "y2", "diag_ratio", "hv_ratio", "view_type")]
+    roles = resolve_roles(seen, zones, carry=carry)
+    at = lambda r: F.max(F.when(c("role") == r, F.struct("x1", "y1", "x2", "y2"))).alias(r)
+    area = F.greatest(c("x2") - c("x1"), F.lit(0)).cast("bigint") * F.greatest(c("y2") - c("y1"), F.lit(0))
+    facts = roles.withColumn("ord", free.role_rank(c("role"))).withColumn("area", area).groupBy("drawing_id").agg(
+        at("front"), at("top"), at("side"), F.count("*").alias("projection_count"),
+        F.count_if(c("role") != "isometric").alias("orthographic_count"),
+        F.coalesce(F.max(c("role") == "isometric"), F.lit(False)).alias("has_isometric"),
+        F.count_if(c("role").startswith("extra_")).alias("extra_count"),
+        (F.max("area") / F.sum("area")).alias("largest_share"),
+        *free.hatching_facts(), *free.dimension_facts(c("role") != "isometric"),
+        *free.line_facts(c("role").isin("front", "top", "side")))
     rows = (
-        module(free.score_completeness(summary), 1, "projection_count", "orthographic_count", "has_isometric", "title_found", "largest_share")
-        .join(module(free.score_hatching(hatch), 2, "detected"), "drawing_id")
-        .join(module(dims, 3, c("roles").alias("dim_roles")), "drawing_id")
-        .join(module(free.score_line_semantics(lined), 4), "drawing_id")
-        .join(module(free.score_cleanliness_free(clean), 5), "drawing_id")
-        .join(text.select("drawing_id", "description"), "drawing_id", "left"))
-    rows = free.score_task_compliance(free.with_requirements(rows)).withColumnsRenamed({"score": "s6", "errors": "e6", "warnings": "w6"})
+        facts.join(titles.select("drawing_id", F.lit(True).alias("title_found")), "drawing_id", "left")
+        .withColumn("title_found", F.coalesce("title_found", F.lit(False)))
+        .join(free.score_cleanliness_free(clean).select("drawing_id", c("score").alias("s5"), c("errors").alias("e5"), c("warnings").alias("w5")), "drawing_id")
+        .join(free.with_requirements(text.select("drawing_id", "description")), "drawing_id", "left"))
+
+    def step(df, scorer, i):
+        return scorer(df).withColumnsRenamed({"score": f"s{i}", "errors": f"e{i}", "warnings": f"w{i}"})
+
+    for i, scorer in ((1, free.score_completeness), (2, free.hatching_points), (3, free.dimension_points), (4, free.line_points)):
+        rows = step(rows, scorer, i)
+    rows = step(rows.withColumn("dim_roles", c("roles")), free.score_task_compliance, 6)
     rows = layout_reliability(rows).withColumnRenamed("warnings", "w7")
     tops = [top for *_, top in free.MODULES]
     raw = reduce(Column.__add__, [c(f"s{i}") for i in range(1, 7)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inkgrade.functions.boxes import center_x, center_y, x_overlap, y_overlap
-from inkgrade.functions.cols import all_of, clip, flag, ladder, messages, top_rows
+from inkgrade.functions.cols import all_of, clip, flag, ladder, messages
 from inkgrade.functions.text import task_requirements
 
 c = F.col
@@ -124,49 +124,67 @@ def hatch_candidate_rows(roles: DataFrame, measures: DataFrame) -> DataFrame:
         "angle_std", "parallel_ratio", "coverage", "spacing_cv")
 
 
-def score_hatching(candidates: DataFrame) -> DataFrame:
-    """The best present candidate of each drawing decides; without one the module does not apply."""
-    best = top_rows(candidates.filter("present"), ["drawing_id"], [F.desc("quality"), F.asc("ord")])
-    counts = candidates.groupBy("drawing_id").agg(F.sum(flag(c("present"))).alias("detected"))
-    cover = F.coalesce("coverage", F.lit(0.0))
-    par = F.coalesce("parallel_ratio", F.lit(0.0))
-    angle = ladder(F.coalesce("angle_std", F.lit(99.0)), [(3.5, 3), (6.5, 2), (10.0, 1)], 0, descending=False)
-    spacing = F.when(c("spacing_cv").isNull(), 1).otherwise(ladder(c("spacing_cv"), [(0.35, 2), (0.70, 1)], 0, descending=False))
-    presence = ladder(c("quality"), [(0.55, 3), (0.35, 2)], 1)
+def hatching_facts() -> list:
+    """Aggregates over the candidates of a drawing: how many are present, and the best of them."""
+    best = F.when(c("present"), F.struct("quality", (-c("ord")).alias("first")))
+    return [F.count_if(c("present")).alias("detected"),
+            F.max_by(F.struct("role", "quality", "angle_std", "spacing_cv", "coverage", "parallel_ratio"), best).alias("best")]
+
+
+def hatching_points(df: DataFrame) -> DataFrame:
+    """Score and messages from the best candidate; without one the module does not apply."""
+    found = c("detected") > 0
+    cover, par = F.coalesce("best.coverage", F.lit(0.0)), F.coalesce("best.parallel_ratio", F.lit(0.0))
+    cv = c("best.spacing_cv")
+    angle = ladder(F.coalesce("best.angle_std", F.lit(99.0)), [(3.5, 3), (6.5, 2), (10.0, 1)], 0, descending=False)
+    spacing = F.when(cv.isNull(), 1).otherwise(ladder(cv, [(0.35, 2), (0.70, 1)], 0, descending=False))
+    presence = ladder(c("best.quality"), [(0.55, 3), (0.35, 2)], 1)
     in_range = cover.between(0.004, 0.24)
-    region = flag(in_range) + flag(par >= 0.70)
-    found = c("best_role").isNotNull()
-    scored = best.select(
-        "drawing_id", c("role").alias("best_role"), "quality",
-        F.least(F.lit(10), presence + angle + spacing + region).alias("score"),
-        messages((angle == 0, "Hatch chiziqlari burchagi yetarli darajada bir xil emas"),
-                 (spacing == 0, "Hatch chiziqlari oralig‘i notekis"),
-                 (par < 0.34, "Hatch diagonallari yetarli darajada parallel emas")).alias("errors"),
-        messages((c("spacing_cv").isNull(), "Hatch spacing regularity to‘liq baholanmadi"),
-                 (~in_range, "Hatch coverage juda kichik yoki juda katta ko‘rinadi")).alias("warnings"))
-    none = F.array(F.lit("Hatch/qirqim topilmadi. Keyin task compliance moduli qirqim talab qilingan-qilinmaganini tekshiradi."))
-    return counts.join(scored, "drawing_id", "left").select(
-        "drawing_id", "detected", found.alias("applicable"), "best_role", "quality",
-        F.coalesce("score", F.lit(0)).alias("score"),
-        F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
-        F.coalesce("warnings", none).alias("warnings"))
+    total = F.least(F.lit(10), presence + angle + spacing + flag(in_range) + flag(par >= 0.70))
+    none = "Hatch/qirqim topilmadi. Keyin task compliance moduli qirqim talab qilingan-qilinmaganini tekshiradi."
+    return df.select(
+        "*", found.alias("applicable"), c("best.role").alias("best_role"), F.when(found, total).otherwise(0).alias("score"),
+        messages((found & (angle == 0), "Hatch chiziqlari burchagi yetarli darajada bir xil emas"),
+                 (found & (spacing == 0), "Hatch chiziqlari oralig‘i notekis"),
+                 (found & (par < 0.34), "Hatch diagonallari yetarli darajada parallel emas")).alias("errors"),
+        messages((~found, none), (found & cv.isNull(), "Hatch spacing regularity to‘liq baholanmadi"),
+                 (found & ~in_range, "Hatch coverage juda kichik yoki juda katta ko‘rinadi")).alias("warnings"))
+
+
+def score_hatching(candidates: DataFrame) -> DataFrame:
+    """The best present candidate of each drawing decides. One grouping, combined before the shuffle."""
+    return hatching_points(candidates.groupBy("drawing_id").agg(*hatching_facts()))
 
 
 # ---- dimensions -------------------------------------------------------------------------------
 def dimension_quality(df: DataFrame, stage: str = "final") -> DataFrame:
     """Evidence of dimensions around a view; the discovery stage needs one line, the final one two."""
     t, n, k = c("text_count"), c("line_count"), c("cluster_count")
-    present = (k > 0) | ((t >= 2) & (n >= (1 if stage == "discover" else 2)))
+    present = _dim_present(stage)
     share = lambda v, full: F.least(F.lit(1.0), v / float(full))
     quality = 0.35 * share(t, 8) + 0.35 * share(n, 8) + 0.30 * share(k, 4)
     return df.withColumn("dim_present", present).withColumn("quality", F.when(present, quality).otherwise(0.0))
 
 
+def _dim_present(stage: str):
+    lines = 1 if stage == "discover" else 2
+    return (c("cluster_count") > 0) | ((c("text_count") >= 2) & (c("line_count") >= lines))
+
+
+def dimension_facts(counts=None) -> list:
+    """Aggregates over the views of a drawing for which ``counts`` holds (all without it)."""
+    counts = F.lit(True) if counts is None else counts
+    total = lambda n: F.coalesce(F.sum(F.when(counts, c(n))), F.lit(0))
+    return [F.count_if(counts & _dim_present("final")).alias("roles"), total("text_count").alias("texts"),
+            total("line_count").alias("lines"), total("cluster_count").alias("clusters")]
+
+
 def score_dimensions(per_role: DataFrame) -> DataFrame:
     """From one row per (drawing, role) with text_count, line_count and kept cluster_count."""
-    sums = dimension_quality(per_role).groupBy("drawing_id").agg(
-        F.sum(flag(c("dim_present"))).alias("roles"), F.sum("text_count").alias("texts"),
-        F.sum("line_count").alias("lines"), F.sum("cluster_count").alias("clusters"))
+    return dimension_points(per_role.groupBy("drawing_id").agg(*dimension_facts()))
+
+
+def dimension_points(sums: DataFrame) -> DataFrame:
     roles, texts, lines, clusters = c("roles"), c("texts"), c("lines"), c("clusters")
     covered = ladder(roles, [(3, 6), (2, 4), (1, 2)], 0)
     text = ladder(texts, [(8, 4), (5, 3), (3, 2), (1, 1)], 0)
@@ -182,12 +200,21 @@ def score_dimensions(per_role: DataFrame) -> DataFrame:
 
 
 # ---- line semantics ---------------------------------------------------------------------------
+def line_facts(counts=None) -> list:
+    """Aggregates over the views of a drawing for which ``counts`` holds (all without it)."""
+    counts = F.lit(True) if counts is None else counts
+    n = lambda cond: F.count_if(counts & cond)
+    return [n(c("visible")).alias("visible_roles"), n(c("hidden_sequences") >= 1).alias("hidden_roles"),
+            F.coalesce(F.sum(F.when(counts, c("hidden_sequences"))), F.lit(0)).alias("sequences"),
+            n(c("center") != "none").alias("center_roles"), n(c("center") == "strong").alias("strong_roles")]
+
+
 def score_line_semantics(per_role: DataFrame) -> DataFrame:
     """From one row per (drawing, role): visible, hidden_sequences, center ('strong', 'weak', 'none')."""
-    sums = per_role.groupBy("drawing_id").agg(
-        F.count_if("visible").alias("visible_roles"), F.count_if(c("hidden_sequences") >= 1).alias("hidden_roles"),
-        F.sum("hidden_sequences").alias("sequences"), F.count_if(c("center") != "none").alias("center_roles"),
-        F.count_if(c("center") == "strong").alias("strong_roles"))
+    return line_points(per_role.groupBy("drawing_id").agg(*line_facts()))
+
+
+def line_points(sums: DataFrame) -> DataFrame:
     v, h, q, m, s = (c(n) for n in ("visible_roles", "hidden_roles", "sequences", "center_roles", "strong_roles"))
     visible = ladder(v, [(3, 5), (2, 3), (1, 1)], 0)
     hidden = F.when((h >= 2) | (q >= 3), 4).when((h == 1) & (q >= 1), 2).otherwise(0)

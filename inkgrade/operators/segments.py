@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkgrade.functions.angles import acute, mod180, nearest_angle, raw_angle, seg_length, skew_fold
+from inkgrade.functions.angles import (
+    acute, flat, mod180, nearest_angle, raw_angle, seg_length, skew_fold, slanted, steep,
+)
 from inkgrade.functions.boxes import clip_box
 from inkgrade.functions.cols import all_of, flag, top_rows
 
@@ -36,14 +38,12 @@ def angle_hist(segments: DataFrame, bins: int = 18, min_length: float = 40.0, ke
 
 def orientation_ratios(segments: DataFrame, preset: str = "region", keys: list[str] = ["drawing_id"]) -> DataFrame:
     """Length shares of axis-aligned and diagonal segments, under one of three sets of thresholds."""
-    length, raw = seg_length(), raw_angle()
-    if preset == "visible":
-        a = mod180(raw)
-        hv = (a <= 12) | (a >= 168) | a.between(78, 102)
-        diag = a.between(18, 72) | a.between(108, 162)
-    else:
-        a = acute(raw)
-        hv, diag = ((a <= 12) | (a >= 78), a.between(18, 72)) if preset == "projection" else ((a <= 15) | (a >= 75), a.between(25, 65))
+    length = seg_length()
+    hv, diag = {
+        "visible": (flat(12) | steep(78), slanted(18, 72)),
+        "projection": (flat(12) | steep(78), slanted(18, 72)),
+        "region": (flat(15) | steep(75), slanted(25, 65)),
+    }[preset]
     rows = segments.select("*", length.alias("_l"), hv.alias("_hv"), diag.alias("_diag"))
     if preset != "projection":
         rows = rows.filter("_l >= 1")
@@ -90,12 +90,13 @@ def weighted_mean_std(df: DataFrame, value: Column, weight: Column, keys: list[s
 
 
 # ---- clusters of positions ----------------------------------------------------------------------
-def cluster_1d(values: DataFrame, keys: list[str], value: str, tol: Column) -> DataFrame:
+def cluster_1d(values: DataFrame, keys: list[str], value: str, tol: Column, members: bool = False) -> DataFrame:
     """Greedy clusters of sorted values against the running mean of the open cluster.
 
     Equal values always join the same cluster, so they are counted first. A step larger than the
     tolerance always opens a cluster, because the mean never exceeds the last value; chains between
-    such steps are independent and each is folded on its own. Columns: lo, hi, mean, n.
+    such steps are independent and each is folded on its own. Columns: lo, hi, mean, n; with
+    ``members`` one row per distinct value ``v`` instead of one per cluster.
     """
     counted = values.select(*keys, c(value).cast("double").alias("v"), tol.cast("double").alias("tol")).groupBy(*keys, "v").agg(
         F.count("*").alias("n"), F.max("tol").alias("tol"))
@@ -116,16 +117,23 @@ def cluster_1d(values: DataFrame, keys: list[str], value: str, tol: Column) -> D
             joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
 
     folded = F.aggregate("vs", F.array().cast(kind), add)
-    return chains.select(*keys, F.inline(folded)).select(*keys, "lo", "hi", (c("total") / c("n")).alias("mean"), "n")
+    clusters = chains.select(*keys, "vs", F.explode(folded).alias("_k")).select(
+        *keys, "_k.lo", "_k.hi", (c("_k.total") / c("_k.n")).alias("mean"), "_k.n", *(["vs"] if members else []))
+    if not members:
+        return clusters
+    own = F.filter("vs", lambda x: x.getField("v").between(c("lo"), c("hi")))
+    return clusters.select(*keys, "lo", "hi", "mean", "n", F.explode(F.transform(own, lambda x: x.getField("v"))).alias("v"))
 
 
 # ---- hatch families -----------------------------------------------------------------------------
 def hatch_candidates(segments: DataFrame) -> DataFrame:
     """Segments near 45 or 60 degrees in a region of size w × h, with their family."""
     base = F.least("w", "h")
-    rows = segment_features(segments).filter(c("length") >= F.greatest(F.lit(10), (base * 0.07).cast("int")))
-    near = F.when(F.abs(c("acute") - 45.0) <= F.abs(c("acute") - 60.0), 45.0).otherwise(60.0)
-    return rows.withColumn("family", near).filter(F.abs(c("acute") - c("family")) <= 11.0)
+    long = seg_length() >= F.greatest(F.lit(10), (base * 0.07).cast("int"))
+    # nearest of 45 and 60, at most 11 degrees off: 34 to 71, split half-way
+    rows = segments.filter(long & slanted(34, 71))
+    return rows.withColumn("family", F.when(flat(52.5), 45.0).otherwise(60.0)).withColumn("length", seg_length()).withColumn(
+        "acute", acute(raw_angle())).withColumn("mid_x", (c("x1") + c("x2")) / 2.0).withColumn("mid_y", (c("y1") + c("y2")) / 2.0)
 
 
 def hatch_family(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
@@ -204,12 +212,10 @@ def short_axis_segments(segments: DataFrame) -> DataFrame:
     side = F.greatest(F.lit(1), F.least("w", "h"))
     low = F.greatest(F.lit(5), (side * 0.04).cast("int"))
     high = F.greatest(low + 2, (side * 0.30).cast("int"))
-    a = acute(raw_angle())
-    rows = segments.withColumn("length", seg_length()).filter(c("length").between(low, high))
-    axis = F.when(a <= 14, "h").when(a >= 76, "v")
-    h = c("axis") == "h"
-    return rows.withColumn("axis", axis).filter("axis IS NOT NULL").select(
-        *[n for n in segments.columns if n not in ("x1", "y1", "x2", "y2")], "axis",
+    h = flat(14)
+    rows = segments.filter(seg_length().between(low, high) & (h | steep(76)))
+    return rows.select(
+        *[n for n in segments.columns if n not in ("x1", "y1", "x2", "y2")], F.when(h, "h").otherwise("v").alias("axis"),
         F.when(h, c("y1") + c("y2")).otherwise(c("x1") + c("x2")).alias("coord2"),
         F.when(h, F.least("x1", "x2")).otherwise(F.least("y1", "y2")).alias("a1"),
         F.when(h, F.greatest("x1", "x2")).otherwise(F.greatest("y1", "y2")).alias("a2"),
@@ -224,9 +230,8 @@ def dashed_sequences(segments: DataFrame, keys: list[str] = ["drawing_id", "role
     """
     line = [*keys, "axis"]
     items = short_axis_segments(segments).withColumn("coord", c("coord2") / 2.0)
-    clusters = cluster_1d(items, line, "coord", F.lit(5.0)).filter("n >= 3")
-    coords = items.select(*line, "coord").distinct().join(clusters, line).filter(c("coord").between(c("lo"), c("hi")))
-    marked = items.join(coords.select(*line, "coord", c("mean").alias("coord_mean")), [*line, "coord"])
+    coords = cluster_1d(items, line, "coord", F.lit(5.0), members=True).filter("n >= 3")
+    marked = items.join(coords.select(*line, c("v").alias("coord"), c("mean").alias("coord_mean")), [*line, "coord"])
     line = [*line, "coord_mean"]
     starts = marked.groupBy(*line, "a1").agg(F.max("a2").alias("a2"), F.max("span_px").alias("span_px"))
     order = Window.partitionBy(*line).orderBy("a1")
@@ -258,8 +263,7 @@ def centerline_strength(sequences: DataFrame, views: DataFrame, keys: list[str]
 
 def visible_contours(segments: DataFrame, keys: list[str] = ["drawing_id", "role"]) -> DataFrame:
     """Whether a view of size w × h has enough long axis-near lines to count as drawn."""
-    a = acute(raw_angle())
-    near = (a <= 18) | (a >= 72)
+    near = flat(18) | steep(72)
     s = segments.groupBy(*keys).agg(
         F.count_if(near).alias("count"), F.sum(F.when(near, seg_length()).otherwise(0.0)).alias("len"),
         F.max(F.greatest(F.lit(1), F.least("w", "h"))).alias("side"))
@@ -269,9 +273,8 @@ def visible_contours(segments: DataFrame, keys: list[str] = ["drawing_id", "role
 
 def dimension_segments(segments: DataFrame, pad: int = 2) -> DataFrame:
     """Axis-near segments of at least ``base`` pixels as padded boxes inside the band (w, h)."""
-    a = acute(raw_angle())
     span = F.struct((F.least("x1", "x2") - pad).alias("x1"), (F.least("y1", "y2") - pad).alias("y1"),
                     (F.greatest("x1", "x2") + pad + 1).alias("x2"), (F.greatest("y1", "y2") + pad + 1).alias("y2"))
-    fit = segments.filter((seg_length() >= c("base")) & ((a <= 12) | (a >= 78)))
+    fit = segments.filter((seg_length() >= c("base")) & (flat(12) | steep(78)))
     return fit.withColumn("b", clip_box(span, c("w"), c("h"))).filter("b IS NOT NULL").select(
         *[n for n in segments.columns if n not in ("x1", "y1", "x2", "y2", "w", "h", "base")], "b.*")

@@ -111,8 +111,8 @@ LENGTHS = {
 def audit_constraints(tables: dict[str, DataFrame], lengths=None) -> DataFrame:
     """Constraint violations as rows (table_name, rule, key).
 
-    All row rules of a table are checked in one scan; unique keys by a pre-aggregated count; foreign
-    keys by an anti-join.
+    One scan per table checks all row rules and foreign keys (parents joined as flags); unique keys
+    are pre-aggregated counts.
     """
     lengths = lengths or LENGTHS
     found = []
@@ -122,17 +122,16 @@ def audit_constraints(tables: dict[str, DataFrame], lengths=None) -> DataFrame:
         rules += [(~F.col(c).isin(v), f"enum:{c}") for c, v in ALLOWED.get(name, {}).items() if c in df.columns]
         rules += [(~F.length(c).between(lo, hi), f"length:{c}")
                   for c, (lo, hi) in lengths.get(name, {}).items() if c in df.columns]
-        found.append(df.select(F.lit(name).alias("table_name"), F.explode(messages(*rules)).alias("rule"), key.alias("key")))
+        rows = df
+        for child, column, parent in FOREIGN_KEYS:
+            if child == name and parent in tables:
+                known = tables[parent].select(F.col("id").alias(column), F.lit(True).alias(f"_{column}"))
+                rows = rows.join(known, column, "left")
+                rules.append((F.col(column).isNotNull() & F.col(f"_{column}").isNull(), f"foreign:{column}"))
+        found.append(rows.select(F.lit(name).alias("table_name"), F.explode(messages(*rules)).alias("rule"), key.alias("key")))
         for cols in UNIQUE[name]:
             found.append(
                 df.groupBy(*cols).count().filter("count > 1").select(
                     F.lit(name).alias("table_name"), F.lit("unique:" + ",".join(cols)).alias("rule"),
                     F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("key")))
-    for child, column, parent in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            df = tables[child]
-            key = F.concat_ws("/", *[F.col(c).cast("string") for c in UNIQUE[child][0]]).alias("key")
-            parents = tables[parent].select(F.col("id").alias(column))
-            found.append(df.filter(F.col(column).isNotNull()).join(parents, column, "left_anti").select(
-                F.lit(child).alias("table_name"), F.lit(f"foreign:{column}").alias("rule"), key))
     return reduce(DataFrame.unionByName, found)

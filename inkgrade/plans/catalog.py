@@ -15,10 +15,18 @@ ORACLES: dict[str, str] = {}
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
+# The JIT compiler skips methods above 8000 bytes of bytecode, and the wide score expressions exceed
+# that when a whole stage is generated as one method. With the limit at 8000, as the Spark configuration
+# text advises for HotSpot, such stages are split instead and run compiled.
+HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
 class Tables:
     """Base tables of a data directory and the tables derived from them, as attributes."""
 
     def __init__(self, spark: SparkSession, base: str):
+        if spark.conf.get(HUGE_METHOD_LIMIT) == "65535":
+            spark.conf.set(HUGE_METHOD_LIMIT, "8000")
         self.spark, self.base, self._seen = spark, base, {}
 
     def __getattr__(self, name: str) -> DataFrame:

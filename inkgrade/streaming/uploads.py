@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from inkgrade.functions.text import UPLOAD_SUFFIXES, file_suffix
+from inkgrade.functions.text import UPLOAD_SUFFIXES, file_suffix, has_suffix
 from inkgrade.operators.admission import MAX_ATTEMPTS, is_late
 from inkgrade.operators.writes import apply_evaluations
 
@@ -80,7 +80,7 @@ def stream_admission(requests: DataFrame, tasks: DataFrame, assignments: DataFra
     a = assignments.select("task_id", "student_id").distinct().withColumn("assigned", F.lit(True))
     checked = requests.join(t, "task_id", "left").join(a, ["task_id", "student_id"], "left").select(
         "id", "task_id", "student_id", "mode", c("created_at").cast("timestamp").alias("at"),
-        F.when(~file_suffix(c("uploaded_file_path")).isin(UPLOAD_SUFFIXES), "extension")
+        F.when(~has_suffix(c("uploaded_file_path")), "extension")
         .when(~F.coalesce(c("assigned") & c("is_active"), F.lit(False)), "not_assigned")
         .when(is_late(c("created_at"), c("deadline")), "deadline").alias("reason"))
     counted = checked.filter("reason IS NULL").drop("reason").groupBy("task_id", "student_id").transformWithStateInPandas(
