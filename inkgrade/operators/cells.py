@@ -150,7 +150,7 @@ def overlay_counts(dims: DataFrame, tagged: DataFrame, names: list[str], counts:
 
 
 def _in_runs(cells: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    r = runs.select(c("mask_id").alias("_m"), c("y").alias("_y"), "s", "e")
+    r = runs.select(c("mask_id").alias("_m"), c("y").alias("_y"), *[n for n in runs.columns if n not in ROW])
     return cells.join(r, (c("mask_id") == c("_m")) & (c("y") == c("_y")) & (c("x") >= c("s")) & (c("x") < c("e")), how)
 
 
@@ -371,15 +371,20 @@ def support_region(ref: DataFrame, dims: DataFrame, sizes=(9, 31, 21), least: in
 
 def noise_partition(ref: DataFrame, stu: DataFrame, dims: DataFrame, sizes=(9, 31, 21), band: int = 11, least: int = 400) -> DataFrame:
     """Unexpected student ink per mask: pixels and components of lines, speckles and blobs."""
-    support = to_cells(support_region(ref, dims, sizes, least))
-    near = to_cells(dilate_runs(to_runs(ref), dims, band))
-    outside = connected_components(mask_minus(stu, support), 4).select("mask_id", "area", F.when(c("area") <= 16, "out_speckle").otherwise("out_line").alias("kind"))
-    parts = connected_components(mask_minus(mask_and(stu, support), near), 3)
+    covers = support_region(ref, dims, sizes, least).withColumn("cover", F.lit("support")).unionByName(
+        dilate_runs(to_runs(ref), dims, band).withColumn("cover", F.lit("near")))
+    has = lambda v: F.max(F.coalesce(c("cover") == v, F.lit(False)))
+    marked = _in_runs(stu, covers, "left").groupBy(*CELL).agg(has("support").alias("inside"), has("near").alias("near"))
+    # both sorts of unexpected cells are labelled in one pass, as two masks
+    odd = marked.filter(~c("inside") | ~c("near")).select((c("mask_id") * 2 + flag(c("inside"))).alias("mask_id"), "y", "x")
+    parts = connected_components(odd, 3).withColumn("inside", c("mask_id") % 2 == 1).withColumn("mask_id", F.floor(c("mask_id") / 2))
     fill = c("area") / F.greatest(c("w") * c("h"), F.lit(1))
     aspect = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1))
-    kind = (F.when(c("area") <= 18, "speckle").when(all_of(c("area") >= 20, fill >= 0.28, aspect <= 4.5), "blob")
-            .when(all_of(c("area").between(12, 220), aspect <= 8.0, fill >= 0.10), "blob"))
-    noise = outside.unionByName(parts.select("mask_id", "area", kind.alias("kind")).filter("kind IS NOT NULL"))
+    kind = (
+        F.when(~c("inside"), F.when(c("area") < 4, None).when(c("area") <= 16, "out_speckle").otherwise("out_line"))
+        .when(c("area") <= 18, "speckle").when(all_of(c("area") >= 20, fill >= 0.28, aspect <= 4.5), "blob")
+        .when(all_of(c("area").between(12, 220), aspect <= 8.0, fill >= 0.10), "blob"))
+    noise = parts.select("mask_id", "area", kind.alias("kind")).filter("kind IS NOT NULL")
     px = lambda k: F.coalesce(F.sum(F.when(c("kind") == k, c("area"))), F.lit(0)).alias(f"{k}_px")
     cnt = lambda k, n: F.count_if((c("kind") == k) & (c("area") >= n)).alias(f"{k}_cnt")
     s = noise.groupBy("mask_id").agg(

@@ -47,11 +47,11 @@ def moving_average(profile: DataFrame, k: int, out: str = "smooth") -> DataFrame
     return profile.withColumn(out, F.sum("val").over(_by_pos().rowsBetween(-(k // 2), k // 2)) / k)
 
 
-def _runs(profile: DataFrame, on: Column) -> DataFrame:
-    """Maximal runs [s, e) of equal flag."""
+def _runs(profile: DataFrame, on: Column, *more: Column) -> DataFrame:
+    """Maximal runs [s, e) of equal flag, with further aggregates."""
     island = c("pos") - F.row_number().over(Window.partitionBy(ID, "_on").orderBy("pos"))
     return profile.withColumn("_on", on).withColumn("_i", island).groupBy(ID, "_on", "_i").agg(
-        F.min("pos").alias("s"), (F.max("pos") + 1).alias("e")).drop("_i")
+        F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"), *more).drop("_i")
 
 
 def find_runs(profile: DataFrame, on: Column, min_len: Column | int = 1) -> DataFrame:
@@ -85,19 +85,21 @@ def split_by_valleys(profile: DataFrame, min_len: int, rel: float, k: int, occup
     whole_span = Window.partitionBy(ID)
     s = moving_average(profile, k).select(
         "*", F.max("smooth").over(whole_span).alias("top"), (F.max("pos").over(whole_span) + 1).alias("len"))
-    low = F.greatest(F.lit(0.01), rel * c("top")) if occupancy else rel * c("top")
-    sizes = s.groupBy(ID).agg(F.max("top").alias("top"), F.max("len").alias("len"))
-    eligible = (c("len") > 2 * min_len) & (c("top") > 0)
-    cuts = find_runs(s.filter(eligible), c("smooth") <= low).join(sizes, ID).filter(
-        c("e") - c("s") >= F.greatest(F.lit(4), (c("len") * 0.025).cast("int")))
-    order = Window.partitionBy(ID).orderBy("s")
-    inner = cuts.select(ID, F.coalesce(F.lag("e").over(order), F.lit(0)).alias("a"), c("s").alias("b"))
-    tail = cuts.groupBy(ID).agg(F.max("e").alias("a"), F.max("len").alias("b"))
-    parts = inner.unionByName(tail).filter(c("b") - c("a") >= min_len)
-    parts = parts.withColumn("_n", F.count("*").over(Window.partitionBy(ID))).filter("_n >= 2").drop("_n")
-    blank = F.lit(True) if occupancy else (c("top") > 0) | (c("len") <= 2 * min_len)
-    rest = sizes.filter(blank).join(parts.select(ID).distinct(), ID, "left_anti").select(ID, F.lit(0).alias("a"), c("len").alias("b"))
-    return parts.unionByName(rest)
+    low = c("smooth") <= (F.greatest(F.lit(0.01), rel * c("top")) if occupancy else rel * c("top"))
+    wide = c("e") - c("s") >= F.greatest(F.lit(4), (c("len") * 0.025).cast("int"))
+    # the few valleys of a profile are gathered in order; the rest is arithmetic on one row
+    rows = _runs(s, low, F.max("top").alias("top"), F.max("len").alias("len")).groupBy(ID).agg(
+        F.max("top").alias("top"), F.max("len").cast("int").alias("len"),
+        F.sort_array(F.collect_list(F.when(c("_on") & wide, F.struct("s", "e")))).alias("cuts"))
+    end = F.array(F.struct(c("len").alias("s"), c("len").alias("e")))
+    between = F.transform(F.concat("cuts", end), lambda x, i: F.struct(
+        F.when(i == 0, 0).otherwise(F.get("cuts", i - 1).getField("e")).cast("int").alias("a"), x.getField("s").cast("int").alias("b")))
+    parts = F.filter(between, lambda x: x.getField("b") - x.getField("a") >= min_len)
+    whole = F.array(F.struct(F.lit(0).alias("a"), c("len").alias("b")))
+    short, empty = c("len") <= 2 * min_len, c("top") <= 0
+    blank = whole if occupancy else F.slice(whole, 1, 0)
+    return rows.withColumn("parts", parts).select(ID, F.inline(
+        F.when(short, whole).when(empty, blank).when(F.size("parts") >= 2, c("parts")).otherwise(whole)))
 
 
 def valley_cut(profile: DataFrame, height: int, ratios=(0.52, 0.58, 0.64, 0.70)) -> DataFrame:
