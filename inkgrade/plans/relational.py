@@ -85,10 +85,9 @@ def _(t):
     return R.teacher_results(t.submissions, t.tasks, t.students)
 
 
-@query("teacher_task_results", RESULT_SQL + " WHERE EXISTS (SELECT 1 FROM {nation_tasks} n WHERE n.s_nationkey = t.teacher_id AND n.lo = t.id)")
+@query("teacher_task_results", RESULT_SQL + " ORDER BY t.teacher_id, t.id, x.student_id, x.attempt_number, x.id")
 def _(t):
-    wanted = t.nation_tasks.select(F.col("s_nationkey").alias("teacher_id"), F.col("lo").alias("task_id"))
-    return R.teacher_task_results(t.submissions, t.tasks, t.students, wanted)
+    return R.teacher_task_results(t.submissions, t.tasks, t.students)
 
 
 @query("teacher_student_results", RESULT_SQL + " WHERE s.teacher_id = t.teacher_id")
@@ -131,11 +130,9 @@ def _(t):
     return R.teacher_submissions(t.submissions, t.tasks)
 
 
-@query("teacher_task_submissions", """SELECT x.*, t.teacher_id FROM {submissions} x JOIN {tasks} t ON t.id = x.task_id
-WHERE EXISTS (SELECT 1 FROM {nation_tasks} n WHERE n.s_nationkey = t.teacher_id AND n.hi = t.id)""")
+@query("teacher_task_submissions", "SELECT x.*, t.teacher_id FROM {submissions} x JOIN {tasks} t ON t.id = x.task_id ORDER BY t.teacher_id, t.id, x.student_id")
 def _(t):
-    wanted = t.nation_tasks.select(F.col("s_nationkey").alias("teacher_id"), F.col("hi").alias("task_id"))
-    return R.teacher_task_submissions(t.submissions, t.tasks, wanted)
+    return R.teacher_task_submissions(t.submissions, t.tasks)
 
 
 @query("submission_lookup", """SELECT a.submission_id, 'teacher' AS scope, a.teacher_id AS scope_id, x.status, x.id IS NOT NULL AS found

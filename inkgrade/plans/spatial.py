@@ -233,7 +233,7 @@ def _(t):
 q AS (SELECT *, greatest(rx1 - cx, cx - rx2, ry1 - cy, cy - ry2) AS best FROM p WHERE NOT (cx BETWEEN rx1 + rw * 0.275 AND rx2 - rw * 0.275 AND cy BETWEEN ry1 + rh * 0.275 AND ry2 - rh * 0.275)),
 s AS (SELECT *, CASE WHEN rx1 - cx = best THEN CASE WHEN abs(best) <= rw * 1.42 THEN 'left' END WHEN cx - rx2 = best THEN CASE WHEN abs(best) <= rw * 1.42 THEN 'right' END
   WHEN ry1 - cy = best THEN CASE WHEN abs(best) <= rh * 1.42 THEN 'top' END ELSE CASE WHEN abs(best) <= rh * 1.42 THEN 'bottom' END END AS side FROM q)
-SELECT s.drawing_id, s.role, s.x1, s.y1, s.x2, s.y2, s.text_count, s.line_count, s.side, round(1.2 * least(2, text_count) + 1.0 * least(2, line_count) + 0.4, 6) AS strength FROM s
+SELECT s.drawing_id, s.role, s.x1, s.y1, s.x2, s.y2, s.text_count, s.line_count, s.side, CAST(1.2 * least(2, text_count) + 1.0 * least(2, line_count) + 0.4 AS DOUBLE) AS strength FROM s
 WHERE side IS NOT NULL AND 1.2 * least(2, text_count) + 1.0 * least(2, line_count) + 0.4 >= 1.0
   AND NOT EXISTS (SELECT 1 FROM {{titles}} t WHERE t.drawing_id = s.drawing_id AND {inter('s', 't')} / greatest(1, least({area('s')}, {area('t')})) > 0.10)
   AND NOT EXISTS (SELECT 1 FROM {{role_boxes}} v WHERE v.drawing_id = s.drawing_id AND NOT (v.x1 = rx1 AND v.y1 = ry1 AND v.x2 = rx2 AND v.y2 = ry2) AND {inter('s', 'v')} / greatest(1, least({area('s')}, {area('v')})) > 0.08)""")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from inkgrade.operators import admission, writes
+from inkgrade.operators import admission, results, writes
 from inkgrade.sources import files, tables
 from inkgrade.streaming import uploads as U
 
@@ -99,3 +99,23 @@ def test_cascade_and_replacement(spark):
     out = writes.replace_assignments(t["task_assignments"], new, t["tasks"], t["students"])
     # task 100 asks for a student of another teacher and stays; task 200 is replaced, repeats dropped
     assert sorted(map(tuple, out.collect())) == [(100, 10), (200, 20)]
+
+
+def test_scopes(spark):
+    tasks = spark.createDataFrame([(100, 1, "A"), (200, 2, "B")], "id int, teacher_id int, title string")
+    students = spark.createDataFrame([(10, 1, "s"), (20, 2, "t")], "id int, teacher_id int, full_name string")
+    subs = spark.createDataFrame([("a", 100, 10), ("b", 100, 20), ("c", 200, 10)], "id string, task_id int, student_id int").selectExpr(
+        "*", "1 AS attempt_number", "'etalon' AS mode", "'pending' AS status", "0D AS total_score", "'x.png' AS uploaded_file_path",
+        "'' AS overlay_path", "timestamp_ntz'2024-01-01' AS created_at")
+    ids = lambda df: [r.submission_id for r in df.collect()]
+    ask = lambda cols, *rows: spark.createDataFrame(list(rows), cols)
+    assert ids(results.teacher_results(subs, tasks, students, ask("teacher_id int", (1,)))) == ["b", "a"]
+    # a task of another teacher is not shown, whoever asks
+    wanted = ask("teacher_id int, task_id int", (1, 100), (1, 200))
+    assert ids(results.teacher_task_results(subs, tasks, students, wanted)) == ["a", "b"]
+    # own students on own tasks only
+    assert ids(results.teacher_student_results(subs, tasks, students)) == ["a"]
+    assert ids(results.student_results(subs, tasks, students, ask("student_id int", (10,)))) == ["c", "a"]
+    asks = ask("submission_id string, teacher_id int", ("a", 1), ("c", 1))
+    found = {r.submission_id: r.found for r in results.submission_lookup(subs, tasks, asks, "teacher").collect()}
+    assert found == {"a": True, "c": False}
