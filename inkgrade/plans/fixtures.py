@@ -41,7 +41,7 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 WHERE (l_suppkey + o_custkey) % 5 <> 0
 """
 FIXTURES["submissions"] = """
-SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS id,
        l_suppkey AS task_id, o_custkey AS student_id,
        CAST(l_linenumber AS BIGINT) AS attempt_number,
        CASE WHEN l_suppkey % 2 = 0 THEN 'etalon' ELSE 'optional' END AS mode,
