@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgrade.functions.cols import ladder, messages
 from inkgrade.functions.text import band_label, grade_label, safe_text
+from inkgrade.functions.texts import TEXTS as T
 from inkgrade.operators import rubric_free as free, rubric_ref as ref
 from inkgrade.operators.boxes import resolve_roles
 
 c = F.col
 
+# Keys under which the scorers report.
 SCORE_KEYS = ["total_score", "score", "final_score", "overall_score", "total_ball", "ball"]
 DETAIL_KEYS = ["details", "ai_json_result", "json_result"]
 OVERLAY_KEYS = ["overlay_path", "overlay", "overlay_file"]
 TABLE_KEYS = ["table_json", "table", "rows"]
 
 
-def _part(doc: Column, key: str) -> Column:
-    return F.try_variant_get(doc, f"$.{key}", "variant")
+def _part(fields: Column, key: str) -> Column:
+    return F.try_element_at(fields, F.lit(key))
 
 
 def _kind(v: Column) -> Column:
@@ -50,10 +52,11 @@ def normalize_results(df: DataFrame, json: str = "json") -> DataFrame:
     """
     text = lambda v: F.try_variant_get(v, "$", "string")
     # each stage names what the next one reads several times, so that nothing is parsed twice
-    parsed = df.withColumn("_doc", F.try_parse_json(c(json)))
+    # a map of its top-level values needs one pass over the text, however many keys are looked up
+    parsed = df.withColumn("_doc", F.from_json(c(json), "map<string,variant>"))
     parts = parsed.select(
         *df.columns, c("_doc").isNull().alias("_bad"),
-        F.coalesce(*[F.try_variant_get("_doc", f"$.{k}", "string") for k in SCORE_KEYS]).alias("_raw"),
+        F.coalesce(*[text(_part(c("_doc"), k)) for k in SCORE_KEYS]).alias("_raw"),
         _first_truthy(c("_doc"), DETAIL_KEYS).alias("_details"), _first_truthy(c("_doc"), OVERLAY_KEYS).alias("_overlay"),
         _first_truthy(c("_doc"), TABLE_KEYS).alias("_table"))
     raw = c("_raw")
@@ -139,14 +142,14 @@ def collect_messages(modules: DataFrame, key: str = "submission_id", last: DataF
 
 
 FEEDBACK = [  # module, lowest share of its points, message
-    ("completeness_arrangement", 0.75, "Proyeksiyalar soni yoki joylashuvi bo‘yicha kamchiliklar bor."),
-    ("section_hatching", 0.65, "Qirqim/shtrixlash sifati yoki aniqlanishida muammo bor."),
-    ("dimensions", 0.70, "O‘lcham qo‘yish evidence sust yoki to‘liq emas."),
-    ("line_semantics", 0.70, "Chiziq turlari evidence yetarli emas."),
-    ("cleanliness", 0.70, "Chizma sifati, tozaligi yoki crop holati yaxshilanishi kerak."),
-    ("task_compliance", 0.80, "Topshiriq talablariga to‘liq moslik kuzatilmadi."),
+    ("completeness_arrangement", 0.75, T["fb_completeness"]),
+    ("section_hatching", 0.65, T["fb_hatching"]),
+    ("dimensions", 0.70, T["fb_dimensions"]),
+    ("line_semantics", 0.70, T["fb_lines"]),
+    ("cleanliness", 0.70, T["fb_cleanliness"]),
+    ("task_compliance", 0.80, T["fb_compliance"]),
 ]
-ALL_GOOD = "Chizma topshiriq va GOST/ESKD mezonlariga yaxshi mos keldi."
+ALL_GOOD = T["fb_all_good"]
 
 
 def feedback(modules: DataFrame, key: str = "submission_id") -> DataFrame:
@@ -167,13 +170,13 @@ def layout_reliability(df: DataFrame) -> DataFrame:
     """Confidence in the detected layout, with a warning for each penalty."""
     n, orth, share = c("projection_count"), c("orthographic_count"), F.coalesce("largest_share", F.lit(0.0))
     rules = [
-        (n <= 1, 0.35, "Projection count juda kam topildi; layout ishonchliligi past bo‘lishi mumkin."),
-        (n >= 6, 0.20, "Projection count juda ko‘p topildi; ortiqcha box yoki merge xatosi bo‘lishi mumkin."),
-        (orth == 0, 0.35, "Orthographic role ajratilmadi."),
-        (orth > 3, 0.15, "Orthographic role soni odatdagidan ko‘p."),
-        (~c("has_isometric"), 0.10, "Yaqqol tasvir aniqlanmadi."),
-        (~c("title_found"), 0.05, "Title block topilmadi."),
-        (share >= 0.72, 0.20, "Bitta projection box juda katta; bir nechta ko‘rinish merge bo‘lgan bo‘lishi mumkin."),
+        (n <= 1, 0.35, T["few_projections"]),
+        (n >= 6, 0.20, T["many_projections"]),
+        (orth == 0, 0.35, T["no_orthographic"]),
+        (orth > 3, 0.15, T["many_orthographic"]),
+        (~c("has_isometric"), 0.10, T["isometric_unseen"]),
+        (~c("title_found"), 0.05, T["no_title_block"]),
+        (share >= 0.72, 0.20, T["one_large_box"]),
     ]
     score = reduce(lambda s, r: s - F.when(r[0], r[1]).otherwise(0.0), rules, F.lit(1.0))
     score = F.bround(F.greatest(F.lit(0.0), score), 4)

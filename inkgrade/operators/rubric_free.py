@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from inkgrade.functions.boxes import center_x, center_y, x_overlap, y_overlap
 from inkgrade.functions.cols import all_of, clip, flag, ladder, messages
 from inkgrade.functions.text import task_requirements
+from inkgrade.functions.texts import TEXTS as T
 
 c = F.col
 
+# The modules of the stand-alone rubric.
 MODULES = [  # order, key, criterion text, points
     (1, "completeness_arrangement", "Proyeksiyalar to‘liqligi va joylashuvi", 15),
     (2, "section_hatching", "Qirqim va shtrixovka sifati", 10),
@@ -28,9 +30,9 @@ def view_count_points(count, required=3, top=6):
 def view_count_errors(count, required=3):
     short = count < required
     return messages(
-        (short & (count == 2), "Bitta asosiy proyeksiya yetishmaydi"),
-        (short & (count == 1), "Kamida ikkita asosiy proyeksiya yetishmaydi"),
-        (short & ~count.isin(1, 2), "Asosiy proyeksiyalar topilmadi"))
+        (short & (count == 2), T["one_view_missing"]),
+        (short & (count == 1), T["two_views_missing"]),
+        (short & ~count.isin(1, 2), T["no_views"]))
 
 
 def score_view_count(df: DataFrame, required: int = 3, top: int = 6) -> DataFrame:
@@ -78,16 +80,16 @@ def score_completeness(df: DataFrame, required: int = 3, system: str = "first_an
     errors = F.concat(
         view_count_errors(c("orthographic_count"), required),
         messages(
-            (~c("has_isometric"), "Yaqqol tasvir topilmadi"),
-            (~f, "FRONT view aniqlanmadi"), (~t, "TOP view aniqlanmadi"), (~s, "SIDE view aniqlanmadi"),
-            (~f, "Arrangement tekshirish uchun FRONT yo‘q"),
-            (f & t & ~c("top_direction_ok"), "TOP view FRONT'ga nisbatan noto‘g‘ri tomonda"),
-            (f & t & ~c("top_alignment_ok"), "TOP view FRONT bilan vertikal o‘qda yetarli mos emas"),
-            (f & ~t, "TOP view yo‘qligi sabab arrangement tekshirilmadi"),
-            (f & s & ~c("side_direction_ok"), "SIDE view FRONT'ga nisbatan chap/o‘ngda joylashmagan"),
-            (f & s & ~c("side_alignment_ok"), "SIDE view FRONT bilan gorizontal o‘qda yetarli mos emas"),
-            (f & ~s, "SIDE view yo‘qligi sabab arrangement tekshirilmadi")))
-    extra = F.concat(c("extra_count").cast("string"), F.lit(" ta ortiqcha orthographic region mavjud yoki roli aniqlanmagan"))
+            (~c("has_isometric"), T["no_isometric"]),
+            (~f, T["no_front"]), (~t, T["no_top"]), (~s, T["no_side"]),
+            (~f, T["arrangement_needs_front"]),
+            (f & t & ~c("top_direction_ok"), T["top_wrong_side"]),
+            (f & t & ~c("top_alignment_ok"), T["top_not_aligned"]),
+            (f & ~t, T["top_not_checked"]),
+            (f & s & ~c("side_direction_ok"), T["side_wrong_side"]),
+            (f & s & ~c("side_alignment_ok"), T["side_not_aligned"]),
+            (f & ~s, T["side_not_checked"])))
+    extra = F.concat(c("extra_count").cast("string"), F.lit(T["extra_views"]))
     return out.withColumn(
         "score", c("view_count") + c("isometric_presence") + c("role_presence") + c("arrangement")
     ).withColumn("errors", errors).withColumn("warnings", messages((c("extra_count") > 0, extra)))
@@ -141,14 +143,14 @@ def hatching_points(df: DataFrame) -> DataFrame:
     presence = ladder(c("best.quality"), [(0.55, 3), (0.35, 2)], 1)
     in_range = cover.between(0.004, 0.24)
     total = F.least(F.lit(10), presence + angle + spacing + flag(in_range) + flag(par >= 0.70))
-    none = "Hatch/qirqim topilmadi. Keyin task compliance moduli qirqim talab qilingan-qilinmaganini tekshiradi."
+    none = T["no_hatch"]
     return df.select(
         "*", found.alias("applicable"), c("best.role").alias("best_role"), F.when(found, total).otherwise(0).alias("score"),
-        messages((found & (angle == 0), "Hatch chiziqlari burchagi yetarli darajada bir xil emas"),
-                 (found & (spacing == 0), "Hatch chiziqlari oralig‘i notekis"),
-                 (found & (par < 0.34), "Hatch diagonallari yetarli darajada parallel emas")).alias("errors"),
-        messages((~found, none), (found & cv.isNull(), "Hatch spacing regularity to‘liq baholanmadi"),
-                 (found & ~in_range, "Hatch coverage juda kichik yoki juda katta ko‘rinadi")).alias("warnings"))
+        messages((found & (angle == 0), T["hatch_angle"]),
+                 (found & (spacing == 0), T["hatch_spacing"]),
+                 (found & (par < 0.34), T["hatch_parallel"])).alias("errors"),
+        messages((~found, none), (found & cv.isNull(), T["hatch_spacing_unknown"]),
+                 (found & ~in_range, T["hatch_coverage"])).alias("warnings"))
 
 
 def score_hatching(candidates: DataFrame) -> DataFrame:
@@ -192,11 +194,11 @@ def dimension_points(sums: DataFrame) -> DataFrame:
     outside = F.when(clusters > 0, 1.0).otherwise(0.0)  # a kept cluster always lies outside its view
     place = ladder(outside, [(0.82, 2), (0.62, 1)], 0)
     return sums.withColumn("score", F.least(F.lit(15), covered + text + line + place)).withColumn(
-        "errors", messages((roles == 0, "Asosiy ko‘rinishlar atrofida o‘lcham evidence topilmadi"))
+        "errors", messages((roles == 0, T["no_dimensions"]))
     ).withColumn("warnings", messages(
-        (roles == 1, "O‘lchamlar faqat bitta ko‘rinishda aniq ko‘rindi"),
-        (texts == 0, "O‘lcham matni/raqamlariga oid evidence juda kam"),
-        (lines == 0, "Dimension line evidence juda kam")))
+        (roles == 1, T["dimensions_one_view"]),
+        (texts == 0, T["dimension_text_low"]),
+        (lines == 0, T["dimension_lines_low"])))
 
 
 # ---- line semantics ---------------------------------------------------------------------------
@@ -222,12 +224,12 @@ def line_points(sums: DataFrame) -> DataFrame:
     mixed = (F.when(all_of(v >= 3, h >= 1, m >= 1), 3).when((v >= 2) & ((h >= 1) | (m >= 1)), 2)
              .when(v >= 1, 1).otherwise(0))
     return sums.withColumn("score", F.least(F.lit(15), visible + hidden + center + mixed)).withColumn(
-        "errors", messages((v == 0, "Asosiy kontur chiziqlari evidence topilmadi"))
+        "errors", messages((v == 0, T["no_contours"]))
     ).withColumn("warnings", messages(
-        (v == 1, "Kontur chiziqlari faqat bitta ko‘rinishda aniq ko‘rindi"),
-        (h == 0, "Shtrix/yashirin chiziqlar evidence juda kam"),
-        (m == 0, "Markaz chiziqlari evidence topilmadi yoki juda sust"),
-        ((s == 0) & (m >= 1), "Markaz chiziqlari kuchsiz evidence bilan topildi")))
+        (v == 1, T["contours_one_view"]),
+        (h == 0, T["hidden_low"]),
+        (m == 0, T["center_low"]),
+        ((s == 0) & (m >= 1), T["center_weak"])))
 
 
 # ---- cleanliness ------------------------------------------------------------------------------
@@ -241,10 +243,10 @@ def score_cleanliness_free(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.least(F.lit(10), sharp + contrast + ground + edge)).withColumn(
         "errors", F.array().cast("array<string>")
     ).withColumn("warnings", messages(
-        (sharp <= 1, "Rasmning aniqligi past yoki biroz xira ko‘rinadi"),
-        (contrast == 0, "Kontrast past, chiziqlar ajralishi sust bo‘lishi mumkin"),
-        ((ground <= 1) & (count > 0), "Asosiy zonalardan tashqarida ortiqcha shovqin/kir belgilari mavjud"),
-        (edge == 0, "Chizma chetga juda yaqin yoki crop juda tig‘iz")))
+        (sharp <= 1, T["blurred"]),
+        (contrast == 0, T["contrast_low"]),
+        ((ground <= 1) & (count > 0), T["stray_marks"]),
+        (edge == 0, T["tight_edge"])))
 
 
 # ---- task compliance --------------------------------------------------------------------------
@@ -260,12 +262,12 @@ def score_task_compliance(df: DataFrame) -> DataFrame:
     section_missing = c("requires_section") & (c("detected") <= 0)
     dims = F.when(~c("requires_dimensions"), 2).otherwise(clip(roles, 0, 2))
     total = views + F.when(iso_missing, 0).otherwise(2) + F.when(section_missing, 0).otherwise(2) + dims
-    short = F.concat(F.lit("Talab qilingan proyeksiyalar soni yetarli emas: kerak="), need.cast("string"),
-                     F.lit(", topildi="), have.cast("string"))
+    short = F.concat(F.lit(T["views_short"]), need.cast("string"),
+                     F.lit(T["views_found"]), have.cast("string"))
     return df.withColumn("score", F.least(F.lit(10), total)).withColumn("errors", messages(
         (have < need, short),
-        (iso_missing, "Topshiriqda yaqqol tasvir talab qilingan, lekin topilmadi"),
-        (section_missing, "Topshiriqda qirqim/kesim talab qilingan, lekin evidence topilmadi"),
-        (c("requires_dimensions") & (roles < 1), "Topshiriqda o‘lcham qo‘yish talab qilingan, lekin dimension evidence topilmadi"),
+        (iso_missing, T["isometric_required"]),
+        (section_missing, T["section_required"]),
+        (c("requires_dimensions") & (roles < 1), T["dimensions_required"]),
     )).withColumn("warnings", messages(
-        (c("requires_dimensions") & (roles == 1), "O‘lcham evidence bor, lekin faqat bitta ko‘rinishda aniq topildi")))
+        (c("requires_dimensions") & (roles == 1), T["dimensions_once"])))

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inkgrade.functions.cols import all_of, at_least_one, clip, clip01, flag, ladder, points
+from inkgrade.functions.texts import TEXTS as T
 
 c = F.col
 
+# The criteria of the comparison rubric.
 CRITERIA = [  # order, key, criterion text, points
     (1, "frame", "Ramka + burchak shtampi", 3),
     (2, "placement", "Chizmani to'g'ri joylashtirish", 6),
@@ -152,10 +154,10 @@ def score_visible_view(df: DataFrame) -> DataFrame:
     iou = c("view_iou")
     ratio, balance = _balance("view_stu_area", "view_ref_area")
     reason = (
-        F.when(stu < F.greatest(F.lit(80), (0.15 * ref).cast("int")), "student_visible_area_too_small")
-        .when(comp < 0.18, "student_did_not_draw_visible_view")
-        .when(ratio < 0.20, "visible_view_area_ratio_too_small")
-        .when((c("ref_diag") >= 0.16) & (c("stu_diag") < 0.05), "student_has_no_visible_view_diagonal_structure")
+        F.when(stu < F.greatest(F.lit(80), (0.15 * ref).cast("int")), T["view_area_small"])
+        .when(comp < 0.18, T["view_not_drawn"])
+        .when(ratio < 0.20, T["view_area_ratio"])
+        .when((c("ref_diag") >= 0.16) & (c("stu_diag") < 0.05), T["view_no_diagonals"])
     )
     quality = clip01(0.50 * _f1(comp, corr) + 0.22 * comp + 0.18 * corr + 0.10 * F.sqrt(F.greatest(iou, F.lit(0.0))))
     worst = F.least(comp, corr)
@@ -173,9 +175,9 @@ def score_visible_section(df: DataFrame) -> DataFrame:
     right = F.when(stu > 0, c("sect_right")).otherwise(0.0)
     _, balance = _balance("sect_stu_area", "sect_ref_area")
     reason = (
-        F.when(ref < 120, "reference_section_region_not_found_or_invalid_roi")
-        .when(stu < F.greatest(F.lit(100), (0.12 * ref).cast("int")), "student_has_no_section_region")
-        .when(recall < 0.20, "student_section_not_in_correct_place")
+        F.when(ref < 120, T["section_no_reference"])
+        .when(stu < F.greatest(F.lit(100), (0.12 * ref).cast("int")), T["section_missing"])
+        .when(recall < 0.20, T["section_misplaced"])
     )
     quality = clip01(0.46 * _f1(recall, right) + 0.26 * recall + 0.16 * right + 0.12 * F.sqrt(F.greatest(iou, F.lit(0.0))))
     below = lambda a, b: (recall < a) | (right < b)
