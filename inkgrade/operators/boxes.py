@@ -84,12 +84,37 @@ def _merge_in_row(boxes: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return rows.select(*keys, F.inline(F.aggregate("m", F.array().cast(kind), add)))
 
 
+def _merge_on_lattice(boxes: DataFrame, keys: list[str], gap: int, step: int = 32) -> DataFrame:
+    """Merge boxes that, widened by the gap, hold the same lattice point: those are always close.
+
+    A grouped minimum and maximum per point, without forming pairs. Boxes between the points stay.
+    """
+    def points(low, high):
+        first, last = F.ceil(c(low) / step), F.floor((c(high) + gap) / step)
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    rows = boxes.withColumn("_px", points("x1", "x2")).withColumn("_py", points("y1", "y2"))
+    apart = (F.size("_px") == 0) | (F.size("_py") == 0)
+    held = rows.filter(~apart).withColumn("_px", F.explode("_px")).withColumn("_py", F.explode("_py"))
+    hulls = held.groupBy(*keys, "_px", "_py").agg(*_hull()).drop("_px", "_py")
+    return hulls.unionByName(rows.filter(apart).drop("_px", "_py")).distinct()
+
+
 def _merge_spread(boxes: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Grow boxes round by round until none is close to another; hulls double their reach each round."""
+    """Merge crowded drawings without gathering them.
+
+    First on lattice points while that thins the boxes out. What remains hardly overlaps; it is joined
+    over lookup cells round by round, each box growing to the hull of all it is close to, until no box
+    is close to another.
+    """
     on = [*keys, "gx", "gy"]
     cur = cut_lineage(boxes.select(*keys, *[c(s).cast("int").alias(s) for s in SIDES]))
+    before, now = None, cur.count()
+    while before is None or now < 0.9 * before:
+        cur = cut_lineage(_collapse(_merge_on_lattice(cur, keys, gap), keys, gap))
+        before, now = now, cur.count()
     while True:
-        cells = _cells(cur, gap)
+        cells = _cells(cur, gap, size=128)
         near = _renamed(cells, "b_", on)
         grown = cells.join(near, on).filter(boxes_close(box(), box("b_"), gap)).groupBy(*keys, *SIDES).agg(
             *[e.alias("n_" + s) for e, s in zip(
