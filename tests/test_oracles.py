@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from inkgrade.plans.catalog import QUERIES, oracle_statements
 from inkgrade.plans.fixtures import BASE
 from tools.compare import cell
 
 DIR = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = oracle_statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
