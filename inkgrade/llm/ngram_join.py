@@ -7,7 +7,6 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from inkgrade.llm.common import LOWER_BYTES
@@ -16,8 +15,6 @@ from inkgrade.operators.lineage import cut_lineage
 N, PERCENT = 5, 80
 #: Hash seeds that a document may need until its strong parts suffice; the last one takes weak parts too.
 SEEDS = 8
-#: Documents of one pre-merge bucket that later ones are compared with.
-PIVOTS = 8
 #: Documents that share a signature are told apart by further signatures beyond so many.
 CROWD = 64
 #: Rows of ids and numbers up to which a side is broadcast; beyond, it is joined by shuffling.
@@ -33,28 +30,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_BASE = 0x9E3779B97F4A7C15
+_TIMES = np.array([pow(_BASE, 2 * i + 3, 2**64) for i in range(64)], dtype=_U)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_powers: list[np.ndarray] = [np.empty(0, dtype=_U)] * 2
 
 
-_HASHES = _WordHashes()
+def _powers_upto(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for at, factor in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _powers[at] = np.cumprod(np.full(2 * n, factor, dtype=_U))
+    return _powers
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased words in order: each word's bytes as a polynomial, taken from running sums."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES)
+    if not raw:
+        return np.empty(0, dtype=_U)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    up, down = _powers_upto(len(data) + 1)
+    word = np.concatenate(([False], ~_BLANK[data], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[:len(data)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """Sorted hashes of the distinct runs of ``n`` words; of shorter texts, of all words; empty without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
-    if not words:
-        return np.empty(0, dtype=_U)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(n, len(h))
-    total = np.full(len(h) - width + 1, width, dtype=_U)
+    count = len(h) - width + 1
+    total = np.full(count, width, dtype=_U)
     for i in range(width):
-        total = _mixed(total * _U(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i])
-    return np.unique(total)
+        total += h[i:count + i] * _TIMES[i]
+    return np.unique(_mixed(total))
 
 
 @cache
@@ -74,22 +89,23 @@ def _differences(size: int, band: int, percent: int) -> int:
     return min((100 - percent) * size // percent, (100 - percent) * (size + top) // (100 + percent))
 
 
-def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) -> np.ndarray:
-    """PartEnum signatures: linked sets share at least one.
+def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) -> tuple[np.ndarray, int]:
+    """PartEnum signatures, of which linked sets share at least one, and the set's slack.
 
     Sizes fall into bands that double; a set that a larger one may link to from the next band takes part there too.
     A band's domain is cut by hash into more parts than a linked pair can have differences, so some parts are equal
     in both. A signature is a part's whole content. Parts of fewer than two features are weak and give none: while a
     set has no fewer weak parts than equal parts guaranteed, it goes on to the next seed, where the same holds; with
     the last seed weak parts count. So of any linked pair, some strong part is equal under the first seed at which
-    either set needs no further one, and both sets have signatures there.
+    either set needs no further one, and both sets have signatures there: as many as the slack of the set that stops,
+    or more.
     """
     size = len(features)
     if not size:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), 0
     own = size.bit_length() - 1
     bands = [own] + [own + 1] * (100 * size >= percent * 2 ** (own + 1))
-    out = []
+    out, slack = [], 2**31 - 1
     for band in bands:
         parts = _parts(band, percent)
         guaranteed = parts - _differences(size, band, percent)
@@ -97,13 +113,13 @@ def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) ->
             salt = _U(((level * SEEDS + seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
             place = _U(((band + 1) * 0xA0761D6478BD642F + int(salt)) & (2**64 - 1))
             scattered = _mixed(features ^ salt)
-            part = (scattered >> _U(33)) % _U(parts)
-            order = np.argsort(part, kind="stable")
-            part, values = part[order], _mixed(scattered[order] + salt)
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            counts = np.diff(np.r_[starts, size])
-            sums = np.add.reduceat(values, starts)
-            mark = part[starts] * _U(0xD6E8FEB86659FD93) + place
+            part = ((scattered >> _U(33)) % _U(parts)).astype(np.uint16 if parts < 65536 else np.int64)
+            every = np.bincount(part, minlength=parts)
+            full = np.flatnonzero(every)
+            counts = every[full]
+            values = _mixed(scattered + salt)[np.argsort(part, kind="stable")]
+            sums = np.add.reduceat(values, np.cumsum(counts) - counts)
+            mark = full.astype(_U) * _U(0xD6E8FEB86659FD93) + place
             found = _mixed(sums ^ _mixed(mark + counts.astype(_U)))
             if parts == 1:
                 out.append(found)
@@ -113,11 +129,12 @@ def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) ->
             last = seed == SEEDS - 1
             out.append(found if last else found[strong])
             if last and len(counts) < parts:  # parts without any feature are equal parts as well
-                bare = np.setdiff1d(np.arange(parts, dtype=_U), part[starts])
+                bare = np.flatnonzero(every == 0).astype(_U)
                 out.append(_mixed(bare * _U(0xD6E8FEB86659FD93) + place))
-            if weak < guaranteed:
+            if weak < guaranteed or last:
+                slack = min(slack, max(0, guaranteed - weak))
                 break
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64), slack
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -129,49 +146,45 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _bucketed(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(bucket, doc_id, text): documents with equal least signature share a bucket."""
-    def buckets(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, texts in parts:
-            found = []
-            for i, text in zip(ids, texts, strict=True):
-                s = signatures(shingles(text, n), percent)
-                found.append(int(s[0]) if len(s) else hash((0 if pd.isna(i) else int(i), 7)))
-            yield pd.Series(found, dtype="int64")
+def _signed(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """(doc_id, n_shingles, slack, signatures) of every row; a null id has no signatures."""
+    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                features = shingles(text, n)
+                found, slack = signatures(features, percent)
+                out.append((i, len(features), slack, found[:0] if pd.isna(i) else found))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "slack", "signatures"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.pandas_udf(buckets, "long")("doc_id", "text").alias("bucket"), "doc_id", "text")
+    return docs.mapInPandas(sign, "doc_id long, n_shingles long, slack int, signatures array<long>")
 
 
-def _premerged(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(doc_id, n_shingles, label, signatures): the label is the first document of the bucket found linked.
+def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """(doc_id, label) of documents that link to the first one of those sharing their least signature.
 
-    Buckets are read as sorted streams and compared with a few leading documents each, so one that holds most
-    documents may be split between tasks; what is not found here is found from the signatures.
+    A bucket's documents are compared with the first of their share of it, these with the first of the bucket, so no
+    document meets more than about the root of the bucket's size.
     """
-    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, pivots = None, []
-        for pdf in parts:
-            out = []
-            for b, i, text in zip(pdf["bucket"], pdf["doc_id"], pdf["text"], strict=True):
-                features = shingles(text, n)
-                if pd.isna(i):
-                    out.append((None, len(features), None, np.empty(0, dtype=np.int64)))
-                    continue
-                if b != bucket:
-                    bucket, pivots = b, []
-                label = next((p for p, f in pivots if linked(f, features, percent)), None)
-                if label is None:
-                    label = i
-                    if len(pivots) < PIVOTS:
-                        pivots.append((i, features))
-                out.append((i, len(features), label, signatures(features, percent)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "label", "signatures"])
-            yield frame.astype({"doc_id": "Int64", "n_shingles": "int64", "label": "Int64"})
-
-    partitions = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = _bucketed(docs, percent, n).hint("rebalance", partitions, "bucket")
-    return spread.sortWithinPartitions("bucket", "doc_id").mapInPandas(
-        merge, "doc_id long, n_shingles long, label long, signatures array<long>")
+    least = signed.where(F.size("signatures") > 0).select(
+        "doc_id", "n_shingles", F.element_at("signatures", 1).alias("bucket"))
+    sizes = least.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shares = F.pmod(F.xxhash64("doc_id"), F.ceil(F.sqrt("n")).cast("long"))
+    rows = cut_lineage(least.join(sizes, "bucket").withColumn("share", shares))
+    lead = F.min(F.struct("doc_id", "n_shingles")).alias("lead")
+    first = rows.groupBy("bucket", "share").agg(lead)
+    top = first.groupBy("bucket").agg(F.min("lead").alias("lead"))
+    near = rows.join(first, ["bucket", "share"]).select("lead", "doc_id", "n_shingles")
+    far = first.select("bucket", "lead.*").join(top, "bucket").select("lead", "doc_id", "n_shingles")
+    pairs = near.union(far).select(
+        F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"), F.col("doc_id").alias("b"),
+        F.col("n_shingles").alias("n_b")).where("a <> b")
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    links = cut_lineage(_verified(pairs.where(fits).select("a", "b").distinct(), docs, percent, n).groupBy("b").agg(
+        F.min("a").alias("a")))
+    up = links.select(F.col("b").alias("a"), F.col("a").alias("above"))
+    return cut_lineage(links.join(up, "a", "left").select(
+        F.col("b").alias("doc_id"), F.coalesce("above", "a").alias("label")))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -188,14 +201,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFr
         for left, right in parts:
             last, features, found = None, None, []
             for a, b in zip(left, right, strict=True):
+                if a == b:
+                    found.append(True)
+                    continue
                 if a != last:
                     last, features = a, shingles(a, n)
                 found.append(linked(features, shingles(b, n), percent))
             yield pd.Series(found, dtype=bool)
 
     texts = docs.select("doc_id", "text")
+    wanted = pairs.select(F.col("b").alias("doc_id")).distinct()
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(_small(pairs, rows), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    second = texts.join(_small(wanted, rows), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    both = first.join(second, "b")
     return both.where(F.pandas_udf(check, "boolean")("text_a", "text_b")).select(*pairs.columns)
 
 
@@ -220,19 +238,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    return cut_lineage(rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(
+        "signature"))
+
+
+def _uncrowded(rows: DataFrame) -> DataFrame:
+    """Leave crowded signatures to the documents that need them.
+
+    A linked pair shares as many signatures as either document's slack, so one that has fewer crowded signatures
+    than that meets every partner under another one as well.
+    """
+    crowded = _crowded(rows)
+    n = crowded.count()
+    if not n:
+        return rows
+    busy = rows.join(_small(crowded, n), "signature")
+    bound = busy.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("slack").alias("slack")).where(
+        "n >= slack").select("doc_id")
+    return cut_lineage(rows.join(_small(crowded, n), "signature", "left_anti").unionByName(busy.join(bound, "doc_id")))
+
+
 def _refined(rows: DataFrame, docs: DataFrame, percent: int, n: int, level: int) -> DataFrame:
-    """Crowded signatures (more than CROWD documents) split by the documents' signatures of a further level.
+    """Crowded signatures split by the documents' signatures of a further level.
 
     Linked documents share a signature at every level, so none of their meetings is lost.
     """
-    crowded = cut_lineage(rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(
-        "signature"))
+    crowded = _crowded(rows)
     if crowded.isEmpty():
         return rows
 
     def more(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([signatures(shingles(t, n), percent, level) for t in texts])
+            yield pd.Series([signatures(shingles(t, n), percent, level)[0] for t in texts], dtype=object)
 
     busy = rows.join(crowded, "signature")
     wanted = busy.select("doc_id").distinct()
@@ -261,8 +299,11 @@ def near_duplicates(
     whole; an empty table gives no rows; other columns are left out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = cut_lineage(_premerged(docs, percent, n))
-    exploded = found.select("doc_id", "n_shingles", "label", F.explode("signatures").alias("signature"))
+    signed = cut_lineage(_signed(docs, percent, n))
+    labels = _premerged(signed, docs, percent, n)
+    found = signed.join(_small(labels, labels.count()), "doc_id", "left").withColumn(
+        "label", F.coalesce("label", "doc_id"))
+    exploded = found.select("doc_id", "n_shingles", "slack", "label", F.explode("signatures").alias("signature"))
     met = cut_lineage(exploded.groupBy("signature").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature"))
     rows = cut_lineage(exploded.join(_small(met, met.count()), "signature").distinct())
@@ -281,14 +322,17 @@ def near_duplicates(
         if rows.isEmpty():
             break
         if stage == "every":
+            rows = _uncrowded(rows)
             for level in (1, 2):
                 rows = _refined(rows, docs, percent, n, level)
             left, right = rows.select("signature", *side("a")), rows.select("signature", *side("b"))
             candidates = left.join(right, "signature").where("label_a < label_b")
         else:
             pick = F.min if stage == "least" else F.max
-            lead = rows.groupBy("signature").agg(pick(F.struct("label", "doc_id", "n_shingles")).alias("lead"))
-            candidates = rows.select("signature", *side("b")).join(lead, "signature").select(
+            one = rows.groupBy("signature", "label").agg(F.min(F.struct("doc_id", "n_shingles")).alias("one")).select(
+                "signature", "label", "one.*")
+            lead = one.groupBy("signature").agg(pick(F.struct("label", "doc_id", "n_shingles")).alias("lead"))
+            candidates = one.select("signature", *side("b")).join(lead, "signature").select(
                 F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"),
                 F.col("lead.label").alias("label_a"), "b", "n_b", "label_b")
         new = cut_lineage(_verified(pairs_of(candidates.select(*columns)), docs, percent, n).select(
@@ -301,7 +345,7 @@ def near_duplicates(
             "label", F.coalesce("component", "label")).drop("component")
         still = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
             "low < high").select("signature")
-        rows = cut_lineage(rows.join(still, "signature").select("doc_id", "n_shingles", "label", "signature"))
+        rows = cut_lineage(rows.join(still, "signature").select("doc_id", "n_shingles", "slack", "label", "signature"))
         # Edges join classes as they were labelled; from here on they join the classes' least documents.
         edges = cut_lineage(classes.where("node <> component").select(
             F.col("node").alias("a"), F.col("component").alias("b")))
