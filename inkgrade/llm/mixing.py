@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkgrade.llm.common import word_count
+from inkgrade.operators.lineage import cut_lineage
 
 #: A run of equally hashed rows of one source and size class holds about this many rows at most.
 ROWS_PER_RUN = 65_536
@@ -82,7 +83,8 @@ def mixed_copies(
         kept, F.coalesce(F.concat(F.lit("="), source), F.lit("-")).alias("part"), size.alias("size"),
         F.col(id_col).alias("id"), hashed.alias("hash"),
     ).withColumns({"class": size_class(F.col("size")), "run": F.substring("hash", 1, digits)})
-    runs = rows.groupBy("part", "class", "run").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    runs = cut_lineage(rows.groupBy("part", "class", "run").agg(
+        F.count("*").alias("n"), F.sum("size").alias("words")))  # read four times below, so the texts are not
     named = F.when(F.col("part") != "-", F.substring(F.col("part"), 2, 2**30)).alias("source")
     targets = source_targets(
         runs.groupBy("part").agg(F.sum("words").alias("source_size")).select(named, "source_size"),
