@@ -17,8 +17,8 @@ N, PERCENT = 5, 80
 SEEDS = 8
 #: Documents that share a signature are told apart by further signatures beyond so many.
 CROWD = 64
-#: Rows of ids and numbers up to which a side is broadcast; beyond, it is joined by shuffling.
-BROADCAST_ROWS = 300_000
+#: Rows of one or two numbers up to which a side is broadcast; beyond, it is joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
 
@@ -246,17 +246,22 @@ def _crowded(rows: DataFrame) -> DataFrame:
 def _uncrowded(rows: DataFrame) -> DataFrame:
     """Leave crowded signatures to the documents that need them.
 
-    A linked pair shares as many signatures as either document's slack, so one that has fewer crowded signatures
-    than that meets every partner under another one as well.
+    A linked pair shares as many signatures as the slack of one of its documents, or more. A document that has fewer
+    crowded signatures than slack meets every partner under others as well; its slack becomes what is left for
+    those. The others keep all signatures and a slack of one.
     """
     crowded = _crowded(rows)
     n = crowded.count()
     if not n:
         return rows
-    busy = rows.join(_small(crowded, n), "signature")
-    bound = busy.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("slack").alias("slack")).where(
-        "n >= slack").select("doc_id")
-    return cut_lineage(rows.join(_small(crowded, n), "signature", "left_anti").unionByName(busy.join(bound, "doc_id")))
+    busy = cut_lineage(rows.join(_small(crowded, n), "signature"))
+    counts = busy.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("slack").alias("least"))
+    bound = counts.where("n >= least").select("doc_id")
+    left = F.when(F.col("n").isNull(), F.col("slack")).otherwise(F.greatest(F.lit(1), F.col("least") - F.col("n")))
+    loose = rows.join(_small(crowded, n), "signature", "left_anti").join(
+        counts, "doc_id", "left").withColumn("slack", left.cast("int")).select(rows.columns)
+    return cut_lineage(loose.unionByName(
+        busy.join(bound, "doc_id").withColumn("slack", F.lit(1)).select(rows.columns)))
 
 
 def _refined(rows: DataFrame, docs: DataFrame, percent: int, n: int, level: int) -> DataFrame:
@@ -308,34 +313,39 @@ def near_duplicates(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature"))
     rows = cut_lineage(exploded.join(_small(met, met.count()), "signature").distinct())
 
-    def pairs_of(candidates: DataFrame) -> DataFrame:
-        """(a, b, label_a, label_b) of candidates in different classes whose sizes allow a link, each once."""
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        return candidates.where(fits & (F.col("label_a") != F.col("label_b")) & (F.col("a") != F.col("b"))).select(
-            "a", "b", "label_a", "label_b").distinct()
-
+    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") != F.col("b"))
     edges = None
-    columns = ["a", "n_a", "label_a", "b", "n_b", "label_b"]
     side = lambda s: [F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"),
-                      F.col("label").alias(f"label_{s}")]
+                      F.col("label").alias(f"label_{s}"), F.col("slack").alias(f"slack_{s}")]
+    if not rows.isEmpty():
+        rows = _uncrowded(rows)
     for stage in ("least", "greatest", "every"):
         if rows.isEmpty():
             break
         if stage == "every":
-            rows = _uncrowded(rows)
             for level in (1, 2):
                 rows = _refined(rows, docs, percent, n, level)
             left, right = rows.select("signature", *side("a")), rows.select("signature", *side("b"))
-            candidates = left.join(right, "signature").where("label_a < label_b")
+            candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b"))).groupBy(
+                "a", "b", "label_a", "label_b").agg(
+                F.count("*").alias("shared"), F.min(F.least("slack_a", "slack_b")).alias("slack")
+            ).where("shared >= slack")
         else:
+            # Where many documents still crowd, one of every class meets the first and the last class.
+            crowded = _crowded(rows)
+            if crowded.isEmpty():
+                continue
             pick = F.min if stage == "least" else F.max
-            one = rows.groupBy("signature", "label").agg(F.min(F.struct("doc_id", "n_shingles")).alias("one")).select(
-                "signature", "label", "one.*")
+            one = rows.join(crowded, "signature").groupBy("signature", "label").agg(
+                F.min(F.struct("doc_id", "n_shingles")).alias("one")).select("signature", "label", "one.*")
             lead = one.groupBy("signature").agg(pick(F.struct("label", "doc_id", "n_shingles")).alias("lead"))
-            candidates = one.select("signature", *side("b")).join(lead, "signature").select(
+            candidates = one.withColumn("slack", F.lit(1)).select("signature", *side("b")).join(
+                lead, "signature").select(
                 F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"),
-                F.col("lead.label").alias("label_a"), "b", "n_b", "label_b")
-        new = cut_lineage(_verified(pairs_of(candidates.select(*columns)), docs, percent, n).select(
+                F.col("lead.label").alias("label_a"), "b", "n_b", "label_b").where(
+                fits & (F.col("label_a") != F.col("label_b")))
+        pairs = candidates.select("a", "b", "label_a", "label_b").distinct()
+        new = cut_lineage(_verified(pairs, docs, percent, n).select(
             F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
         if new.isEmpty():
             continue
