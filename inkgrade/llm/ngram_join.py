@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkgrade.llm.common import LOWER_BYTES
 from inkgrade.operators.lineage import cut_lineage
@@ -97,8 +97,8 @@ def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) ->
     in both. A signature is a part's whole content. Parts of fewer than two features are weak and give none: while a
     set has no fewer weak parts than equal parts guaranteed, it goes on to the next seed, where the same holds; with
     the last seed weak parts count. So of any linked pair, some strong part is equal under the first seed at which
-    either set needs no further one, and both sets have signatures there: as many as the slack of the set that stops,
-    or more.
+    either set needs no further one, and both sets have signatures there. The slack is the least number of signatures
+    that the set shares with any linked one: what the first seed guarantees, or one where that did not suffice.
     """
     size = len(features)
     if not size:
@@ -132,7 +132,7 @@ def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) ->
                 bare = np.flatnonzero(every == 0).astype(_U)
                 out.append(_mixed(bare * _U(0xD6E8FEB86659FD93) + place))
             if weak < guaranteed or last:
-                slack = min(slack, max(0, guaranteed - weak))
+                slack = min(slack, guaranteed - weak if seed == 0 else 1)
                 break
     return np.unique(np.concatenate(out)).view(np.int64), slack
 
@@ -239,29 +239,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    return cut_lineage(rows.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(
-        "signature"))
+    """(signature, crowd) of the signatures that more than CROWD documents share."""
+    return cut_lineage(rows.groupBy("signature").agg(F.count("*").alias("crowd")).where(F.col("crowd") > CROWD))
 
 
 def _uncrowded(rows: DataFrame) -> DataFrame:
-    """Leave crowded signatures to the documents that need them.
+    """Without the most crowded signatures of each document, one fewer than its slack.
 
-    A linked pair shares as many signatures as the slack of one of its documents, or more. A document that has fewer
-    crowded signatures than slack meets every partner under others as well; its slack becomes what is left for
-    those. The others keep all signatures and a slack of one.
+    Linked documents share as many signatures as either's slack, so one of the others is shared as well.
     """
     crowded = _crowded(rows)
     n = crowded.count()
     if not n:
         return rows
-    busy = cut_lineage(rows.join(_small(crowded, n), "signature"))
-    counts = busy.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("slack").alias("least"))
-    bound = counts.where("n >= least").select("doc_id")
-    left = F.when(F.col("n").isNull(), F.col("slack")).otherwise(F.greatest(F.lit(1), F.col("least") - F.col("n")))
-    loose = rows.join(_small(crowded, n), "signature", "left_anti").join(
-        counts, "doc_id", "left").withColumn("slack", left.cast("int")).select(rows.columns)
-    return cut_lineage(loose.unionByName(
-        busy.join(bound, "doc_id").withColumn("slack", F.lit(1)).select(rows.columns)))
+    turn = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("crowd").desc(), "signature"))
+    busy = rows.join(_small(crowded, n), "signature").withColumn("turn", turn).where("turn >= slack")
+    return cut_lineage(rows.join(_small(crowded, n), "signature", "left_anti").unionByName(busy.select(rows.columns)))
 
 
 def _refined(rows: DataFrame, docs: DataFrame, percent: int, n: int, level: int) -> DataFrame:
@@ -269,24 +262,22 @@ def _refined(rows: DataFrame, docs: DataFrame, percent: int, n: int, level: int)
 
     Linked documents share a signature at every level, so none of their meetings is lost.
     """
-    crowded = _crowded(rows)
-    if crowded.isEmpty():
+    crowded = _crowded(rows).select("signature")
+    some = crowded.count()
+    if not some:
         return rows
 
     def more(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([signatures(shingles(t, n), percent, level)[0] for t in texts], dtype=object)
 
-    busy = rows.join(crowded, "signature")
+    busy = cut_lineage(rows.join(_small(crowded, some), "signature"))
     wanted = busy.select("doc_id").distinct()
-    extra = docs.select("doc_id", "text").join(wanted, "doc_id").select(
+    extra = docs.select("doc_id", "text").join(_small(wanted, busy.count()), "doc_id").select(
         "doc_id", F.explode(F.pandas_udf(more, "array<long>")("text")).alias("further"))
     split = busy.join(extra, "doc_id").select(
         F.xxhash64("signature", "further").alias("signature"), *[c for c in rows.columns if c != "signature"])
-    met = split.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        "low < high").select("signature")
-    return cut_lineage(rows.join(crowded, "signature", "left_anti").unionByName(
-        split.join(met, "signature").distinct()))
+    return rows.join(_small(crowded, some), "signature", "left_anti").unionByName(split)
 
 
 def near_duplicates(
@@ -316,30 +307,26 @@ def near_duplicates(
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") != F.col("b"))
     edges = None
     side = lambda s: [F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"),
-                      F.col("label").alias(f"label_{s}"), F.col("slack").alias(f"slack_{s}")]
+                      F.col("label").alias(f"label_{s}")]
     if not rows.isEmpty():
         rows = _uncrowded(rows)
     for stage in ("least", "greatest", "every"):
         if rows.isEmpty():
             break
         if stage == "every":
-            for level in (1, 2):
-                rows = _refined(rows, docs, percent, n, level)
-            left, right = rows.select("signature", *side("a")), rows.select("signature", *side("b"))
-            candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b"))).groupBy(
-                "a", "b", "label_a", "label_b").agg(
-                F.count("*").alias("shared"), F.min(F.least("slack_a", "slack_b")).alias("slack")
-            ).where("shared >= slack")
+            met = _refined(rows, docs, percent, n, 1)
+            left, right = met.select("signature", *side("a")), met.select("signature", *side("b"))
+            candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b")))
         else:
             # Where many documents still crowd, one of every class meets the first and the last class.
-            crowded = _crowded(rows)
+            crowded = _crowded(rows).select("signature")
             if crowded.isEmpty():
                 continue
             pick = F.min if stage == "least" else F.max
             one = rows.join(crowded, "signature").groupBy("signature", "label").agg(
                 F.min(F.struct("doc_id", "n_shingles")).alias("one")).select("signature", "label", "one.*")
             lead = one.groupBy("signature").agg(pick(F.struct("label", "doc_id", "n_shingles")).alias("lead"))
-            candidates = one.withColumn("slack", F.lit(1)).select("signature", *side("b")).join(
+            candidates = one.select("signature", *side("b")).join(
                 lead, "signature").select(
                 F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"),
                 F.col("lead.label").alias("label_a"), "b", "n_b", "label_b").where(
@@ -349,16 +336,16 @@ def near_duplicates(
             F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
         if new.isEmpty():
             continue
-        edges = new if edges is None else edges.unionByName(new)
-        classes = components(edges)
+        classes = components(new if edges is None else edges.unionByName(new))
+        edges = cut_lineage(classes.where("node <> component").select(
+            F.col("node").alias("a"), F.col("component").alias("b")))
+        if stage == "every":
+            break
         rows = rows.join(classes.withColumnRenamed("node", "label"), "label", "left").withColumn(
             "label", F.coalesce("component", "label")).drop("component")
         still = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
             "low < high").select("signature")
         rows = cut_lineage(rows.join(still, "signature").select("doc_id", "n_shingles", "slack", "label", "signature"))
-        # Edges join classes as they were labelled; from here on they join the classes' least documents.
-        edges = cut_lineage(classes.where("node <> component").select(
-            F.col("node").alias("a"), F.col("component").alias("b")))
     out = found.select("doc_id", "n_shingles", "label")
     if edges is None:
         return out.withColumnRenamed("label", "component_id")
