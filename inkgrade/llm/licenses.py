@@ -75,13 +75,16 @@ def signature_rules(names: Mapping[str, Sequence[str]] = NAMES) -> list[tuple[st
     ]
 
 
-def _places(words: Column, phrase: str) -> Column:
-    """Starts of the phrase in the array of words, from 0."""
-    parts = phrase.split(" ")
-    fits = lambda i: F.array_contains(
-        F.array(F.slice(words, i + 1, len(parts)) == F.array(*[F.lit(p) for p in parts])), True)
-    last = F.size(words) - len(parts)
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), fits)).otherwise(F.array().cast("array<int>"))
+def _places(phrase: str) -> Column:
+    """Word positions, from 0, where the phrase stands in ``norm``: one blank stands before every word."""
+    blanks = "length(piece) - length(replace(piece, ' ', ''))"
+    return F.expr(f"""
+        aggregate(
+          split(norm, ' {phrase}(?= )'),
+          struct(0 as at, cast(array() as array<int>) as starts),
+          (s, piece) -> struct(s.at + {blanks} + {len(phrase.split(" "))} as at,
+                               array_append(s.starts, s.at + {blanks}) as starts),
+          s -> slice(s.starts, 1, size(s.starts) - 1))""")
 
 
 _FOUND = "array<struct<start:int, neg_stop:int, neg_priority:int, label:string>>"
@@ -138,8 +141,7 @@ def scan_licenses(
         F.when(F.lower("text").contains("licen"), F.concat(
             F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("text")), GAP, " ")), F.lit(" "))).alias("norm"),
     )
-    words = F.split(F.trim("norm"), " ")
-    places = F.create_map(*[x for p in phrases for x in (F.lit(p), _places(words, p))])
+    places = F.create_map(*[x for p in phrases for x in (F.lit(p), _places(p))])
     found = F.when(F.col("norm").isNotNull(), F.flatten(F.expr(_MATCHES.format(rules=f"array({literal})"))))
     return d.select(
         "doc_id", "n_words", F.when(F.col("norm").isNotNull(), places).alias("places"), found.alias("found")
