@@ -7,7 +7,9 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from html import unescape
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -168,14 +170,15 @@ def _by_name(items: list) -> list:
 
 
 def fold(items: list) -> list:
-    """Tandem repeats become repeated entries: single ones first, then groups of two and three."""
+    """Tandem repeats become repeated entries: three or more of a name, or any next to one that already repeats, then
+    groups of two and three. Two alike stay apart, as they may be the template's and the page's."""
     out: list = []
-    for n in items:
-        if out and out[-1][0] == n[0]:
-            out[-1] = _merge(out[-1], n)
-            out[-1][2] = 1
-        else:
-            out.append(n)
+    for _, same in groupby(items, key=lambda n: n[0]):
+        run = list(same)
+        if len(run) > 2 or len(run) > 1 and any(n[2] for n in run):
+            run = [[*reduce(_merge, run)]]
+            run[0][2] = 1
+        out += run
     for p in (2, 3):
         names, i, folded = [n[0] for n in out], 0, []
         while i < len(out):

@@ -222,7 +222,8 @@ def learn_patterns(docs: DataFrame, *, text_col: str = "text") -> frozenset[str]
             for text in pdf["text"]:
                 for c in find_spans(text)[1]:
                     counts[c[3]] = counts.get(c[3], 0) + 1
-        yield pd.DataFrame({"pattern": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+        if counts:
+            yield pd.DataFrame(list(counts.items()), columns=["pattern", "n"]).astype({"pattern": object})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(patterns, "pattern string, n long")
     counts = {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}

@@ -96,7 +96,7 @@ def filter_urls(
                 hit = given.match(host, path)
                 more = None if hit else own.match(host, path)
                 rows.append((hit[1] if hit else None, (hit or more or (default,))[0], more[1] if more else None))
-            yield pd.DataFrame(rows, columns=["rule", "verdict", "own_rule"])
+            yield pd.DataFrame(rows, columns=["rule", "verdict", "own_rule"], dtype=object)
 
     judged = F.pandas_udf(judge, "rule string, verdict string, own_rule string")
     split = r"(?s)^.*?://([^/?#]*)([^?#]*)"
