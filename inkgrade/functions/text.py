@@ -43,24 +43,29 @@ def has_suffix(path: Column, suffixes: list[str] = UPLOAD_SUFFIXES) -> Column:
 
 
 def parse_id_list(text: Column) -> Column:
-    """Struct(ids array<bigint>, valid): comma list, blanks skipped, first-seen order, digits only."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    """Struct(ids array<bigint>, valid): comma list, white space trimmed, blanks skipped, first-seen order, digits only.
+
+    A number beyond bigint makes the list invalid.
+    """
+    trimmed = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(text, ","), trimmed), lambda p: p != "")
     parts = F.coalesce(parts, F.array().cast("array<string>"))
-    valid = F.forall(parts, lambda p: p.rlike(r"^\d+$"))
-    ids = F.when(valid, F.array_distinct(F.transform(parts, lambda p: p.cast("bigint"))))
+    valid = F.forall(parts, lambda p: p.rlike(r"^\d+$") & p.try_cast("bigint").isNotNull())
+    ids = F.when(valid, F.array_distinct(F.transform(parts, lambda p: p.try_cast("bigint"))))
     return F.struct(ids.alias("ids"), valid.alias("valid"))
 
 
 def grade_label(total: Column) -> Column:
-    """Grade of a total from the comparison rubric."""
-    return ladder(total, [(86, "A'lo"), (71, "Yaxshi"), (56, "Qoniqarli")], "Qoniqarsiz")
+    """Grade of a total from the comparison rubric; null without a total."""
+    return F.when(total.isNotNull(), ladder(
+        total, [(86, "A'lo"), (71, "Yaxshi"), (56, "Qoniqarli")], "Qoniqarsiz"))
 
 
 def band_label(total: Column) -> Column:
-    """Grade of a total from the stand-alone rubric."""
-    return ladder(
+    """Grade of a total from the stand-alone rubric; null without a total."""
+    return F.when(total.isNotNull(), ladder(
         total, [(90, "A'lo"), (80, "Yaxshi"), (70, "Qoniqarli+"), (60, "Qoniqarli")], "Qoniqarsiz"
-    )
+    ))
 
 
 def safe_number(value: Column) -> Column:
@@ -98,9 +103,11 @@ def task_requirements(text: Column, views: int = 3, isometric: bool = False,
     def mentions(words):
         return low.rlike("|".join(words))
 
-    found = [
-        F.nullif(F.regexp_extract(low, "(?iu)" + p, 1), F.lit("")).cast("int") for p in VIEW_PATTERNS
-    ]
+    def number(pattern):  # one beyond int is a number that no drawing meets
+        digits = F.regexp_extract(low, "(?iu)" + pattern, 1)
+        return F.when(digits != "", F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1)))
+
+    found = [number(p) for p in VIEW_PATTERNS]
     return {
         "required_views": F.coalesce(*found, F.lit(views)),
         "requires_isometric": mentions(ISOMETRIC_WORDS) | F.lit(isometric),

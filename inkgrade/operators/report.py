@@ -161,9 +161,10 @@ def feedback(modules: DataFrame, key: str = "submission_id") -> DataFrame:
 
 
 def largest_shares(boxes: DataFrame, key: str = "drawing_id") -> DataFrame:
-    """Share of the largest box in the summed box area of each drawing."""
+    """Share of the largest box in the summed box area of each drawing; 0 where all boxes are empty."""
     area = F.greatest(c("x2") - c("x1"), F.lit(0)).cast("bigint") * F.greatest(c("y2") - c("y1"), F.lit(0))
-    return boxes.groupBy(key).agg((F.max(area) / F.sum(area)).alias("largest_share"))
+    return boxes.groupBy(key).agg(
+        F.when(F.sum(area) > 0, F.max(area) / F.sum(area)).otherwise(0.0).alias("largest_share"))
 
 
 def layout_reliability(df: DataFrame) -> DataFrame:
