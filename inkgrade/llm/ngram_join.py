@@ -15,10 +15,14 @@ from inkgrade.operators.lineage import cut_lineage
 N, PERCENT = 5, 80
 #: Hash seeds that a document may need until its strong parts suffice; the last one takes weak parts too.
 SEEDS = 8
-#: Documents that share a signature are told apart by further signatures beyond so many.
-CROWD = 64
+#: Signatures that more documents share are crowded: compared by leads first, then in blocks of so many.
+CROWD, BLOCK = 64, 512
 #: Rows of one or two numbers up to which a side is broadcast; beyond, it is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
+#: Rounds in which documents on a crowded signature meet so many leads of its largest class.
+ROUNDS, LEADS = 2, 4
+#: Longs of a set's parity sketch.
+SKETCH = 16
 
 _U = np.uint64
 
@@ -89,7 +93,7 @@ def _differences(size: int, band: int, percent: int) -> int:
     return min((100 - percent) * size // percent, (100 - percent) * (size + top) // (100 + percent))
 
 
-def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) -> tuple[np.ndarray, int]:
+def signatures(features: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """PartEnum signatures, of which linked sets share at least one, and the set's slack.
 
     Sizes fall into bands that double; a set that a larger one may link to from the next band takes part there too.
@@ -110,7 +114,7 @@ def signatures(features: np.ndarray, percent: int = PERCENT, level: int = 0) ->
         parts = _parts(band, percent)
         guaranteed = parts - _differences(size, band, percent)
         for seed in range(SEEDS):
-            salt = _U(((level * SEEDS + seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
+            salt = _U(((seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
             place = _U(((band + 1) * 0xA0761D6478BD642F + int(salt)) & (2**64 - 1))
             scattered = _mixed(features ^ salt)
             part = ((scattered >> _U(33)) % _U(parts)).astype(np.uint16 if parts < 65536 else np.int64)
@@ -146,18 +150,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parities(features: np.ndarray) -> np.ndarray:
+    """For 64 * SKETCH groups of features, whether a set has an odd number of them, as bits of longs.
+
+    A feature that only one of two sets has flips one bit, so sets differ in no fewer features than bits.
+    """
+    bits = 64 * SKETCH
+    odd = np.bincount((features % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(doc_id, n_shingles, slack, signatures) of every row; a null id has no signatures."""
+    """(doc_id, n_shingles, slack, sketch, signatures) of every row; a null id has no signatures."""
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 features = shingles(text, n)
                 found, slack = signatures(features, percent)
-                out.append((i, len(features), slack, found[:0] if pd.isna(i) else found))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "slack", "signatures"]).astype({"doc_id": "Int64"})
+                out.append((i, len(features), slack, parities(features), found[:0] if pd.isna(i) else found))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "slack", "sketch", "signatures"]).astype(
+                {"doc_id": "Int64"})
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, slack int, signatures array<long>")
+    return docs.mapInPandas(sign, "doc_id long, n_shingles long, slack int, sketch array<long>, signatures array<long>")
 
 
 def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
@@ -180,8 +195,8 @@ def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int) -> Data
         F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"), F.col("doc_id").alias("b"),
         F.col("n_shingles").alias("n_b")).where("a <> b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    links = cut_lineage(_verified(pairs.where(fits).select("a", "b").distinct(), docs, percent, n).groupBy("b").agg(
-        F.min("a").alias("a")))
+    pairs = pairs.where(fits).select("a", "b").distinct()
+    links = cut_lineage(_verified(pairs, signed, docs, percent, n).groupBy("b").agg(F.min("a").alias("a")))
     up = links.select(F.col("b").alias("a"), F.col("a").alias("above"))
     return cut_lineage(links.join(up, "a", "left").select(
         F.col("b").alias("doc_id"), F.coalesce("above", "a").alias("label")))
@@ -192,9 +207,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def _alike(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) without those that differ in too many features by their sketches already."""
+    side = lambda s: signed.select(
+        F.col("doc_id").alias(s), F.col("n_shingles").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    flips = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+        flips * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """The pairs (a, b, ...) that link, by their whole texts."""
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(_alike(pairs, signed, percent))
     rows = pairs.count()
 
     def check(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -257,27 +281,57 @@ def _uncrowded(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(_small(crowded, n), "signature", "left_anti").unionByName(busy.select(rows.columns)))
 
 
-def _refined(rows: DataFrame, docs: DataFrame, percent: int, n: int, level: int) -> DataFrame:
-    """Crowded signatures split by the documents' signatures of a further level.
+def _blocked(rows: DataFrame, crowded: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, label_a, label_b): documents of two classes on a crowded signature that their sketches may link.
 
-    Linked documents share a signature at every level, so none of their meetings is lost.
+    A signature's documents are dealt to blocks by id hash, and every two blocks meet in a group of their own, so a
+    task holds two blocks however many documents share the signature; only pairs within the differences come out.
     """
-    crowded = _crowded(rows).select("signature")
-    some = crowded.count()
-    if not some:
-        return rows
-
-    def more(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([signatures(shingles(t, n), percent, level)[0] for t in texts], dtype=object)
-
-    busy = cut_lineage(rows.join(_small(crowded, some), "signature"))
-    wanted = busy.select("doc_id").distinct()
-    extra = docs.select("doc_id", "text").join(_small(wanted, busy.count()), "doc_id").select(
-        "doc_id", F.explode(F.pandas_udf(more, "array<long>")("text")).alias("further"))
-    split = busy.join(extra, "doc_id").select(
-        F.xxhash64("signature", "further").alias("signature"), *[c for c in rows.columns if c != "signature"])
-    return rows.join(_small(crowded, some), "signature", "left_anti").unionByName(split)
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = (pdf["low"] == pdf["high"]).all()
+        left = pdf[pdf["own"] == pdf["low"]]
+        right = left if same else pdf[pdf["own"] == pdf["high"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("a", "b", "label_a", "label_b")})
+        x, y = (np.stack(side["sketch"].to_numpy()).view(_U) for side in (left, right))
+        flips = np.zeros((len(x), len(y)), dtype=np.int64)
+        for i in range(SKETCH):
+            flips += np.bitwise_count(x[:, None, i] ^ y[None, :, i])
+        n, m = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None, :]
+        (p, of_p), (q, of_q) = ((s["doc_id"].to_numpy(), s["label"].to_numpy()) for s in (left, right))
+        apart = of_p[:, None] < of_q[None, :] if same else of_p[:, None] != of_q[None, :]
+        fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+        fits &= flips * (100 + percent) <= (n + m) * (100 - percent)
+        i, j = np.nonzero(apart & fits & (p[:, None] != q[None, :]))
+        turned = of_p[i] > of_q[j]
+        return pd.DataFrame({
+            "a": np.where(turned, q[j], p[i]), "b": np.where(turned, p[i], q[j]),
+            "label_a": np.minimum(of_p[i], of_q[j]), "label_b": np.maximum(of_p[i], of_q[j])})
+
+    blocks = F.ceil(F.col("crowd") / BLOCK)
+    busy = rows.join(crowded, "signature").join(signed.select("doc_id", "sketch"), "doc_id").withColumn(
+        "own", F.pmod(F.xxhash64("doc_id"), blocks))
+    dealt = busy.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
+        "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id",
+        "n_shingles", "label", "sketch")
+    return dealt.groupBy("signature", "low", "high").applyInPandas(compare, "a long, b long, label_a long, label_b long")
+
+
+def _starred(rows: DataFrame, crowded: DataFrame, turn: int) -> DataFrame:
+    """Candidates of one round: on a crowded signature, documents of other classes with leads of the largest class.
+
+    Leads are those of least id hash, which changes each round, so signatures with the same documents agree on them.
+    """
+    busy = rows.join(crowded, "signature")
+    top = busy.groupBy("signature", "label").agg(F.count("*").alias("n")).groupBy("signature").agg(
+        F.max_by("label", F.struct("n", "label")).alias("top"))
+    busy = busy.join(top, "signature")
+    place = F.row_number().over(W.partitionBy("signature").orderBy(F.xxhash64(F.lit(turn), "doc_id"), "doc_id"))
+    leads = busy.where("label = top").withColumn("place", place).where(F.col("place") <= LEADS)
+    return busy.where("label <> top").select(
+        "signature", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b")).join(
+        leads.select("signature", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
+                     F.col("label").alias("label_a")), "signature")
 
 
 def near_duplicates(
@@ -310,36 +364,28 @@ def near_duplicates(
                       F.col("label").alias(f"label_{s}")]
     if not rows.isEmpty():
         rows = _uncrowded(rows)
-    for stage in ("least", "greatest", "every"):
-        if rows.isEmpty():
+    every = False
+    for turn in range(ROUNDS + 1):
+        if every or rows.isEmpty():
             break
-        if stage == "every":
-            met = _refined(rows, docs, percent, n, 1)
-            left, right = met.select("signature", *side("a")), met.select("signature", *side("b"))
-            candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b")))
+        crowded = _crowded(rows)
+        every = turn == ROUNDS or crowded.isEmpty()
+        if every:
+            calm = rows.join(crowded, "signature", "left_anti")
+            left, right = calm.select("signature", *side("a")), calm.select("signature", *side("b"))
+            candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b"))).select(
+                "a", "b", "label_a", "label_b").unionByName(_blocked(rows, crowded, signed, percent))
         else:
-            # Where many documents still crowd, one of every class meets the first and the last class.
-            crowded = _crowded(rows).select("signature")
-            if crowded.isEmpty():
-                continue
-            pick = F.min if stage == "least" else F.max
-            one = rows.join(crowded, "signature").groupBy("signature", "label").agg(
-                F.min(F.struct("doc_id", "n_shingles")).alias("one")).select("signature", "label", "one.*")
-            lead = one.groupBy("signature").agg(pick(F.struct("label", "doc_id", "n_shingles")).alias("lead"))
-            candidates = one.select("signature", *side("b")).join(
-                lead, "signature").select(
-                F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"),
-                F.col("lead.label").alias("label_a"), "b", "n_b", "label_b").where(
-                fits & (F.col("label_a") != F.col("label_b")))
+            candidates = _starred(rows, crowded.select("signature"), turn).where(fits)
         pairs = candidates.select("a", "b", "label_a", "label_b").distinct()
-        new = cut_lineage(_verified(pairs, docs, percent, n).select(
+        new = cut_lineage(_verified(pairs, signed, docs, percent, n).select(
             F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
         if new.isEmpty():
             continue
         classes = components(new if edges is None else edges.unionByName(new))
         edges = cut_lineage(classes.where("node <> component").select(
             F.col("node").alias("a"), F.col("component").alias("b")))
-        if stage == "every":
+        if every:
             break
         rows = rows.join(classes.withColumnRenamed("node", "label"), "label", "left").withColumn(
             "label", F.coalesce("component", "label")).drop("component")
