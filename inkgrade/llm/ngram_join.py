@@ -23,6 +23,8 @@ BROADCAST_ROWS = 2_000_000
 ROUNDS, LEADS = 2, 4
 #: Longs of a set's parity sketch.
 SKETCH = 16
+#: Documents for each partition of the small tables (labels, pairs, signatures left) that the rounds write.
+DOCS_A_PART = 8192
 
 _U = np.uint64
 
@@ -175,7 +177,12 @@ def _signed(docs: DataFrame, percent: int, n: int) -> DataFrame:
     return docs.mapInPandas(sign, "doc_id long, n_shingles long, slack int, sketch array<long>, signatures array<long>")
 
 
-def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def _kept(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` checkpointed in at most ``parts`` partitions, so that small tables neither fill folders nor task slots."""
+    return cut_lineage(df.coalesce(parts))
+
+
+def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int, parts: int) -> DataFrame:
     """(doc_id, label) of documents that link to the first one of those sharing their least signature.
 
     A bucket's documents are compared with the first of their share of it, these with the first of the bucket, so no
@@ -183,42 +190,46 @@ def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int) -> Data
     """
     least = signed.where(F.size("signatures") > 0).select(
         "doc_id", "n_shingles", F.element_at("signatures", 1).alias("bucket"))
-    sizes = least.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    sizes = _kept(least.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), parts)
     shares = F.pmod(F.xxhash64("doc_id"), F.ceil(F.sqrt("n")).cast("long"))
-    rows = cut_lineage(least.join(sizes, "bucket").withColumn("share", shares))
+    rows = least.join(_small(sizes, sizes.count()), "bucket").withColumn("share", shares)
     lead = F.min(F.struct("doc_id", "n_shingles")).alias("lead")
-    first = rows.groupBy("bucket", "share").agg(lead)
+    first = _kept(rows.groupBy("bucket", "share").agg(lead), parts)
+    firsts = first.count()
     top = first.groupBy("bucket").agg(F.min("lead").alias("lead"))
-    near = rows.join(first, ["bucket", "share"]).select("lead", "doc_id", "n_shingles")
-    far = first.select("bucket", "lead.*").join(top, "bucket").select("lead", "doc_id", "n_shingles")
+    near = rows.join(_small(first, firsts), ["bucket", "share"]).select("lead", "doc_id", "n_shingles")
+    far = first.select("bucket", "lead.*").join(_small(top, firsts), "bucket").select("lead", "doc_id", "n_shingles")
     pairs = near.union(far).select(
         F.col("lead.doc_id").alias("a"), F.col("lead.n_shingles").alias("n_a"), F.col("doc_id").alias("b"),
         F.col("n_shingles").alias("n_b")).where("a <> b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     pairs = pairs.where(fits).select("a", "b").distinct()
-    links = cut_lineage(_verified(pairs, signed, docs, percent, n).groupBy("b").agg(F.min("a").alias("a")))
+    links = _kept(_verified(pairs, signed, docs, percent, n, parts).groupBy("b").agg(F.min("a").alias("a")), parts)
     up = links.select(F.col("b").alias("a"), F.col("a").alias("above"))
-    return cut_lineage(links.join(up, "a", "left").select(
-        F.col("b").alias("doc_id"), F.coalesce("above", "a").alias("label")))
+    return links.join(_small(up, links.count()), "a", "left").select(
+        F.col("b").alias("doc_id"), F.coalesce("above", "a").alias("label"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of counted size, up to BROADCAST_ROWS rows of ids and numbers."""
+    """Broadcast a side of at most ``rows`` counted rows of ids and numbers, up to BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _alike(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) without those that differ in too many features by their sketches already."""
+def _alike(pairs: DataFrame, signed: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b, ...), ``rows`` in all, without those that differ in too many features by their sketches."""
     side = lambda s: signed.select(
         F.col("doc_id").alias(s), F.col("n_shingles").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     flips = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+    left = side("a").join(_small(pairs, rows), "a")
+    right = side("b").join(_small(pairs.select("b"), rows), "b", "left_semi")
+    return left.join(right, "b").where(
         flips * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select(*pairs.columns)
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, n: int, parts: int) -> DataFrame:
     """The pairs (a, b, ...) that link, by their whole texts."""
-    pairs = cut_lineage(_alike(pairs, signed, percent))
+    pairs = _kept(pairs, parts)
+    pairs = _kept(_alike(pairs, signed, percent, pairs.count()), parts)
     rows = pairs.count()
 
     def check(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -234,55 +245,59 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int
             yield pd.Series(found, dtype=bool)
 
     texts = docs.select("doc_id", "text")
-    wanted = pairs.select(F.col("b").alias("doc_id")).distinct()
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(_small(pairs, rows), "a")
-    second = texts.join(_small(wanted, rows), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(
+        _small(pairs.select("b"), rows), "b", "left_semi")
     both = first.join(second, "b")
     return both.where(F.pandas_udf(check, "boolean")("text_a", "text_b")).select(*pairs.columns)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int = DOCS_A_PART) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b); the component is its least node.
 
     Least labels spread along edges and along labels, which halves the way each round. Labels are pre-aggregated
-    before every shuffle, so a node with most of the edges does not gather them in one task.
+    before every shuffle, so a node with most of the edges does not gather them in one task. The labels are written in
+    at most ``parts`` partitions.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
-        "node", F.least("node", "least").alias("component")))
+    both = _kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), parts)
+    most = both.count()
+    labels = _kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
+        "node", F.least("node", "least").alias("component")), parts)
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("component").alias("before"), F.least("component", "least").alias("component"))
+        near = both.join(_small(labels, most), F.col("b") == F.col("node")).select(
+            F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("before"))
+        spread = labels.withColumn("before", F.col("component")).union(near).groupBy("node").agg(
+            F.min("component").alias("component"), F.max("before").alias("before"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = cut_lineage(spread.join(up, "component", "left").select(
-            "node", "before", F.least("component", "above").alias("component")))
+        jumped = _kept(spread.join(_small(up, most), "component", "left").select(
+            "node", "before", F.least("component", "above").alias("component")), parts)
         labels = jumped.select("node", "component")
         if jumped.where("component <> before").isEmpty():
             return labels
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
+def _crowded(rows: DataFrame, parts: int) -> DataFrame:
     """(signature, crowd) of the signatures that more than CROWD documents share."""
-    return cut_lineage(rows.groupBy("signature").agg(F.count("*").alias("crowd")).where(F.col("crowd") > CROWD))
+    return _kept(rows.groupBy("signature").agg(F.count("*").alias("crowd")).where(F.col("crowd") > CROWD), parts)
 
 
-def _uncrowded(rows: DataFrame) -> DataFrame:
+def _uncrowded(rows: DataFrame, parts: int) -> DataFrame:
     """Without the most crowded signatures of each document, one fewer than its slack.
 
     Linked documents share as many signatures as either's slack, so one of the others is shared as well.
     """
-    crowded = _crowded(rows)
+    crowded = _crowded(rows, parts)
     n = crowded.count()
     if not n:
         return rows
     turn = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("crowd").desc(), "signature"))
     busy = rows.join(_small(crowded, n), "signature").withColumn("turn", turn).where("turn >= slack")
-    return cut_lineage(rows.join(_small(crowded, n), "signature", "left_anti").unionByName(busy.select(rows.columns)))
+    calm = rows.join(_small(crowded, n), "signature", "left_anti")
+    return _kept(calm.unionByName(busy.select(rows.columns)), 2 * parts)
 
 
-def _blocked(rows: DataFrame, crowded: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b, label_a, label_b): documents of two classes on a crowded signature that their sketches may link.
+def _blocked(rows: DataFrame, crowded: DataFrame, n: int, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, label_a, label_b): documents of two classes on one of ``n`` crowded signatures that sketches may link.
 
     A signature's documents are dealt to blocks by id hash, and every two blocks meet in a group of their own, so a
     task holds two blocks however many documents share the signature; only pairs within the differences come out.
@@ -309,7 +324,7 @@ def _blocked(rows: DataFrame, crowded: DataFrame, signed: DataFrame, percent: in
             "label_a": np.minimum(of_p[i], of_q[j]), "label_b": np.maximum(of_p[i], of_q[j])})
 
     blocks = F.ceil(F.col("crowd") / BLOCK)
-    busy = rows.join(crowded, "signature").join(signed.select("doc_id", "sketch"), "doc_id").withColumn(
+    busy = rows.join(_small(crowded, n), "signature").join(signed.select("doc_id", "sketch"), "doc_id").withColumn(
         "own", F.pmod(F.xxhash64("doc_id"), blocks))
     dealt = busy.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
         "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id",
@@ -317,21 +332,24 @@ def _blocked(rows: DataFrame, crowded: DataFrame, signed: DataFrame, percent: in
     return dealt.groupBy("signature", "low", "high").applyInPandas(compare, "a long, b long, label_a long, label_b long")
 
 
-def _starred(rows: DataFrame, crowded: DataFrame, turn: int) -> DataFrame:
-    """Candidates of one round: on a crowded signature, documents of other classes with leads of the largest class.
+def _starred(rows: DataFrame, crowded: DataFrame, n: int, turn: int, parts: int) -> DataFrame:
+    """Candidates of one round: on ``n`` crowded signatures, documents of other classes with leads of the largest class.
 
-    Leads are those of least id hash, which changes each round, so signatures with the same documents agree on them.
+    Leads are those of least id hash, which changes each round, so signatures with the same documents agree on them. A
+    document meets the leads of a class on one signature, which changes each round too.
     """
-    busy = rows.join(crowded, "signature")
-    top = busy.groupBy("signature", "label").agg(F.count("*").alias("n")).groupBy("signature").agg(
-        F.max_by("label", F.struct("n", "label")).alias("top"))
-    busy = busy.join(top, "signature")
+    busy = rows.join(_small(crowded, n), "signature")
+    top = _kept(busy.groupBy("signature", "label").agg(F.count("*").alias("n")).groupBy("signature").agg(
+        F.max_by("label", F.struct("n", "label")).alias("top")), parts)
+    busy = busy.join(_small(top, n), "signature")
     place = F.row_number().over(W.partitionBy("signature").orderBy(F.xxhash64(F.lit(turn), "doc_id"), "doc_id"))
     leads = busy.where("label = top").withColumn("place", place).where(F.col("place") <= LEADS)
-    return busy.where("label <> top").select(
+    others = busy.where("label <> top").groupBy("doc_id", "n_shingles", "label", "top").agg(
+        F.min_by("signature", F.xxhash64(F.lit(turn), "signature")).alias("signature"))
+    return others.select(
         "signature", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b")).join(
-        leads.select("signature", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
-                     F.col("label").alias("label_a")), "signature")
+        _small(leads.select("signature", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
+                            F.col("label").alias("label_a")), LEADS * n), "signature")
 
 
 def near_duplicates(
@@ -350,50 +368,55 @@ def near_duplicates(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_lineage(_signed(docs, percent, n))
-    labels = _premerged(signed, docs, percent, n)
+    parts = -(-signed.count() // DOCS_A_PART) or 1
+    labels = _kept(_premerged(signed, docs, percent, n, parts), parts)
     found = signed.join(_small(labels, labels.count()), "doc_id", "left").withColumn(
         "label", F.coalesce("label", "doc_id"))
     exploded = found.select("doc_id", "n_shingles", "slack", "label", F.explode("signatures").alias("signature"))
-    met = cut_lineage(exploded.groupBy("signature").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature"))
-    rows = cut_lineage(exploded.join(_small(met, met.count()), "signature").distinct())
+    spans = lambda rows: _kept(rows.groupBy("signature").agg(  # noqa: E731  signatures of more than one class
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature"), parts)
+    met = spans(exploded)
+    rows = _kept(exploded.join(_small(met, met.count()), "signature").distinct(), 2 * parts)
 
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") != F.col("b"))
-    edges = None
+    edges, classes_n = None, 0
     side = lambda s: [F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"),
                       F.col("label").alias(f"label_{s}")]
     if not rows.isEmpty():
-        rows = _uncrowded(rows)
+        rows = _uncrowded(rows, parts)
     every = False
     for turn in range(ROUNDS + 1):
         if every or rows.isEmpty():
             break
-        crowded = _crowded(rows)
-        every = turn == ROUNDS or crowded.isEmpty()
+        crowded = _crowded(rows, parts)
+        busy = crowded.count()
+        every = turn == ROUNDS or not busy
         if every:
-            calm = rows.join(crowded, "signature", "left_anti")
+            calm = rows.join(_small(crowded, busy), "signature", "left_anti")
             left, right = calm.select("signature", *side("a")), calm.select("signature", *side("b"))
             candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b"))).select(
-                "a", "b", "label_a", "label_b").unionByName(_blocked(rows, crowded, signed, percent))
+                "a", "b", "label_a", "label_b")
+            if busy:
+                candidates = candidates.unionByName(_blocked(rows, crowded, busy, signed, percent))
         else:
-            candidates = _starred(rows, crowded.select("signature"), turn).where(fits)
+            candidates = _starred(rows, crowded.select("signature"), busy, turn, parts).where(fits)
         pairs = candidates.select("a", "b", "label_a", "label_b").distinct()
-        new = cut_lineage(_verified(pairs, signed, docs, percent, n).select(
-            F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        new = _kept(_verified(pairs, signed, docs, percent, n, parts).select(
+            F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), parts)
         if new.isEmpty():
             continue
-        classes = components(new if edges is None else edges.unionByName(new))
-        edges = cut_lineage(classes.where("node <> component").select(
-            F.col("node").alias("a"), F.col("component").alias("b")))
+        classes = components(new if edges is None else edges.unionByName(new), parts)
+        classes_n = classes.count()
+        edges = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         if every:
             break
-        rows = rows.join(classes.withColumnRenamed("node", "label"), "label", "left").withColumn(
+        rows = rows.join(_small(classes.withColumnRenamed("node", "label"), classes_n), "label", "left").withColumn(
             "label", F.coalesce("component", "label")).drop("component")
-        still = rows.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-            "low < high").select("signature")
-        rows = cut_lineage(rows.join(still, "signature").select("doc_id", "n_shingles", "slack", "label", "signature"))
+        still = spans(rows)
+        rows = _kept(rows.join(_small(still, still.count()), "signature").select(
+            "doc_id", "n_shingles", "slack", "label", "signature"), 2 * parts)
     out = found.select("doc_id", "n_shingles", "label")
     if edges is None:
         return out.withColumnRenamed("label", "component_id")
-    return out.join(edges.select(F.col("a").alias("label"), "b"), "label", "left").select(
+    return out.join(_small(edges.select(F.col("a").alias("label"), "b"), classes_n), "label", "left").select(
         "doc_id", "n_shingles", F.coalesce("b", "label").alias("component_id"))
