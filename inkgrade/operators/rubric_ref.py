@@ -1,14 +1,15 @@
 """Rubric against a reference drawing: nine criteria worth 100 points.
 
 Each scorer is a set of column expressions over one metrics row per submission; nothing here
-shuffles except the sum over a submission's projections.
+shuffles except the sum over a submission's projections. A null measure without a stated default earns no points:
+where the criterion has a reason column, it says so.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from inkgrade.functions.cols import all_of, at_least_one, clip, clip01, flag, ladder, points
+from inkgrade.functions.cols import all_of, any_of, at_least_one, clip, clip01, flag, ladder, points
 from inkgrade.functions.texts import TEXTS as T
 
 c = F.col
@@ -27,6 +28,14 @@ CRITERIA = [  # order, key, criterion text, points
 ]
 
 
+#: Reason for no points where a measure that a criterion needs is null.
+MISSING = "not measured"
+
+
+def _missing(*names):
+    return any_of(*[c(n).isNull() for n in names])
+
+
 def _gate(gate, score):
     return F.when(gate, 0).otherwise(score)
 
@@ -43,7 +52,7 @@ def score_placement(df: DataFrame) -> DataFrame:
     near = clip01(1.0 - shift / F.greatest("width", "height") / 0.12)
     quality = 0.50 * c("coverage") + 0.35 * near + 0.15 * c("angle_sim")
     return df.withColumn("shift_q", near).withColumn(
-        "placement", F.when(quality.isNull() | shift.isNull(), 0).otherwise(points(quality * 6, 6)))
+        "placement", F.when(quality.isNull() | shift.isNull() | F.greatest("width", "height").isNull(), 0).otherwise(points(quality * 6, 6)))
 
 
 def dash_ratio(st="st_dash", et="et_dash"):
@@ -64,9 +73,11 @@ def score_line_types(df: DataFrame) -> DataFrame:
     )
     quality = 0.45 * thick + 0.35 * variety + 0.20 * dash
     noisy = (c("st_dash") >= 70) & (dash_ratio() >= 2.2)
-    unknown = c("stu_p50").isNull() | c("ref_p50").isNull()
-    return df.withColumn("line_types", F.when(unknown, 0).otherwise(_gate(noisy, points(quality * 8, 8)))).withColumn(
-        "line_types_reason", F.when(unknown, "too few strokes").when(noisy, "noisy dashes"))
+    unknown = _missing("stu_p50", "ref_p50")
+    missing = _missing("stu_r9050", "stu_r7525", "ref_r9050", "ref_r7525", "st_dash", "et_dash")
+    return df.withColumn(
+        "line_types", F.when(unknown | missing, 0).otherwise(_gate(noisy, points(quality * 8, 8)))
+    ).withColumn("line_types_reason", F.when(unknown, "too few strokes").when(missing, MISSING).when(noisy, "noisy dashes"))
 
 
 def _known_similarity():
@@ -82,6 +93,7 @@ def score_dimension_marks(df: DataFrame) -> DataFrame:
         (all_of(c("st_dash") >= 90, dash_ratio() >= 2.6, few_long | (sim < 0.15)), "noise_bad"),
         (all_of(extra > 0.55, miss > 0.40, few_long), "extra_bad"),
         (all_of(sim <= 0.01, c("st_dash") >= 70, dash_ratio() >= 2.2), "noise_override"),
+        (_missing("st_dim_area", "et_dim_area", "st_small_cnt", "et_small_cnt", "st_dash", "et_dash", "st_long"), MISSING),
     ]
     why = F.concat_ws(" + ", *[F.when(g, n) for g, n in gates])
     sparse = (c("et_dim_area") < 2000) & (c("et_small_cnt") < 12)
@@ -96,6 +108,7 @@ def score_dimension_marks(df: DataFrame) -> DataFrame:
 def score_projections(df: DataFrame) -> DataFrame:
     sim, cov = _known_similarity(), F.coalesce("coverage", F.lit(0.0))
     gate = ((cov < 0.18) & (sim < 0.28)) | ((sim <= 0.02) & (c("st_dash") >= 70))
+    gate = gate | _missing("projection_count", "st_dash")
     return df.withColumn("projections", _gate(gate, 6 * clip(c("projection_count"), 0, 3)))
 
 
@@ -158,6 +171,8 @@ def score_visible_view(df: DataFrame) -> DataFrame:
         .when(comp < 0.18, T["view_not_drawn"])
         .when(ratio < 0.20, T["view_area_ratio"])
         .when((c("ref_diag") >= 0.16) & (c("stu_diag") < 0.05), T["view_no_diagonals"])
+        .when(_missing("view_ref_area", "view_stu_area", "view_found", "view_iou", "ref_diag", "stu_diag"), MISSING)
+        .when((stu > 0) & _missing("view_right"), MISSING)
     )
     quality = clip01(0.50 * _f1(comp, corr) + 0.22 * comp + 0.18 * corr + 0.10 * F.sqrt(F.greatest(iou, F.lit(0.0))))
     worst = F.least(comp, corr)
@@ -178,6 +193,8 @@ def score_visible_section(df: DataFrame) -> DataFrame:
         F.when(ref < 120, T["section_no_reference"])
         .when(stu < F.greatest(F.lit(100), (0.12 * ref).cast("int")), T["section_missing"])
         .when(recall < 0.20, T["section_misplaced"])
+        .when(_missing("sect_ref_area", "sect_stu_area", "sect_found", "sect_iou"), MISSING)
+        .when((stu > 0) & _missing("sect_right"), MISSING)
     )
     quality = clip01(0.46 * _f1(recall, right) + 0.26 * recall + 0.16 * right + 0.12 * F.sqrt(F.greatest(iou, F.lit(0.0))))
     below = lambda a, b: (recall < a) | (right < b)
@@ -190,6 +207,9 @@ def score_visible_section(df: DataFrame) -> DataFrame:
 
 
 def score_cleanliness_ref(df: DataFrame) -> DataFrame:
+    """Points and the severity behind them; a null measure leaves the severity null and earns nothing."""
+    missing = _missing(
+        "ref_line_px", "out_line_px", "blob_px", "out_speck_cnt", "speck_cnt", "dirty_px", "blob_cnt")
     ref = at_least_one(c("ref_line_px"))
     share = lambda px, part: F.least(c(px) / (part * ref), F.lit(1.0))
     severity = clip01(
@@ -201,7 +221,8 @@ def score_cleanliness_ref(df: DataFrame) -> DataFrame:
         .when((c("dirty_px") > 0.09 * ref) | (c("blob_cnt") >= 6), 3).otherwise(4)
     )
     raw = 4.0 * F.pow(1.0 - severity, F.lit(0.85))
-    return df.withColumn("severity", severity).withColumn("cleanliness", points(F.least(raw, cap), 4))
+    return df.withColumn("severity", F.when(~missing, severity)).withColumn(
+        "cleanliness", _gate(missing, points(F.least(raw, cap), 4)))
 
 
 ROW_SCORERS = [
