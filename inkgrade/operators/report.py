@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkgrade.functions.cols import ladder, messages
-from inkgrade.functions.text import band_label, grade_label, safe_text
+from inkgrade.functions.text import band_label, grade_label, safe_number, safe_text
 from inkgrade.functions.texts import TEXTS as T
 from inkgrade.operators import rubric_free as free, rubric_ref as ref
 from inkgrade.operators.boxes import resolve_roles
+from inkgrade.operators.lineage import cut_lineage
 
 c = F.col
 
@@ -71,26 +72,37 @@ def normalize_results(df: DataFrame, json: str = "json") -> DataFrame:
         .when(number.isNull(), "total_score is not a number").alias("error"))
 
 
+#: Fixed value: key of a document that is no object.
+VALUE_KEY = "qiymat"
+
+
 def flatten_report(df: DataFrame, json: str = "json", levels: int = 8) -> DataFrame:
-    """(dotted key, value) rows of nested objects; lists stay whole.
+    """(dotted key, value) rows of nested objects, however deep.
 
-    One pass: each level explodes the objects that are left and carries finished values along. A
-    document nested deeper than ``levels`` is an error, never a silent cut.
+    Texts stay whole, fractions are rounded to four decimals, lists stay one value and are cut with an ellipsis beyond
+    180 characters. A document that is no object is one row under a fixed key. Each level explodes the objects that are
+    left and carries finished values along; after every ``levels`` levels the rows are checkpointed, until no object is
+    left.
     """
     spark = df.sparkSession
     keep = [n for n in df.columns if n != json]
+    is_object = F.coalesce(_kind(c("v")).startswith("OBJECT"), F.lit(False))
     rows = df.select(*keep, F.lit(None).cast("string").alias("path"), F.try_parse_json(c(json)).alias("v"))
-    for _ in range(levels):
-        is_object = F.coalesce(_kind(c("v")).startswith("OBJECT"), F.lit(False))
-        rows = rows.withColumn("_o", F.when(is_object, c("v")))
-        parts = spark.tvf.variant_explode_outer(c("_o").outer())
-        rows = rows.lateralJoin(parts).filter("_o IS NULL OR key IS NOT NULL").select(
-            *keep, F.when(c("key").isNull(), c("path")).otherwise(F.concat_ws(".", "path", "key")).alias("path"),
-            F.when(c("key").isNull(), c("v")).otherwise(c("value")).alias("v"))
-    deep = F.coalesce(_kind(c("v")).startswith("OBJECT"), F.lit(False))
-    value = F.when(deep, F.raise_error(F.lit(f"report nested deeper than {levels} levels"))).otherwise(
-        F.try_variant_get(c("v"), "$", "string"))
-    return rows.select(*keep, c("path").alias("key"), safe_text(value).alias("value"))
+    while True:
+        for _ in range(levels):
+            rows = rows.withColumn("_o", F.when(is_object, c("v")))
+            parts = spark.tvf.variant_explode_outer(c("_o").outer())
+            rows = rows.lateralJoin(parts).filter("_o IS NULL OR key IS NOT NULL").select(
+                *keep, F.when(c("key").isNull(), c("path")).otherwise(F.concat_ws(".", "path", "key")).alias("path"),
+                F.when(c("key").isNull(), c("v")).otherwise(c("value")).alias("v"))
+        rows = cut_lineage(rows)
+        if rows.where(is_object).isEmpty():
+            break
+    plain, kind = F.try_variant_get(c("v"), "$", "string"), _kind(c("v"))
+    fraction = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & plain.rlike(r"[.][0-9]{5}|E-")
+    value = F.when(kind.startswith("ARRAY"), safe_text(plain)).when(
+        fraction, safe_number(plain.try_cast("double")).cast("string")).otherwise(plain)
+    return rows.select(*keep, F.coalesce("path", F.lit(VALUE_KEY)).alias("key"), value.alias("value"))
 
 
 def score_table(scores: DataFrame) -> DataFrame:

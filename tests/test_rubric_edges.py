@@ -130,9 +130,13 @@ def test_normalize_truthiness(spark):
     assert out[4].overlay_path is None
 
 
-def test_flatten_too_deep_is_an_error(spark):
-    df = spark.createDataFrame([('{"a":{"b":{"c":1}},"l":[{"x":1}],"e":{}}',)], "json string")
-    rows = {r.key: r.value for r in report.flatten_report(df, levels=3).collect()}
-    assert rows == {"a.b.c": "1", "l": '[{"x":1}]'}
-    with pytest.raises(Exception, match="nested deeper"):
-        report.flatten_report(df, levels=2).collect()
+@pytest.mark.parametrize("levels", [1, 2, 3, 8])
+def test_flatten_any_depth_and_whole_texts(spark, levels):
+    long = "x" * 200
+    docs = ['{"a":{"b":{"c":1}},"l":[{"x":1}],"e":{}}', '{"t":"%s","l":["%s"]}' % (long, long), '{"f":0.123456789,"g":0.25,"n":12}',
+            "7", None, "{"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, json string")
+    rows = {(r.id, r.key): r.value for r in report.flatten_report(df, levels=levels).collect()}
+    assert rows == {
+        (0, "a.b.c"): "1", (0, "l"): '[{"x":1}]', (1, "t"): long, (1, "l"): '["' + "x" * 175 + "...", (2, "f"): "0.1235",
+        (2, "g"): "0.25", (2, "n"): "12", (3, "qiymat"): "7", (4, "qiymat"): None, (5, "qiymat"): None}
