@@ -75,14 +75,14 @@ def _(t):
     return report.total_scores(t.module_scores)
 
 
-@query("grade_label", """SELECT id, CASE WHEN total_score >= 86 THEN 'A''lo' WHEN total_score >= 71 THEN 'Yaxshi' WHEN total_score >= 56 THEN 'Qoniqarli' ELSE 'Qoniqarsiz' END AS grade FROM {submissions} WHERE status = 'evaluated'""")
+@query("grade_label", """SELECT id, CASE WHEN total_score IS NULL THEN NULL WHEN total_score >= 86 THEN 'A''lo' WHEN total_score >= 71 THEN 'Yaxshi' WHEN total_score >= 56 THEN 'Qoniqarli' ELSE 'Qoniqarsiz' END AS grade FROM {submissions}""")
 def _(t):
-    return t.submissions.filter("status = 'evaluated'").select("id", text.grade_label(c("total_score")).alias("grade"))
+    return t.submissions.select("id", text.grade_label(c("total_score")).alias("grade"))
 
 
-@query("band_label", """SELECT id, CASE WHEN total_score >= 90 THEN 'A''lo' WHEN total_score >= 80 THEN 'Yaxshi' WHEN total_score >= 70 THEN 'Qoniqarli+' WHEN total_score >= 60 THEN 'Qoniqarli' ELSE 'Qoniqarsiz' END AS grade FROM {submissions} WHERE status = 'evaluated'""")
+@query("band_label", """SELECT id, CASE WHEN total_score IS NULL THEN NULL WHEN total_score >= 90 THEN 'A''lo' WHEN total_score >= 80 THEN 'Yaxshi' WHEN total_score >= 70 THEN 'Qoniqarli+' WHEN total_score >= 60 THEN 'Qoniqarli' ELSE 'Qoniqarsiz' END AS grade FROM {submissions}""")
 def _(t):
-    return t.submissions.filter("status = 'evaluated'").select("id", text.band_label(c("total_score")).alias("grade"))
+    return t.submissions.select("id", text.band_label(c("total_score")).alias("grade"))
 
 
 @query("layout_reliability", """WITH p AS (SELECT *, [projection_count <= 1, projection_count >= 6, orthographic_count = 0, orthographic_count > 3, NOT has_isometric, NOT title_found, largest_share >= 0.72] AS hit FROM {layout_facts}),
