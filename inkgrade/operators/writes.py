@@ -6,17 +6,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from inkgrade.functions.cols import messages
+from inkgrade.functions.cols import messages, top_rows
 
 
-def apply_evaluations(submissions: DataFrame, evaluations: DataFrame) -> DataFrame:
+RESULT_COLUMNS = ["total_score", "ai_json_result", "overlay_path", "table_json", "error"]
+
+
+def apply_evaluations(submissions: DataFrame, evaluations: DataFrame, latest: str | None = None) -> DataFrame:
     """Upsert of scorer results: evaluated with its results, or failed with the error.
 
-    ``evaluations`` has at most one row per submission id.
+    Of several results for one submission id, the one with the greatest ``latest`` counts; where that is equal or not
+    given, the greatest by its contents, so reruns agree and no submission is doubled.
     """
-    e = evaluations.select(
-        "id", *[F.col(c).alias(f"_{c}") for c in ("total_score", "ai_json_result", "overlay_path", "table_json", "error")],
-        F.lit(True).alias("_hit"))
+    order = [F.col(name).desc_nulls_last() for name in ([latest] if latest else []) + RESULT_COLUMNS]
+    e = top_rows(evaluations, ["id"], order).select(
+        "id", *[F.col(c).alias(f"_{c}") for c in RESULT_COLUMNS], F.lit(True).alias("_hit"))
     ok = F.col("_hit") & F.col("_error").isNull()
     failed = F.col("_error").isNotNull()
     return submissions.join(e, "id", "left").select(
