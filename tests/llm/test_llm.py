@@ -158,6 +158,25 @@ def test_licenses(spark, documents, edges):
     assert by[10**6 + 2]["labels"] == "apache,gpl" and by[10**6 + 3]["labels"] == ""
 
 
+def test_licenses_without_the_word(spark):
+    texts = {
+        "(c) 2024 Someone. All Rights\nReserved.": "proprietary", "Released into the Public-Domain.": "public-domain",
+        "Public domain": "public-domain", "released under CC BY-SA 4.0": "cc-by-sa",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache,mit", "distributed under the GPLv3": "gpl",
+        "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided": "bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files": "mit",
+        "see http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "rights reserved, domain, under mit": "", "Er ging mit der Apache": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = licenses.license_digest(licenses.scan_licenses(docs)).orderBy("doc_id").collect()
+    assert {t: r["labels"] for t, r in zip(texts, got, strict=True)} == texts
+    own = licenses.scan_licenses(docs, phrases={"rights reserved": "x"}, rules=[("y", " domain ", 2, " domain(?= )")])
+    assert [x["label"] for r in own.orderBy("doc_id").collect() for x in r["detections"] or ()] == ["y"] * 3
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.5, 9.0]), (2, [0.5, -9.0]), (3, None),
             (4, [float("nan"), 1.0]), (None, [0.5, 1.0]), (7, [1.0]), (8, [1e300, 1.0])]
