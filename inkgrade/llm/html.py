@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from hashlib import blake2b
 from functools import reduce
 from html import unescape
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from inkgrade.llm.common import lower_ascii
 from inkgrade.operators.lineage import cut_lineage
@@ -39,9 +39,9 @@ _OUT_NAMES = re.compile(
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar|banner)(?:$|[\s_-])", re.I)
 _MAIN = {"article", "main"}
 
-#: Levels that a wrapper tells apart, and entries of one level beyond which equal names fall together.
-DEPTH, WIDE = 48, 256
-#: A text that is the same on at least so many pages of a host, outside the article, belongs to the template.
+#: Levels that a wrapper nests; elements below hang side by side from the last one, marked with what is around them.
+DEPTH = 48
+#: A text that more than half of a host's pages with its slot hold, and at least so many, belongs to the template.
 SAME_PAGES = 5
 #: Bytes of all wrappers up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_BYTES = 8 << 20
@@ -51,11 +51,12 @@ def page_tree(html: str | None) -> tuple[list, list[tuple[str, int]]]:
     """The page as a nested token stream, and its texts in order as (text, characters inside links).
 
     A node is [name, children, repeated, optional, own]; the name is the tag and its classes, a text is ``#`` and
-    ``own`` lists the numbers of its texts. Inline tags belong to the text around them.
+    ``own`` lists the numbers of its texts. Inline tags belong to the text around them. In front of a name from below
+    ``DEPTH`` levels stand ``!`` if an element around it down there is no main text, and ``+`` if one is an article.
     """
     html = html or ""
     root = ["", [], 0, 0, None]
-    stack, texts, run, linked, in_link = [root], [], [], 0, 0
+    stack, names, texts, run, linked, in_link = [root], [""], [], [], 0, 0
     at, end = 0, len(html)
 
     def close_run() -> None:
@@ -90,29 +91,44 @@ def page_tree(html: str | None) -> tuple[list, list[tuple[str, int]]]:
             continue
         close_run()
         in_link = 0
-        names = [n[0].split(".")[0] for n in stack]
         if m[1]:
             if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+                last = len(names) - 1 - names[::-1].index(tag)
+                del stack[last:], names[last:]
             continue
         if "p" in names:
-            del stack[names.index("p"):]
-            names = names[: names.index("p")]
+            first = names.index("p")
+            del stack[first:], names[first:]
         for same in _SAME.get(tag, ()):
-            if names and names[-1] == same:
+            if names[-1] == same:
                 stack.pop()
                 names.pop()
         if tag in _VOID:
             continue
         label = " ".join(c.strip("\"'") for c in _CLASS.findall(m[3] or ""))
-        node = [f"{tag}.{re.sub('[0-9]+', '', label)}" if label else tag, [], 0, 0, None]
-        if len(stack) < DEPTH:
-            stack[-1][1].append(node)
-            stack.append(node)
+        name = f"{tag}.{re.sub('[0-9]+', '', label)}" if label else tag
+        node = [_around(stack[-1][0], names) + name if len(stack) > DEPTH else name, [], 0, 0, None]
+        stack[min(len(stack), DEPTH) - 1][1].append(node)
+        stack.append(node)
+        names.append(tag)
     close_run()
     return root, texts
 
 
+def _parts(name: str) -> tuple[str, str, str]:
+    """Marks, tag and classes of a name."""
+    tag, _, label = name.partition(".")
+    plain = tag.lstrip("!+")
+    return tag[: len(tag) - len(plain)], plain, label
+
+
+def _around(parent: str, names: list[str]) -> str:
+    """Marks of what stands in the parent, whose tag is the last of the names."""
+    marks, tag, label = _parts(parent)
+    out = "!" in marks or _outside(tag, label, not _MAIN.isdisjoint(names[:-1]))
+    return "!" * out + "+" * ("+" in marks or tag in _MAIN)
+
+
 def _merge(a: list, b: list) -> list:
     """One expression for two nodes of the same name."""
     own = a[4] + b[4] if isinstance(a[4], list) else _add(a[4], b[4])
@@ -122,8 +138,7 @@ def _merge(a: list, b: list) -> list:
 def _add(x, y):
     if x is None or y is None:
         return x or y
-    return {"n": x["n"] + y["n"], "chars": x["chars"] + y["chars"], "linked": x["linked"] + y["linked"],
-            "low": min(x["low"], y["low"]), "high": max(x["high"], y["high"])}
+    return {k: x[k] + y[k] for k in x}
 
 
 def _matching(a: list, b: list) -> list[tuple[int, int]]:
@@ -132,8 +147,7 @@ def _matching(a: list, b: list) -> list[tuple[int, int]]:
     if x == y:
         return [(i, i) for i in range(len(x))]
     if len(x) * len(y) > 40_000:
-        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return [(p + i, q + i) for p, q, n in blocks for i in range(n)]
+        return _long_matching(x, y)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -150,6 +164,28 @@ def _matching(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def _long_matching(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The same for long streams, by Hunt and Szymanski: time grows with the pairs of equal names."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j], []).append(j)
+    last, chains = [], []
+    for i, name in enumerate(x):
+        for j in places.get(name, ()):
+            k = bisect_left(last, j)
+            chain = (i, j, chains[k - 1] if k else None)
+            if k == len(last):
+                last.append(j)
+                chains.append(chain)
+            else:
+                last[k], chains[k] = j, chain
+    out, chain = [], chains[-1] if chains else None
+    while chain:
+        out.append(chain[:2])
+        chain = chain[2]
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """One stream for two: matched entries merge, what only one has becomes optional."""
     out, i, j = [], 0, 0
@@ -158,15 +194,7 @@ def align(a: list, b: list) -> list:
         if p < len(a):
             out.append(_merge(a[p], b[q]))
         i, j = p + 1, q + 1
-    return fold(out) if len(out) <= WIDE else _by_name(out)
-
-
-def _by_name(items: list) -> list:
-    """A level that grew too wide: entries of one name become one repeated, optional entry."""
-    seen: dict[str, list] = {}
-    for n in items:
-        seen[n[0]] = _merge(seen[n[0]], n) if n[0] in seen else n
-    return [[n[0], n[1], 1, 1, n[4]] for n in seen.values()]
+    return fold(out)
 
 
 def fold(items: list) -> list:
@@ -206,31 +234,62 @@ def with_stats(node: list, texts: list[tuple[str, int]]) -> list:
     """The expression with counts instead of text numbers."""
     own = node[4]
     if own:
-        marks = [zlib.crc32(texts[i][0].encode("utf-8", "replace")) for i in own]
-        own = {"n": len(own), "chars": sum(len(texts[i][0]) for i in own), "linked": sum(texts[i][1] for i in own),
-               "low": min(marks), "high": max(marks)}
+        own = {"chars": sum(len(texts[i][0]) for i in own), "linked": sum(texts[i][1] for i in own)}
     return [node[0], [with_stats(c, texts) for c in node[1]], node[2], node[3], own]
 
 
 def _has_main(node: list) -> bool:
-    return node[0].split(".")[0] in _MAIN or any(map(_has_main, node[1]))
+    return _parts(node[0])[1] in _MAIN or "+" in _parts(node[0])[0] or any(map(_has_main, node[1]))
+
+
+def numbered(wrapper: list) -> list:
+    """The wrapper with a number for every slot."""
+    at, todo = 0, [wrapper]
+    while todo:
+        node = todo.pop()
+        if node[4]:
+            node[4]["slot"] = at
+            at += 1
+        todo += node[1]
+    return wrapper
+
+
+def mark(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
 
+def slots_of(page: list, wrapper: list) -> Iterator[tuple[int, int]]:
+    """(text number, slot number) of the page's texts that have a slot."""
+    todo = [(page, wrapper)]
+    while todo:
+        node, model = todo.pop()
+        for child, twin in _twins(node[1], model[1]):
+            if child[0] == "#" and twin:
+                yield from ((i, twin[4]["slot"]) for i in child[4])
+            elif twin:
+                todo.append((child, twin))
 
-def kept_texts(page: list, wrapper: list, texts: list[tuple[str, int]]) -> list[str]:
-    """The texts of the page that stand in content slots of its host's wrapper, in page order."""
+
+def kept_texts(page: list, wrapper: list, texts: list[tuple[str, int]], same: set[str] = frozenset()) -> list[str]:
+    """The texts of the page that stand in content slots of its host's wrapper, in page order; ``same`` are the
+    template's texts as ``slot:mark``."""
     main, keep = _has_main(page), set()
 
     def walk(node: list, model: list | None, inside: bool) -> None:
         for child, twin in _twins(node[1], model[1] if model else []):
             if child[0] == "#":
-                if inside or not main and not _template(twin):
-                    keep.update(child[4])
+                if inside or not main and not _links(twin):
+                    keep.update(i for i in child[4] if inside or not _constant(i, twin))
                 continue
-            tag, _, label = child[0].partition(".")
+            marks, tag, label = _parts(child[0])
+            here = inside or "+" in marks
             if tag.startswith("("):
                 walk(child, twin, inside)
-            elif not _outside(tag, label, inside):
-                walk(child, twin, inside or tag in _MAIN)
+            elif "!" not in marks and not _outside(tag, label, here):
+                walk(child, twin, here or tag in _MAIN)
+
+    def _constant(i: int, twin: list | None) -> bool:
+        return bool(twin) and f"{twin[4]['slot']}:{mark(texts[i][0])}" in same
 
     walk(page, wrapper, False)
     return [t for i, (t, _) in enumerate(texts) if i in keep]
@@ -245,15 +304,16 @@ def _outside(tag: str, label: str, inside: bool) -> bool:
 
 
 def _twins(items: list, models: list) -> Iterator[tuple[list, list | None]]:
+    """Every entry with its entry of the wrapper: the aligned one, else one of its name that repeats."""
     twin = {i: models[j] for i, j in _matching(items, models)}
+    repeats = {m[0]: m for m in models if m[2]}
     for i, n in enumerate(items):
-        yield n, twin.get(i)
+        yield n, twin.get(i) or repeats.get(n[0])
 
 
-def _template(slot: list | None) -> bool:
-    """Whether the slot holds the same text on many pages, or mostly links."""
-    s = slot[4] if slot else None
-    return bool(s) and (s["n"] >= SAME_PAGES and s["low"] == s["high"] or 2 * s["linked"] > s["chars"])
+def _links(slot: list | None) -> bool:
+    """Whether the slot holds mostly links."""
+    return bool(slot) and 2 * slot[4]["linked"] > slot[4]["chars"]
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -272,8 +332,8 @@ def infer_wrappers(
     """(host, wrapper): one union-free expression for all pages of a host, as JSON.
 
     Every task folds its pages into one expression per host, and these are folded again by host, read as a stream,
-    so that a host with a third of all pages sends one row per task. Slots carry counts of pages, characters,
-    characters in links, and the least and greatest checksum of their texts.
+    so that a host with a third of all pages sends one row per task. Slots carry counts of characters and of
+    characters in links.
     """
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list] = {}
@@ -310,6 +370,38 @@ def _rows(found: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(t) for t in found.values()]}, dtype=object)
 
 
+def _with(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Pages beside their host's row."""
+    size = wrappers.agg(F.sum(sum(F.coalesce(F.length(n), F.lit(0)) for n in wrappers.columns))).first()[0] or 0
+    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+
+
+def template_texts(rows: DataFrame) -> DataFrame:
+    """(host, same): the texts, as ``slot:mark`` between blanks, that more than half of the different pages of the host
+    with that slot hold there, and at least ``SAME_PAGES``. Pages of the same texts count once."""
+    def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list] = {}
+        for pdf in parts:
+            out = []
+            for host, html, model in zip(pdf["host"], pdf["html"], pdf["wrapper"], strict=True):
+                if host not in known:
+                    if len(known) > 5000:
+                        known.clear()
+                    known[host] = numbered(json.loads(model))
+                tree, texts = page_tree(html)
+                page = mark("\n".join(t for t, _ in texts))
+                found = {(slot, mark(texts[i][0])) for i, slot in slots_of(folded(tree), known[host])}
+                out += [(host, page, slot, m) for slot, m in found]
+                out += [(host, page, slot, None) for slot in {slot for slot, _ in found}]
+            yield pd.DataFrame(out, columns=["host", "page", "slot", "mark"], dtype=object)
+
+    marks = rows.select("host", "html", "wrapper").mapInPandas(seen, "host string, page long, slot int, mark long")
+    counts = marks.distinct().groupBy("host", "slot", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= SAME_PAGES)
+    of_slot = F.max(F.when(F.col("mark").isNull(), F.col("n"))).over(W.partitionBy("host", "slot"))
+    same = counts.withColumn("of", of_slot).where("mark is not null and 2 * n > of")
+    return same.groupBy("host").agg(F.array_join(F.collect_list(F.concat_ws(":", "slot", "mark")), " ").alias("same"))
+
+
 def extract_text(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
@@ -317,30 +409,30 @@ def extract_text(
 
     The page's token stream is laid along its host's wrapper. Texts in menus, headers, footers, side bars, notices,
     adverts, forms and comments (by tag, class, id or role) are left out; of a page with an article or main element
-    only that stays; elsewhere slots whose text never changes over the host's pages, or is mostly links, go too.
+    only that stays; elsewhere texts that most of the host's pages have in that slot, and slots of mostly links, go too.
     References are decoded, white space in a block becomes one blank, blocks are joined by an empty line.
 
     Null html is empty and gives an empty text; null urls and urls without ``://`` share the host ``""``; repeated
     rows are extracted one by one; an empty table gives no rows; other columns are left out.
     """
     wrappers = cut_lineage(infer_wrappers(pages, id_col=id_col, url_col=url_col, html_col=html_col))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    rows = _pages(pages, id_col, url_col, html_col).join(
-        F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    hosts = _pages(pages, id_col, url_col, html_col)
+    wrappers = cut_lineage(wrappers.join(template_texts(_with(hosts, wrappers)), "host", "left"))
+    rows = _with(hosts, wrappers)
 
-    def texts_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
-        for htmls, models in parts:
+    def texts_of(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[list, set[str]]] = {}
+        for hosts, htmls, models, sames in parts:
             out = []
-            for html, model in zip(htmls, models, strict=True):
-                if model not in known:
+            for host, html, model, same in zip(hosts, htmls, models, sames, strict=True):
+                if host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[model] = json.loads(model)
+                    known[host] = numbered(json.loads(model)), set((same or "").split())
                 tree, texts = page_tree(html)
-                blocks = kept_texts(folded(tree), known[model], texts)
+                blocks = kept_texts(folded(tree), known[host][0], texts, known[host][1])
                 out.append(("\n\n".join(blocks), len(blocks)))
             yield pd.DataFrame(out, columns=["text", "blocks"]).astype({"text": object, "blocks": "int64"})
 
     extracted = F.pandas_udf(texts_of, "text string, blocks long")
-    return rows.select("page_id", "url", extracted("html", "wrapper").alias("x")).select("page_id", "url", "x.*")
+    return rows.select("page_id", "url", extracted("host", "html", "wrapper", "same").alias("x")).select("page_id", "url", "x.*")

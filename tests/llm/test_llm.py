@@ -137,6 +137,24 @@ def test_html_repeats_and_options():
     assert [(n[0], n[3]) for n in b] == [("p", 0), ("ul", 1)]
 
 
+def test_html_deep_and_wide(spark):
+    deep = "<div>" * 60 + "<nav>menu</nav>" + "</div>" * 60
+    page = f"<article><div>{deep}</div><p>First</p></article><article><p>After</p></article>"
+    wide = "<body><div>Same</div>" + "".join(f"<h2>a{{0}}-{i}</h2><p>b{{0}}-{i}</p><ul>c{{0}}-{i}</ul><h3>d</h3><dl>e</dl>"[: 99] for i in range(3))
+    odd = "".join(f"<div class={chr(97 + i // 26)}{chr(97 + i % 26)}x>v{i}-{{0}}</div>" for i in range(400))
+    rows = [(1, "http://a.b/1", page)]
+    rows += [(10 + i, "http://c.d/", (wide + odd).format(i)) for i in range(6)]
+    rows += [(20 + i, "http://e.f/", f"<div>{'Same' if i else 'Other'}</div><div>Own {i}</div>") for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "First\n\nAfter"
+    assert "Same" not in got[10] and got[10].split("\n\n")[-400:] == [f"v{i}-0" for i in range(400)]
+    assert [got[20 + i] for i in range(7)] == ["Other\n\nOwn 0", *[f"Own {i}" for i in range(1, 7)]]
+    x, y = [[n] for n in "abcab" * 30], [[n] for n in "bacba" * 30]
+    pairs = html._long_matching([n for n, in x], [n for n, in y])
+    assert len(pairs) == len(html._matching(x, y)) and all(x[i] == y[j] for i, j in pairs)
+
+
 def test_licenses(spark, documents, edges):
     odd = ["MIT License mit license,MIT-LICENSE", "Licensed under CC BY-NC 4.0.", "the gnu general public license apache license", "mit licensee"]
     docs = documents.select("doc_id", "text").unionByName(edges.select("doc_id", "text")).unionByName(
