@@ -239,7 +239,15 @@ def with_stats(node: list, texts: list[tuple[str, int]]) -> list:
 
 
 def _has_main(node: list) -> bool:
-    return _parts(node[0])[1] in _MAIN or "+" in _parts(node[0])[0] or any(map(_has_main, node[1]))
+    """Whether the node holds an article or main element outside of what is no main text."""
+    for child in node[1]:
+        marks, tag, label = _parts(child[0])
+        if tag == "#":
+            continue
+        if tag.startswith("(") or "!" not in marks and not _outside(tag, label, "+" in marks):
+            if tag in _MAIN or "+" in marks or _has_main(child):
+                return True
+    return False
 
 
 def numbered(wrapper: list) -> list:
@@ -272,14 +280,16 @@ def slots_of(page: list, wrapper: list) -> Iterator[tuple[int, int]]:
 
 def kept_texts(page: list, wrapper: list, texts: list[tuple[str, int]], same: set[str] = frozenset()) -> list[str]:
     """The texts of the page that stand in content slots of its host's wrapper, in page order; ``same`` are the
-    template's texts as ``slot:mark``."""
-    main, keep = _has_main(page), set()
+    template's texts as ``slot:mark``. An article that is template throughout, like that of pages that differ in
+    nothing but their menus, is kept."""
+    main, keep, constant = _has_main(page), set(), set()
 
     def walk(node: list, model: list | None, inside: bool) -> None:
         for child, twin in _twins(node[1], model[1] if model else []):
             if child[0] == "#":
                 if inside or not main and not _links(twin):
-                    keep.update(i for i in child[4] if inside or not _constant(i, twin))
+                    for i in child[4]:
+                        (constant if _constant(i, twin) else keep).add(i)
                 continue
             marks, tag, label = _parts(child[0])
             here = inside or "+" in marks
@@ -292,6 +302,8 @@ def kept_texts(page: list, wrapper: list, texts: list[tuple[str, int]], same: se
         return bool(twin) and f"{twin[4]['slot']}:{mark(texts[i][0])}" in same
 
     walk(page, wrapper, False)
+    if main and not keep:
+        keep = constant
     return [t for i, (t, _) in enumerate(texts) if i in keep]
 
 
@@ -408,8 +420,9 @@ def extract_text(
     """(page_id, url, text, blocks): the main text of every page and its number of blocks.
 
     The page's token stream is laid along its host's wrapper. Texts in menus, headers, footers, side bars, notices,
-    adverts, forms and comments (by tag, class, id or role) are left out; of a page with an article or main element
-    only that stays; elsewhere texts that most of the host's pages have in that slot, and slots of mostly links, go too.
+    adverts, forms and comments (by tag, class, id or role) are left out, and so are texts that most of the host's pages
+    have in that slot, inside an article or not. Of a page with an article or main element outside of those only that
+    stays; of other pages slots of mostly links go too.
     References are decoded, white space in a block becomes one blank, blocks are joined by an empty line.
 
     Null html is empty and gives an empty text; null urls and urls without ``://`` share the host ``""``; repeated

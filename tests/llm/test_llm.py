@@ -137,6 +137,18 @@ def test_html_repeats_and_options():
     assert [(n[0], n[3]) for n in b] == [("p", 0), ("ul", 1)]
 
 
+def test_html_template_inside_the_article(spark):
+    page = "<article><h1>T{0}</h1><div>Join our club</div><p>Text {0}</p><p>More {0}</p><p>Read on below</p></article>"
+    beside = "<aside><article>Other</article></aside><div>Prose {0}</div>"
+    rows = [(i, "http://a.b/", page.format(i)) for i in range(6)] + [(10 + i, "http://c.d/", beside.format(i)) for i in range(6)]
+    rows += [(20 + i, "http://e.f/", f"<div>{i}</div><main>Always so</main>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"T{i}\n\nText {i}\n\nMore {i}" for i in range(6)]
+    assert [got[10 + i] for i in range(6)] == [f"Prose {i}" for i in range(6)]
+    assert {got[20 + i] for i in range(6)} == {"Always so"}
+
+
 def test_html_deep_and_wide(spark):
     deep = "<div>" * 60 + "<nav>menu</nav>" + "</div>" * 60
     page = f"<article><div>{deep}</div><p>First</p></article><article><p>After</p></article>"
