@@ -60,6 +60,15 @@ def messages(*pairs) -> Column:
     )
 
 
+def for_all(drawings: DataFrame | None, df: DataFrame, keys: list[str], **empty: Column) -> DataFrame:
+    """``df`` with a row for each of the drawings, those it lacks with the ``empty`` values; as it is without drawings."""
+    if drawings is None:
+        return df
+    every = drawings.select(*keys).distinct().join(df.withColumn("_has", F.lit(True)), keys, "left")
+    filled = every.withColumns({n: F.when(F.col("_has"), F.col(n)).otherwise(v) for n, v in empty.items()})
+    return filled.select(*keys, *empty)
+
+
 def top_rows(df: DataFrame, keys, order, k: int = 1) -> DataFrame:
     """The first ``k`` rows of each key.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkgrade.functions.cols import all_of, flag, top_rows  # noqa: F401
+from inkgrade.functions.cols import all_of, flag, for_all, top_rows  # noqa: F401
 from inkgrade.functions.angles import axial_diff
 
 c = F.col
@@ -39,18 +39,20 @@ def dash_like_count(components: DataFrame, drawings: DataFrame | None = None) ->
         "drawing_id", F.coalesce("dashes", F.lit(0)).alias("dashes"))
 
 
-def small_component_stats(components: DataFrame) -> DataFrame:
+def small_component_stats(components: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     small = all_of(c("area").between(12, 450), c("w").between(3, 60), c("h").between(3, 60))
-    return components.groupBy("drawing_id").agg(
+    stats = components.groupBy("drawing_id").agg(
         F.sum(flag(small)).alias("small_count"), F.sum(F.when(small, c("area")).otherwise(0)).alias("small_area"))
+    return for_all(drawings, stats, ["drawing_id"], small_count=F.lit(0), small_area=F.lit(0))
 
 
-def section_components(components: DataFrame) -> DataFrame:
+def section_components(components: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     """Components large and long enough for a section, per drawing of size w × h (page_w, page_h)."""
     area = c("page_w").cast("bigint") * c("page_h")
     base = F.least("page_w", "page_h")
     hit = (c("area") >= F.greatest(F.lit(6), (area * 0.00010).cast("int"))) & (_long() >= F.greatest(F.lit(5), (base * 0.04).cast("int")))
-    return components.groupBy("drawing_id").agg(F.sum(flag(hit)).alias("section_components"))
+    found = components.groupBy("drawing_id").agg(F.sum(flag(hit)).alias("section_components"))
+    return for_all(drawings, found, ["drawing_id"], section_components=F.lit(0))
 
 
 def classes() -> dict[str, Column]:

@@ -231,7 +231,9 @@ def evaluate_optional_batch(views, zones, titles, measures, evidence, clean, tex
 
     ``measures`` and ``evidence`` hold one row per (drawing_id, seq) view, ``clean`` one row per
     drawing and ``text`` its task description. What is known about a view travels with it while roles
-    are resolved; one grouping per drawing then yields every number the modules need.
+    are resolved; one grouping per drawing then yields every number the modules need. A drawing that any of views,
+    ``clean`` and ``text`` names is reported: without views it has none of anything, an unmeasured cleanliness earns
+    nothing and warns of nothing, and no description requires what an empty one does.
     """
     seen = free.hatch_quality(views.join(measures, ["drawing_id", "seq"], "left")).drop(
         "line_count", "length_ratio").join(evidence, ["drawing_id", "seq"], "left")
@@ -247,11 +249,20 @@ def evaluate_optional_batch(views, zones, titles, measures, evidence, clean, tex
         (F.max("area") / F.sum("area")).alias("largest_share"),
         *free.hatching_facts(), *free.dimension_facts(c("role") != "isometric"),
         *free.line_facts(c("role").isin("front", "top", "side")))
+    parts = [df.select("drawing_id") for df in (views, clean, text)]
+    drawings = reduce(DataFrame.union, parts).distinct()
+    none = ["projection_count", "orthographic_count", "extra_count", "detected", "roles", "texts", "lines", "clusters",
+            "visible_roles", "hidden_roles", "sequences", "center_roles", "strong_roles"]
+    facts = drawings.join(facts, "drawing_id", "left").fillna(0, none).fillna(False, ["has_isometric"])
+    no_notes = F.array().cast("array<string>")
     rows = (
         facts.join(titles.select("drawing_id", F.lit(True).alias("title_found")), "drawing_id", "left")
         .withColumn("title_found", F.coalesce("title_found", F.lit(False)))
-        .join(free.score_cleanliness_free(clean).select("drawing_id", c("score").alias("s5"), c("errors").alias("e5"), c("warnings").alias("w5")), "drawing_id")
-        .join(free.with_requirements(text.select("drawing_id", "description")), "drawing_id", "left"))
+        .join(free.score_cleanliness_free(clean).select("drawing_id", c("score").alias("s5"), c("errors").alias("e5"), c("warnings").alias("w5")), "drawing_id", "left")
+        .withColumns({"s5": F.coalesce("s5", F.lit(0)), "e5": F.coalesce("e5", no_notes), "w5": F.coalesce("w5", no_notes)})
+        .join(text.select("drawing_id", "description"), "drawing_id", "left")
+        .withColumn("description", F.coalesce("description", F.lit(""))))
+    rows = free.with_requirements(rows)
 
     def step(df, scorer, i):
         return scorer(df).withColumnsRenamed({"score": f"s{i}", "errors": f"e{i}", "warnings": f"w{i}"})

@@ -13,7 +13,7 @@ from inkgrade.functions.angles import (
     acute, flat, mod180, nearest_angle, raw_angle, seg_length, skew_fold, slanted, steep,
 )
 from inkgrade.functions.boxes import clip_box
-from inkgrade.functions.cols import all_of, flag, top_rows
+from inkgrade.functions.cols import all_of, flag, for_all, top_rows
 
 c = F.col
 
@@ -26,14 +26,17 @@ def segment_features(segments: DataFrame) -> DataFrame:
         ((c("x1") + c("x2")) / 2.0).alias("mid_x"), ((c("y1") + c("y2")) / 2.0).alias("mid_y"))
 
 
-def angle_hist(segments: DataFrame, bins: int = 18, min_length: float = 40.0, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Share of segments per direction as an array; uniform when none is long enough."""
+def angle_hist(segments: DataFrame, bins: int = 18, min_length: float = 40.0, keys: list[str] = ["drawing_id"],
+               drawings: DataFrame | None = None) -> DataFrame:
+    """Share of segments per direction as an array; uniform when none is long enough, also for drawings without any
+    if ``drawings`` lists them."""
     rows = segments.select(*keys, F.when(seg_length() >= min_length, F.least(
         F.floor(mod180(raw_angle()) / (180.0 / bins)), F.lit(bins - 1))).alias("bin"))
     counted = rows.groupBy(*keys).agg(F.count("bin").alias("n"), *[F.count_if(c("bin") == i).alias(f"b{i}") for i in range(bins)])
     share = F.array(*[c(f"b{i}") / F.greatest(c("n"), F.lit(1)) for i in range(bins)])
-    return counted.select(*keys, F.when(c("n") > 0, share).otherwise(
-        F.array_repeat(F.lit(1.0 / bins), bins)).alias("hist"))
+    uniform = F.array_repeat(F.lit(1.0 / bins), bins)
+    hist = counted.select(*keys, F.when(c("n") > 0, share).otherwise(uniform).alias("hist"))
+    return for_all(drawings, hist, keys, hist=uniform)
 
 
 def orientation_ratios(segments: DataFrame, preset: str = "region", keys: list[str] = ["drawing_id"]) -> DataFrame:
@@ -62,19 +65,21 @@ def orientation_ratios(segments: DataFrame, preset: str = "region", keys: list[s
         "view_type", F.when(c("diag_ratio") > c("hv_ratio") + 0.12, "diag_dominant").otherwise("hv_dominant"))
 
 
-def long_line_ratio(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Share of segments that span a tenth of the page (w, h), at least 120 pixels."""
+def long_line_ratio(segments: DataFrame, keys: list[str] = ["drawing_id"], drawings: DataFrame | None = None) -> DataFrame:
+    """Share of segments that span a tenth of the page (w, h), at least 120 pixels; 0 for drawings without any."""
     length = seg_length()
     long = F.when(length >= 10, flag(length >= F.greatest(F.lit(120.0), 0.10 * F.greatest("w", "h"))))
-    return segments.groupBy(*keys).agg(F.coalesce(F.avg(long), F.lit(0.0)).alias("long_ratio"))
+    ratio = segments.groupBy(*keys).agg(F.coalesce(F.avg(long), F.lit(0.0)).alias("long_ratio"))
+    return for_all(drawings, ratio, keys, long_ratio=F.lit(0.0))
 
 
-def skew_angle(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Length-weighted mean deviation from the axes, over segments within 20 degrees."""
+def skew_angle(segments: DataFrame, keys: list[str] = ["drawing_id"], drawings: DataFrame | None = None) -> DataFrame:
+    """Length-weighted mean deviation from the axes, over segments within 20 degrees; 0 for drawings without any."""
     a, length = skew_fold(raw_angle()), seg_length()
     near = (F.abs(a) <= 20) & (length > 0)
-    return segments.groupBy(*keys).agg(F.coalesce(
+    skew = segments.groupBy(*keys).agg(F.coalesce(
         F.sum(F.when(near, a * length)) / (F.sum(F.when(near, length)) + 1e-6), F.lit(0.0)).alias("skew_angle"))
+    return for_all(drawings, skew, keys, skew_angle=F.lit(0.0))
 
 
 def weighted_mean_std(df: DataFrame, value: Column, weight: Column, keys: list[str] = ["drawing_id"]) -> DataFrame:

@@ -140,3 +140,30 @@ def test_flatten_any_depth_and_whole_texts(spark, levels):
     assert rows == {
         (0, "a.b.c"): "1", (0, "l"): '[{"x":1}]', (1, "t"): long, (1, "l"): '["' + "x" * 175 + "...", (2, "f"): "0.1235",
         (2, "g"): "0.25", (2, "n"): "12", (3, "qiymat"): "7", (4, "qiymat"): None, (5, "qiymat"): None}
+
+
+def test_drawings_without_parts_are_reported(spark):
+    from inkgrade.operators import components, segments
+
+    ids = spark.createDataFrame([(1,), (2,)], "drawing_id long")
+    lines = spark.createDataFrame([(1, 0, 0, 200, 0, 500, 500)], "drawing_id long, x1 int, y1 int, x2 int, y2 int, w int, h int")
+    hist = {r[0]: r[1] for r in segments.angle_hist(lines, drawings=ids).collect()}
+    assert hist[1][0] == 1.0 and hist[2] == [1.0 / 18] * 18
+    assert {r[0]: r[1] for r in segments.long_line_ratio(lines, drawings=ids).collect()} == {1: 1.0, 2: 0.0}
+    assert {r[0]: r[1] for r in segments.skew_angle(lines, drawings=ids).collect()} == {1: 0.0, 2: 0.0}
+    blobs = spark.createDataFrame([(1, 50, 10, 10, 100, 100)], "drawing_id long, area int, w int, h int, page_w int, page_h int")
+    assert {tuple(r) for r in components.small_component_stats(blobs, drawings=ids).collect()} == {(1, 1, 50), (2, 0, 0)}
+    assert {tuple(r) for r in components.section_components(blobs, drawings=ids).collect()} == {(1, 1), (2, 0)}
+
+
+def test_report_of_a_drawing_without_views_or_cleanliness(spark):
+    from inkgrade.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    first = t.views.agg(F.min("drawing_id")).first()[0]
+    views, clean = t.views.where(F.col("drawing_id") != first), t.clean_facts.where(F.col("drawing_id") != first + 1)
+    out = report.evaluate_optional_batch(
+        views, t.zones, t.titles, t.hatch_measures.drop("role"), t.role_evidence.drop("role"), clean, t.compliance_facts)
+    got = {r["drawing_id"]: r for r in out.where(F.col("drawing_id") <= first + 1).collect()}
+    assert got[first]["completeness_arrangement"] == 0 and got[first]["raw_total"] is not None
+    assert got[first + 1]["cleanliness"] == 0 and got[first + 1]["raw_total"] is not None
