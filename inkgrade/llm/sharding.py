@@ -14,6 +14,8 @@ from inkgrade.operators.lineage import cut_lineage
 HEAVY = 4096
 #: The other groups are gathered by hash into so many bundles, each packed as one item.
 BUNDLES = 16_384
+#: With a capacity, the average bundle takes at most 1/BUNDLE_SHARE of it, and a bundled group at most 1/64.
+BUNDLE_SHARE, GROUP_SHARE = 8, 64
 #: Rows of one item that are numbered together.
 ROWS_PER_RUN = 100_000
 
@@ -114,7 +116,9 @@ def shard_groups(
     fit decreasing needs (a larger item has a shard of its own). Slots count the rows of a shard from 0 without gaps.
 
     Group totals are pre-aggregated. Fewer than ``HEAVY`` groups can exceed 1/``HEAVY`` of all bytes; they and
-    ``BUNDLES`` hash bundles of the others are the items that the driver packs, whatever the input's size. Rows of a
+    ``BUNDLES`` hash bundles of the others are the items that the driver packs, whatever the input's size. With a
+    capacity, groups above 1/``GROUP_SHARE`` of it are packed by themselves too, and there are so many bundles that
+    none exceeds it: the items grow with the number of shards, not with that of the groups. Rows of a
     heavy item are numbered in runs of about ``ROWS_PER_RUN`` rows. A null size counts as 0, null groups are one
     group, repeated rows count each; an empty table gives no rows; other columns are left out.
     """
@@ -126,11 +130,18 @@ def shard_groups(
     ))
     groups = cut_lineage(slim.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     total = groups.agg(F.sum("size")).first()[0] or 0
-    bundle = F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("string")
-    is_heavy = F.col("size") * HEAVY > total
-    items = groups.groupBy(F.when(is_heavy, F.col("group")).otherwise(bundle).alias("item")).agg(
-        F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(is_heavy).alias("heavy")
-    ).collect()  # at most HEAVY + BUNDLES rows
+    is_heavy, bundles = F.col("size") * HEAVY > total, BUNDLES
+    if not shards:
+        is_heavy |= F.col("size") * GROUP_SHARE > capacity
+        bundles = max(bundles, math.ceil(BUNDLE_SHARE * total / max(capacity, 1)))
+    while True:
+        bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")
+        items = groups.groupBy(F.when(is_heavy, F.col("group")).otherwise(bundle).alias("item")).agg(
+            F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(is_heavy).alias("heavy")
+        ).collect()  # with shards, at most HEAVY + BUNDLES rows
+        if shards or all(r["heavy"] or r["size"] <= capacity for r in items):
+            break
+        bundles *= 2
     sized = [(r["size"], r["item"]) for r in items]
     where = balanced(sized, shards) if shards else best_fit_decreasing(sized, capacity)
     first, rows = {}, dict.fromkeys(where.values(), 0)

@@ -288,6 +288,17 @@ def test_sharding(documents, edges):
     assert len(rows) == docs.count()
 
 
+def test_sharding_within_a_small_capacity(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("size"))
+    got = sharding.shard_groups(docs, capacity=6, size=F.col("size"), group=F.col("doc_id"))
+    assert got.groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s"), F.count("*")).first()[0] <= 6
+    docs = docs.withColumn("size", F.lit(10))
+    got = sharding.shard_groups(docs, capacity=800, size=F.col("size"), group=F.col("doc_id"))
+    most, shards, rows = got.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).agg(
+        F.max("s"), F.count("*"), F.sum("n")).first()
+    assert most <= 800 and shards <= 800 and rows == 60_000
+
+
 def test_best_fit_decreasing():
     sizes = np.random.default_rng(2).integers(1, 60, 300).tolist()
     where = sharding.best_fit_decreasing([(s, i) for i, s in enumerate(sizes)], 100)
