@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkgrade.llm import html, licenses, mixing, ngram_join, packing, pii, quality, sharding, topk, urls
+from inkgrade.llm import (
+    audit, classifier, html, licenses, mixing, ngram_join, packing, pii, quality, sharding, spelling, topk, urls,
+)
 from inkgrade.llm.common import read
 
 
@@ -79,6 +81,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = read(spark, sf_dir, "labels").where(~held_out)
+    scored = classifier.score_quality(read(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii, op2_packing, op3_html, op4_licenses, op5_topk, op6_ngram_join, op7_mixing, op8_sharding, op9_quality,
-        op10_urls, pipeline,
+        op10_urls, op11_spelling, op12_audit, op13_classifier, pipeline,
     )
 }
 
@@ -193,4 +211,82 @@ ORACLES: dict[str, str] = {
         )
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id
         FROM s JOIN (SELECT id, min(seen) AS c FROM reach GROUP BY id) m ON m.id = s.doc_id""",
+    "op11_spelling": rf"""
+        WITH RECURSIVE crc AS (
+          SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+        ), runs AS (
+          SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zA-Z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run
+            FROM documents) GROUP BY ALL
+        ), hashed AS (
+          SELECT run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs
+        ), marked AS (
+          SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2),
+            lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+            lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS h
+          FROM hashed, crc
+        ), words AS (
+          SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::BIGINT)
+                     || substr(run, (h % len(run) + 2)::BIGINT) ELSE run END AS word, n FROM marked)
+          WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), cuts AS (
+          SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+          FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)
+        ), less AS (
+          SELECT DISTINCT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cuts c JOIN words w ON c.cut = w.word
+        ), near AS (
+          SELECT a.word AS a, b.word AS b, b.n AS bn FROM cuts a JOIN cuts b
+            ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a, b, bn FROM less UNION SELECT b, a, an FROM less
+        ), best AS (
+          SELECT a, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS b, max(bn) AS bn FROM near GROUP BY a
+        ), formed AS (
+          SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * n THEN b END AS form,
+                 CASE WHEN bn >= 10 * n THEN bn END AS form_n FROM words LEFT JOIN best ON a = word
+        ), walk AS (
+          SELECT word, word AS root FROM formed
+          UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = root WHERE form IS NOT NULL
+        )
+        SELECT formed.*, walk.root FROM formed JOIN walk ON walk.word = formed.word
+        JOIN formed f ON f.word = walk.root AND f.form IS NULL""",
+    "op12_audit": rf"""
+        WITH d AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+        ), least AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t
+        ), w AS (
+          SELECT doc_id, part, t, low, {_WORDS.format('t')} AS w FROM d JOIN least USING (t)
+        ), marks AS (
+          SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1
+        ), flags AS (
+          SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+                 (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+                 + (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) THEN 4 ELSE 0 END)
+                 + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                 + (CASE WHEN coalesce(low < doc_id, FALSE) THEN 16 ELSE 0 END) AS bits
+          FROM w LEFT JOIN marks USING (doc_id)
+        ), sets AS (
+          SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+          FROM flags GROUP BY ALL
+        ), f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(name, bit)
+        ), orders AS (
+          SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+                 [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM f a JOIN f b ON b.name <> a.name JOIN f c ON c.name NOT IN (a.name, b.name)
+          JOIN f d ON d.name NOT IN (a.name, b.name, c.name) JOIN f e ON e.name NOT IN (a.name, b.name, c.name, d.name)
+        ), steps AS (
+          SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS before
+          FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders)
+        ), counted AS (
+          SELECT part, filter_order, step, own,
+                 coalesce(sum(n) FILTER (bits & (own | before) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (bits & own <> 0 AND bits & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (bits & own <> 0 AND bits & before <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (bits = own), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (bits & own <> 0 AND bits & before = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (bits & own <> 0 AND bits & before = 0), 0)::BIGINT AS toxic_lost
+          FROM sets, steps GROUP BY ALL
+        )
+        SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted""",
 }
