@@ -13,7 +13,7 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from inkgrade.llm.common import UPPER
+from inkgrade.llm.common import UPPER, stored
 
 FILTERS = "ABCDE"
 BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
@@ -41,9 +41,9 @@ def repeated_rows(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPREAD)))
     slots = rows.where("id IS NOT NULL").groupBy("hash", "slot").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = slots.groupBy("hash").agg(
+    shared = stored(slots.groupBy("hash").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("slot").alias("slots"),  # at most SPREAD
-    ).where("low < high").select("hash", F.explode("slots").alias("slot"))
+    ).where("low < high").select("hash", F.explode("slots").alias("slot")))
     repeats = rows.join(shared, ["hash", "slot"], "left_semi")
     least = repeats.groupBy("hash", "text", "slot").agg(F.min("id").alias("low"))
     firsts = (
