@@ -62,6 +62,13 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 FIXTURES["requests"] = """
 SELECT id, task_id, student_id, uploaded_file_path, created_at FROM {submissions}
 """
+# the same, with the earlier half already stored
+FIXTURES["stored_submissions"] = """
+SELECT * FROM {submissions} WHERE created_at < CAST(DATE '1996-01-01' AS <<TIMESTAMP_NTZ|TIMESTAMP>>)
+"""
+FIXTURES["new_requests"] = """
+SELECT * FROM {requests} WHERE created_at >= CAST(DATE '1996-01-01' AS <<TIMESTAMP_NTZ|TIMESTAMP>>)
+"""
 FIXTURES["evaluations"] = """
 SELECT id, CASE WHEN created_at < CAST(DATE '2000-01-01' AS <<TIMESTAMP_NTZ|TIMESTAMP>>) THEN attempt_number * 12.5 END AS total_score,
        CASE WHEN created_at < CAST(DATE '2000-01-01' AS <<TIMESTAMP_NTZ|TIMESTAMP>>) THEN 'done' END AS ai_json_result,

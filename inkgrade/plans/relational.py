@@ -223,6 +223,30 @@ def _(t):
     return admission.admit_submissions(t.requests, t.tasks, t.task_assignments).drop("created_at", "uploaded_file_path")
 
 
+@query("number_attempts_stored", """WITH p AS (SELECT task_id, student_id, count(*) AS n FROM {stored_submissions} GROUP BY ALL),
+k AS (SELECT r.*, coalesce(n, 0) + row_number() OVER (PARTITION BY r.task_id, r.student_id ORDER BY created_at, r.id) AS k
+  FROM {new_requests} r LEFT JOIN p ON p.task_id = r.task_id AND p.student_id = r.student_id)
+SELECT id, task_id, student_id, CASE WHEN k <= 2 THEN k END AS attempt_number, CASE WHEN k > 2 THEN 'attempts' END AS reason FROM k""")
+def _(t):
+    return admission.number_attempts(t.new_requests, t.stored_submissions).select(
+        "id", "task_id", "student_id", "attempt_number", "reason")
+
+
+@query("admit_submissions_stored", r"""WITH p AS (SELECT task_id, student_id, count(*) AS n FROM {stored_submissions} GROUP BY ALL),
+c AS (SELECT r.id, r.task_id, r.student_id, r.created_at, t.mode, coalesce(p.n, 0) AS n, CASE
+  WHEN lower(regexp_extract(r.uploaded_file_path, '[^/\\](\.[^./\\]+)$', 1)) NOT IN ('.jpg', '.jpeg', '.png', '.pdf') THEN 'extension'
+  WHEN a.task_id IS NULL OR NOT t.is_active THEN 'not_assigned'
+  WHEN t.deadline IS NOT NULL AND r.created_at > t.deadline THEN 'deadline' END AS why
+  FROM {new_requests} r LEFT JOIN {tasks} t ON t.id = r.task_id LEFT JOIN p ON p.task_id = r.task_id AND p.student_id = r.student_id
+  LEFT JOIN {task_assignments} a ON a.task_id = r.task_id AND a.student_id = r.student_id),
+k AS (SELECT *, CASE WHEN why IS NULL THEN n + row_number() OVER (PARTITION BY task_id, student_id, why IS NULL ORDER BY created_at, id) END AS k FROM c)
+SELECT id, task_id, student_id, mode, CASE WHEN k <= 2 THEN k END AS attempt_number,
+  CASE WHEN k > 2 THEN 'attempts' ELSE why END AS reason, CASE WHEN k <= 2 THEN 'pending' ELSE 'rejected' END AS status FROM k""")
+def _(t):
+    return admission.admit_submissions(
+        t.new_requests, t.tasks, t.task_assignments, stored=t.stored_submissions).drop("created_at", "uploaded_file_path")
+
+
 @query("apply_evaluations", """SELECT s.id, s.task_id, s.student_id, s.attempt_number,
   CASE WHEN e.id IS NOT NULL AND e.error IS NULL THEN e.total_score ELSE s.total_score END AS total_score,
   CASE WHEN e.error IS NOT NULL THEN '{{"error":"' || e.error || '"}}' WHEN e.id IS NOT NULL THEN e.ai_json_result END AS ai_json_result,

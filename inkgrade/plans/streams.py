@@ -39,6 +39,14 @@ def _(t):
     return _drain(t, U.stream_admission(requests, t.tasks, t.task_assignments))
 
 
+@query("stream_admission_stored", ORACLES_RAW["admit_submissions_stored"])
+def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", U.ROCKSDB)
+    arriving = c("created_at") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    requests = _submissions(t).filter(arriving).select("id", "task_id", "student_id", "uploaded_file_path", "created_at")
+    return _drain(t, U.stream_admission(requests, t.tasks, t.task_assignments, stored=t.stored_submissions))
+
+
 @query("stream_apply_results", ORACLES_RAW["apply_evaluations"])
 def _(t):
     folder = f"{shared_folder(t.spark)}/results-{uuid.uuid4().hex}"

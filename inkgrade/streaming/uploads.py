@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from inkgrade.functions.text import UPLOAD_SUFFIXES, file_suffix, has_suffix
-from inkgrade.operators.admission import MAX_ATTEMPTS, is_late
+from inkgrade.operators.admission import MAX_ATTEMPTS, is_late, stored_counts
 from inkgrade.operators.writes import apply_evaluations
 
 c = F.col
@@ -21,10 +20,10 @@ ADMITTED = ("id string, task_id bigint, student_id bigint, mode string, attempt_
 
 
 class AttemptCounter(StatefulProcessor):
-    """Per (task, student): how many requests were accepted so far.
+    """Per (task, student): how many attempts are used up, by stored submissions and by requests accepted since.
 
-    Within a micro-batch the earliest requests win. Only the few that may still be accepted are held;
-    all others are passed on as they arrive, so a busy pair needs no more memory than a quiet one.
+    Within a micro-batch the earliest requests win. Only the few that may still be accepted are held between Arrow
+    batches; all others are passed on as they arrive, so a busy pair needs no more memory than a quiet one.
     """
 
     def __init__(self, cap: int):
@@ -33,46 +32,42 @@ class AttemptCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.used = handle.getValueState("used", "n bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Called once per pair, in the first micro-batch of a new checkpoint."""
+        self.used.update((int(initialState["prior"].sum()),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         used = int(self.used.get()[0]) if self.used.exists() else 0
-        held: list[tuple] = []  # latest of the earliest requests on top
+        free = max(self.cap - used, 0)
+        held = None
         for pdf in rows:
-            late = []
-            for at, ident, mode in zip(pdf["at"], pdf["id"], pdf["mode"]):
-                heapq.heappush(held, _Latest(at, ident, mode))
-                if len(held) > self.cap - used:
-                    late.append(heapq.heappop(held))
-            if late:
+            pdf = pdf[["id", "mode", "at"]]
+            ranked = (pdf if held is None else pd.concat([held, pdf])).sort_values(["at", "id"], kind="stable")
+            held, late = ranked.iloc[:free], ranked.iloc[free:]
+            if len(late):
                 yield self._rows(key, late, [None] * len(late), "attempts", "rejected")
-        first = sorted(held, reverse=True)
-        if first:
-            numbers = [used + i + 1 for i in range(len(first))]
-            self.used.update((used + len(first),))
-            yield self._rows(key, first, numbers, None, "pending")
+        if held is not None and len(held):
+            self.used.update((used + len(held),))
+            yield self._rows(key, held, [used + i + 1 for i in range(len(held))], None, "pending")
 
-    def _rows(self, key, requests, numbers, reason, status) -> pd.DataFrame:
+    def _rows(self, key, requests: pd.DataFrame, numbers, reason, status) -> pd.DataFrame:
         return pd.DataFrame({
-            "id": [r.ident for r in requests], "task_id": key[0], "student_id": key[1],
-            "mode": [r.mode for r in requests], "attempt_number": pd.array(numbers, dtype="Int64"),
+            "id": requests["id"].array, "task_id": key[0], "student_id": key[1], "mode": requests["mode"].array,
+            "attempt_number": pd.array(numbers, dtype="Int64"),
             "reason": pd.Series([reason] * len(requests), dtype="object"), "status": status})
 
     def close(self) -> None:
         pass
 
 
-class _Latest:
-    """Orders requests latest first, so that a heap keeps the earliest ones."""
-
-    def __init__(self, at, ident, mode):
-        self.at, self.ident, self.mode = at, ident, mode
-
-    def __lt__(self, other):
-        return (self.at, self.ident) > (other.at, other.ident)
-
-
-def stream_admission(requests: DataFrame, tasks: DataFrame, assignments: DataFrame, cap: int = MAX_ATTEMPTS) -> DataFrame:
+def stream_admission(
+    requests: DataFrame, tasks: DataFrame, assignments: DataFrame, cap: int = MAX_ATTEMPTS, stored: DataFrame | None = None,
+) -> DataFrame:
     """Admission of a stream of requests against static tasks and assignments.
 
+    The counters of a new checkpoint start from the submissions already ``stored``; a restarted stream goes on from
+    its own state.
+
     The rules on extension, assignment and deadline need no state, and requests that fail one never
     reach the counter. Needs the RocksDB state store (``ROCKSDB``).
     """
@@ -84,7 +79,8 @@ def stream_admission(requests: DataFrame, tasks: DataFrame, assignments: DataFra
         .when(~F.coalesce(c("assigned") & c("is_active"), F.lit(False)), "not_assigned")
         .when(is_late(c("created_at"), c("deadline")), "deadline").alias("reason"))
     counted = checked.filter("reason IS NULL").drop("reason").groupBy("task_id", "student_id").transformWithStateInPandas(
-        statefulProcessor=AttemptCounter(cap), outputStructType=ADMITTED, outputMode="Append", timeMode="None")
+        statefulProcessor=AttemptCounter(cap), outputStructType=ADMITTED, outputMode="Append", timeMode="None",
+        initialState=None if stored is None else stored_counts(stored).groupBy("task_id", "student_id"))
     refused = checked.filter("reason IS NOT NULL").select(
         "id", "task_id", "student_id", "mode", F.lit(None).cast("bigint").alias("attempt_number"), "reason", F.lit("rejected").alias("status"))
     return counted.unionByName(refused)
