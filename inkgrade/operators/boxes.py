@@ -467,13 +467,14 @@ def choose_cut(cuts: DataFrame, boxes: DataFrame) -> DataFrame:
                     [F.desc("score"), F.desc("cnt"), F.asc("ycut")])
 
 
-def projection_filter(boxes: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Boxes that look like projections; drawings with none keep their best one under a softer test.
-
-    Needs bw, bh, area, hvs, hvl, hv_len, diag_len and the limits min_w, min_h, min_area, w, h.
-    """
+def looks_like_projection() -> Column:
+    """The strict test on bw, bh, area, hvs, hvl, hv_len, diag_len and the limits min_w, min_h, min_area."""
     big = all_of(c("bw") >= c("min_w"), c("bh") >= c("min_h"), c("area") >= c("min_area"))
-    strict = ((c("hvs") >= 0.26) & (c("hvl") >= 0.50)) | ((c("hvs") >= 0.48) & (c("hv_len") >= c("diag_len") * 1.15))
+    return big & (((c("hvs") >= 0.26) & (c("hvl") >= 0.50)) | ((c("hvs") >= 0.48) & (c("hv_len") >= c("diag_len") * 1.15)))
+
+
+def best_fallback(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The best box of each key under the softer test; needs the page size w, h too."""
     share = lambda part, floor, of: F.greatest(F.lit(floor), (c(of) * part).cast("int"))
     soft_size = all_of(c("area") >= share(0.45, 20, "min_area"), c("bw") >= share(0.70, 10, "min_w"), c("bh") >= share(0.70, 12, "min_h"))
     flat = (c("bw") >= (c("w") * 0.55).cast("int")) & (c("bh") <= (c("h") * 0.12).cast("int"))
@@ -486,9 +487,17 @@ def projection_filter(boxes: DataFrame, keys: list[str] = ["drawing_id"]) -> Dat
         + 0.15 * F.least(c("bh") / F.greatest(F.lit(1.0), "bw"), F.lit(3.0))
         - 0.20 * (c("diag_len") / F.greatest(F.lit(1.0), c("hv_len") + c("diag_len")))
     )
-    kept = boxes.filter(big & strict).withColumn("fallback", F.lit(False))
-    rest = boxes.filter(soft_size & ~flat & soft).join(kept.select(*keys).distinct(), keys, "left_anti")
-    best = top_rows(rest.withColumn("_score", score), keys, [F.desc("_score"), F.asc("seq")]).drop("_score")
+    fit = boxes.filter(soft_size & ~flat & soft).withColumn("_score", score)
+    return top_rows(fit, keys, [F.desc("_score"), F.asc("seq")]).drop("_score")
+
+
+def projection_filter(boxes: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
+    """Boxes that look like projections; drawings with none keep their best one under a softer test.
+
+    Needs bw, bh, area, hvs, hvl, hv_len, diag_len and the limits min_w, min_h, min_area, w, h.
+    """
+    kept = boxes.filter(looks_like_projection()).withColumn("fallback", F.lit(False))
+    best = best_fallback(boxes.join(kept.select(*keys).distinct(), keys, "left_anti"), keys)
     return kept.unionByName(best.withColumn("fallback", F.lit(True)))
 
 

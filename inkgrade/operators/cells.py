@@ -194,20 +194,28 @@ def tolerance_metrics(ref: DataFrame, stu: DataFrame, dims: DataFrame, r: int =
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio, 1.0 / F.greatest(ratio, F.lit(1e-6)))).alias("area_balance"))
 
 
-def long_runs(cells: DataFrame, k: int) -> DataFrame:
-    """Cells in horizontal or vertical runs of at least ``k`` cells."""
-    long = lambda axis: to_cells(to_runs(cells, axis).filter(c("e") - c("s") >= k), axis)
-    return long("x").unionByName(long("y")).distinct()
+def long_runs(cells: DataFrame, k: Column | int, dims: DataFrame | None = None, kv: Column | int | None = None) -> DataFrame:
+    """Cells in horizontal runs of at least ``k`` cells or vertical ones of at least ``kv`` (else ``k``). With ``dims``
+    the lengths may be columns of it, one number per mask."""
+    def long(axis, least):
+        runs = to_runs(cells, axis)
+        if dims is not None:
+            least = least if isinstance(least, Column) else F.lit(least)
+            runs = runs.join(dims.select("mask_id", least.alias("_k")), "mask_id")
+            least = c("_k")
+        return to_cells(runs.filter(c("e") - c("s") >= least), axis)
 
+    return long("x", k).unionByName(long("y", k if kv is None else kv)).distinct()
 
-def without_long_runs(cells: DataFrame, k: int) -> DataFrame:
-    return mask_minus(cells, long_runs(cells, k))
 
+def without_long_runs(cells: DataFrame, k: Column | int, dims: DataFrame | None = None) -> DataFrame:
+    return mask_minus(cells, long_runs(cells, k, dims))
 
-def hv_struct_ratio(cells: DataFrame, k: int) -> DataFrame:
+
+def hv_struct_ratio(cells: DataFrame, k: Column | int, dims: DataFrame | None = None, kv: Column | int | None = None) -> DataFrame:
     """Share of ink that lies in long axis-aligned runs."""
     total = cells.groupBy("mask_id").agg(F.count("*").alias("n"))
-    hv = long_runs(cells, k).groupBy("mask_id").agg(F.count("*").alias("hv"))
+    hv = long_runs(cells, k, dims, kv).groupBy("mask_id").agg(F.count("*").alias("hv"))
     return total.join(hv, "mask_id", "left").select("mask_id", (F.coalesce("hv", F.lit(0)) / F.greatest("n", F.lit(1))).alias("hv_struct_ratio"))
 
 

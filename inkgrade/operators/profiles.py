@@ -19,12 +19,19 @@ def _by_pos():
     return Window.partitionBy(ID).orderBy("pos")
 
 
-def odd(k: int) -> int:
+def odd(k: Column | int) -> Column | int:
     """Kernel size: at least 3 and odd."""
+    if isinstance(k, Column):
+        k = F.greatest(F.lit(3), k.cast("int"))
+        return k + F.when(k % 2 == 0, 1).otherwise(0)
     k = max(3, int(k))
     return k if k % 2 else k + 1
 
 
+def _col(value: Column | int | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def fill_positions(sparse: DataFrame, lengths: DataFrame) -> DataFrame:
     """Zero-filled profiles from sparse (profile_id, pos, val) and lengths (profile_id, n)."""
     every = lengths.filter("n > 0").select(ID, F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("pos"))
@@ -41,10 +48,28 @@ def occupancy_profile(cells: DataFrame, dims: DataFrame, axis: str = "y", how: s
         c("mask_id").alias(ID), c(axis).alias("pos"), (val if how == "count" else val / c(across)).alias("val"))
 
 
-def moving_average(profile: DataFrame, k: int, out: str = "smooth") -> DataFrame:
-    """Centred sum over ``k`` positions divided by ``k``; beyond the ends counts as zero."""
+def moving_average(profile: DataFrame, k: Column | int, out: str = "smooth") -> DataFrame:
+    """Centred sum over ``k`` positions divided by ``k``; beyond the ends counts as zero.
+
+    ``k`` may be a column that is constant within a profile. A frame cannot read a column, so such a window is the
+    difference of two prefix sums of the profile.
+    """
     k = odd(k)
-    return profile.withColumn(out, F.sum("val").over(_by_pos().rowsBetween(-(k // 2), k // 2)) / k)
+    if isinstance(k, int):
+        return profile.withColumn(out, F.sum("val").over(_by_pos().rowsBetween(-(k // 2), k // 2)) / k)
+    prefix = F.sum("val").over(_by_pos().rowsBetween(Window.unboundedPreceding, 0))
+    rest = [n for n in profile.columns if n not in (ID, "pos")]
+    rows = profile.withColumns({"_p": prefix, "_k": k}).groupBy(ID).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "_p", "_k", *rest))).alias("_rows"))  # the positions of one profile
+
+    def average(row: Column, i: Column) -> Column:
+        size, half = row.getField("_k"), F.floor(row.getField("_k") / 2).cast("int")
+        upto = F.get("_rows", F.least(i + half, F.size("_rows") - 1)).getField("_p")
+        before = F.coalesce(F.get("_rows", i - half - 1).getField("_p"), F.lit(0.0))
+        return F.struct(row.getField("pos").alias("pos"), *[row.getField(n).alias(n) for n in rest],
+                        ((upto - before) / size).alias(out))
+
+    return rows.select(ID, F.inline(F.transform("_rows", average)))
 
 
 def _runs(profile: DataFrame, on: Column, *more: Column) -> DataFrame:
@@ -55,14 +80,16 @@ def _runs(profile: DataFrame, on: Column, *more: Column) -> DataFrame:
 
 
 def find_runs(profile: DataFrame, on: Column, min_len: Column | int = 1) -> DataFrame:
-    runs = _runs(profile, on).filter("_on").drop("_on")
-    return runs.filter(c("e") - c("s") >= min_len)
+    """Maximal on-runs of at least ``min_len`` positions (a column must be constant within a profile)."""
+    runs = _runs(profile.withColumn("_min", _col(min_len)), on, F.max("_min").alias("_min")).filter("_on")
+    return runs.filter(c("e") - c("s") >= c("_min")).drop("_on", "_min")
 
 
-def close_gaps(profile: DataFrame, on: Column, gap: int, out: str = "closed") -> DataFrame:
+def close_gaps(profile: DataFrame, on: Column, gap: Column | int, out: str = "closed") -> DataFrame:
     """Flags after closing: inner off-runs shorter than the kernel turn on, and off-runs at an end
     that fit in half of it. A profile that is off throughout stays off."""
-    k = odd(gap)
+    k = _col(odd(gap))
+    half = F.floor(k / 2)
     order = _by_pos()
     span = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.last(F.when(c("_on"), c("pos")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -70,26 +97,31 @@ def close_gaps(profile: DataFrame, on: Column, gap: int, out: str = "closed") ->
     marked = profile.withColumn("_on", on).select(
         "*", before.alias("_b"), after.alias("_a"), F.max("pos").over(span).alias("_last"))
     inner = c("_b").isNotNull() & c("_a").isNotNull() & (c("_a") - c("_b") - 1 < k)
-    left = c("_b").isNull() & c("_a").isNotNull() & (c("_a") <= k // 2)
-    right = c("_a").isNull() & c("_b").isNotNull() & (c("_last") - c("_b") <= k // 2)
+    left = c("_b").isNull() & c("_a").isNotNull() & (c("_a") <= half)
+    right = c("_a").isNull() & c("_b").isNotNull() & (c("_last") - c("_b") <= half)
     return marked.withColumn(out, c("_on") | inner | left | right).drop("_on", "_b", "_a", "_last")
 
 
-def split_by_valleys(profile: DataFrame, min_len: int, rel: float, k: int, occupancy: bool = False) -> DataFrame:
-    """Segments between the valleys of the smoothed profile.
+def split_by_valleys(
+    profile: DataFrame, min_len: Column | int, rel: Column | float, k: Column | int, occupancy: bool = False,
+    floor: Column | float = 0.01,
+) -> DataFrame:
+    """Segments between the valleys of the smoothed profile. Parameters may be columns, constant within a profile.
 
-    Valleys are runs at or below ``rel`` of the maximum (for occupancy, at least 0.01) of a fortieth
+    Valleys are runs at or below ``rel`` of the maximum (for occupancy, at least ``floor``) of a fortieth
     of the length, at least 4. Fewer than two segments of ``min_len`` leave the whole profile; an
     empty profile gives nothing, or the whole for occupancy.
     """
     whole_span = Window.partitionBy(ID)
-    s = moving_average(profile, k).select(
+    s = moving_average(profile.withColumns({"_min": _col(min_len), "_rel": _col(rel), "_floor": _col(floor)}), k).select(
         "*", F.max("smooth").over(whole_span).alias("top"), (F.max("pos").over(whole_span) + 1).alias("len"))
-    low = c("smooth") <= (F.greatest(F.lit(0.01), rel * c("top")) if occupancy else rel * c("top"))
+    valley = c("_rel") * c("top")
+    low = c("smooth") <= (F.greatest("_floor", valley) if occupancy else valley)
+    min_len = c("_min")
     wide = c("e") - c("s") >= F.greatest(F.lit(4), (c("len") * 0.025).cast("int"))
     # the few valleys of a profile are gathered in order; the rest is arithmetic on one row
-    rows = _runs(s, low, F.max("top").alias("top"), F.max("len").alias("len")).groupBy(ID).agg(
-        F.max("top").alias("top"), F.max("len").cast("int").alias("len"),
+    rows = _runs(s, low, F.max("top").alias("top"), F.max("len").alias("len"), F.max("_min").alias("_min")).groupBy(ID).agg(
+        F.max("top").alias("top"), F.max("len").cast("int").alias("len"), F.max("_min").alias("_min"),
         F.sort_array(F.collect_list(F.when(c("_on") & wide, F.struct("s", "e")))).alias("cuts"))
     end = F.array(F.struct(c("len").alias("s"), c("len").alias("e")))
     between = F.transform(F.concat("cuts", end), lambda x, i: F.struct(
@@ -102,20 +134,20 @@ def split_by_valleys(profile: DataFrame, min_len: int, rel: float, k: int, occup
         F.when(short, whole).when(empty, blank).when(F.size("parts") >= 2, c("parts")).otherwise(whole)))
 
 
-def valley_cut(profile: DataFrame, height: int, ratios=(0.52, 0.58, 0.64, 0.70)) -> DataFrame:
-    """Candidate cuts of pages of ``height`` rows: fixed shares, and the emptiest smoothed row."""
-    y0 = int(height * 0.62)
-    lo, hi = int(y0 * 0.35), int(y0 * 0.92)
-    fixed = F.array(*[F.lit(int(height * r)) for r in ratios])
-    top = moving_average(profile.filter(c("pos") < y0), max(9, int(height * 0.02)))
-    if hi > lo + 5:
-        best = top_rows(top.filter(c("pos").between(lo, hi - 1)), [ID], [F.asc("smooth"), F.asc("pos")])
-        rows = profile.select(ID).distinct().join(best.select(ID, "pos"), ID, "left").withColumn(
-            "soft", F.greatest(F.lit(int(height * 0.50)), c("pos").cast("int")))
-    else:
-        rows = profile.select(ID).distinct().withColumn("soft", F.lit(None).cast("int")).withColumn("pos", c("soft"))
-    candidates = F.array_distinct(F.concat(fixed, F.array_compact(F.array(F.when(c("pos").isNotNull(), c("soft"))))))
-    kept = F.filter(candidates, lambda y: y.between(int(height * 0.45), int(height * 0.78)))
+def valley_cut(profile: DataFrame, height: Column | int, ratios=(0.52, 0.58, 0.64, 0.70)) -> DataFrame:
+    """Candidate cuts of pages of ``height`` rows (a column must be constant within a profile): fixed shares, and the
+    emptiest smoothed row."""
+    whole = lambda share, of: (c(of) * share).cast("int")
+    page = profile.withColumn("_h", _col(height)).withColumn("_y0", whole(0.62, "_h"))
+    top = page.filter(c("pos") < c("_y0"))
+    kernel = F.greatest(F.lit(9), whole(0.02, "_h"))
+    top = moving_average(top, kernel if isinstance(height, Column) else max(9, int(height * 0.02)))
+    lo, hi = whole(0.35, "_y0"), whole(0.92, "_y0")
+    best = top_rows(top.filter((c("pos") >= lo) & (c("pos") < hi) & (hi > lo + 5)), [ID], [F.asc("smooth"), F.asc("pos")])
+    rows = page.groupBy(ID).agg(F.max("_h").alias("_h")).join(best.select(ID, "pos"), ID, "left")
+    soft = F.when(c("pos").isNotNull(), F.greatest(whole(0.50, "_h"), c("pos").cast("int")))
+    candidates = F.array_distinct(F.array_compact(F.array(*[whole(r, "_h") for r in ratios], soft)))
+    kept = F.filter(candidates, lambda y: y.between(whole(0.45, "_h"), whole(0.78, "_h")))
     return rows.select(ID, F.explode(F.array_sort(kept)).alias("ycut"))
 
 
@@ -144,9 +176,12 @@ def band_spacing_cv(profile: DataFrame) -> DataFrame:
         F.when((c("bands") >= 3) & (c("mean") > 1e-6), c("sd") / c("mean")).alias("spacing_cv"))
 
 
-def active_runs(profile: DataFrame, k: int, gap: int, min_len: int, rel: float = 0.17, floor: float = 4.0) -> DataFrame:
-    """Runs where the smoothed profile is active, after closing small gaps."""
-    s = moving_average(profile, k)
+def active_runs(
+    profile: DataFrame, k: Column | int, gap: Column | int, min_len: Column | int, rel: float = 0.17, floor: float = 4.0,
+) -> DataFrame:
+    """Runs where the smoothed profile is active, after closing small gaps. Parameters may be columns, constant within
+    a profile."""
+    s = moving_average(profile.withColumns({"_gap": _col(gap), "_len": _col(min_len)}), k)
     s = s.withColumn("_thr", F.greatest(F.lit(floor), rel * F.max("smooth").over(Window.partitionBy(ID))))
-    closed = close_gaps(s, c("smooth") >= c("_thr"), gap)
-    return find_runs(closed, c("closed"), min_len)
+    closed = close_gaps(s, c("smooth") >= c("_thr"), c("_gap") if isinstance(gap, Column) else gap)
+    return find_runs(closed, c("closed"), c("_len"))

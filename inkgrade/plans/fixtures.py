@@ -390,6 +390,12 @@ SELECT p.profile_id, CAST(p.pos AS INT) AS pos, coalesce(c.val, CAST(0 AS DOUBLE
 FROM (SELECT profile_id, <<explode(sequence(0, 63))|unnest(range(64))>> AS pos FROM {profile_counts} GROUP BY profile_id) p
 LEFT JOIN {profile_counts} c ON c.profile_id = p.profile_id AND c.pos = p.pos
 """
+# the same profiles cut to pages of different length, each with a kernel of its own
+FIXTURES["sized_profiles"] = """
+SELECT profile_id, pos, val, n, k FROM (
+  SELECT profile_id, pos, val, CAST(40 + 12 * (profile_id % 3) AS INT) AS n, CAST(3 + 2 * (profile_id % 4) AS INT) AS k FROM {profiles}) p
+WHERE pos < n
+"""
 
 # ---------------------------------------------------------------- masks
 FIXTURES["pixels8"] = """
@@ -412,6 +418,7 @@ FIXTURES["ref48"] = "SELECT mask_id, y, x FROM {pixels48} WHERE side = 'F'"
 FIXTURES["stu48"] = "SELECT mask_id, y, x FROM {pixels48} WHERE side = 'O'"
 FIXTURES["all48"] = "SELECT DISTINCT mask_id, y, x FROM {pixels48}"
 FIXTURES["dims48"] = "SELECT s_suppkey AS mask_id, 48 AS h, 48 AS w FROM {supplier}"
+FIXTURES["sized_dims48"] = "SELECT s_suppkey AS mask_id, 48 AS h, 48 AS w, CAST(2 + s_suppkey % 4 AS INT) AS k FROM {supplier}"
 FIXTURES["mask_boxes"] = """
 SELECT l_suppkey AS mask_id, CAST(l_linenumber * 5 AS INT) AS x1, CAST(min(l_partkey % 40) AS INT) AS y1,
        CAST(l_linenumber * 5 + 4 AS INT) AS x2, CAST(min(l_partkey % 40) + 6 AS INT) AS y2
@@ -423,3 +430,31 @@ SELECT l_suppkey AS mask_id, CAST(l_quantity AS INT) % 9 + CAST(l_linenumber AS
 FIXTURES["two_fills"] = """
 SELECT submission_id AS mask_id, CAST(p % 401 AS DOUBLE) / 1000 AS fill1, CAST(s % 401 AS DOUBLE) / 1000 AS fill2 FROM {order_sums}
 """
+# outlines of boxes with a middle line, drawn on pages of 300 x 240
+FIXTURES["outlines"] = """
+SELECT drawing_id, seq, x1, y1, least(x1 + bw, 290) AS x2, least(y1 + bh, 200) AS y2
+FROM (SELECT l_suppkey AS drawing_id, l_linenumber AS seq, CAST(sum(l_partkey) % 230 + 12 AS INT) AS x1,
+             CAST(sum(l_orderkey) % 120 + 6 AS INT) AS y1, CAST(24 + sum(l_partkey + l_orderkey) % 70 AS INT) AS bw,
+             CAST(20 + sum(l_orderkey * 3 + l_partkey) % 60 AS INT) AS bh
+      FROM {lineitem} GROUP BY l_suppkey, l_linenumber) s
+"""
+FIXTURES["outline_segments"] = """
+SELECT drawing_id, x1, y1, x2 - 1 AS x2, y1 AS y2 FROM {outlines} UNION ALL
+SELECT drawing_id, x1, y2 - 1, x2 - 1, y2 - 1 FROM {outlines} UNION ALL
+SELECT drawing_id, x1, y1, x1, y2 - 1 FROM {outlines} UNION ALL
+SELECT drawing_id, x2 - 1, y1, x2 - 1, y2 - 1 FROM {outlines} UNION ALL
+SELECT drawing_id, x1, y1, x2 - 1, y2 - 1 FROM {outlines} WHERE seq = 3
+"""
+FIXTURES["line_cells"] = """
+SELECT DISTINCT drawing_id, y, x FROM (
+  SELECT drawing_id, y1 AS y, <<explode(sequence(x1, x2 - 1))|unnest(range(x1, x2))>> AS x FROM {outlines} UNION ALL
+  SELECT drawing_id, y2 - 1, <<explode(sequence(x1, x2 - 1))|unnest(range(x1, x2))>> FROM {outlines} UNION ALL
+  SELECT drawing_id, <<explode(sequence(y1, y2 - 1))|unnest(range(y1, y2))>>, x1 FROM {outlines} UNION ALL
+  SELECT drawing_id, <<explode(sequence(y1, y2 - 1))|unnest(range(y1, y2))>>, x2 - 1 FROM {outlines} UNION ALL
+  SELECT drawing_id, <<explode(sequence(y1, y2 - 1))|unnest(range(y1, y2))>>, CAST(floor((x1 + x2) / 2) AS INT) FROM {outlines}) c
+"""
+FIXTURES["line_dims"] = "SELECT s_suppkey AS drawing_id, 300 AS w, 240 AS h FROM {supplier}"
+FIXTURES["line_cuts"] = """
+SELECT drawing_id, 124 AS ycut FROM {line_dims} UNION ALL SELECT drawing_id, 139 FROM {line_dims} UNION ALL
+SELECT drawing_id, 153 FROM {line_dims} UNION ALL SELECT drawing_id, 168 FROM {line_dims}
+"""

@@ -265,3 +265,46 @@ def _(t):
 SELECT profile_id, s, e FROM {runs('k', 'closed')} WHERE e - s >= 3""")
 def _(t):
     return P.active_runs(t.profiles, 3, 5, 3, rel=0.5)
+
+
+# ---- profiles of pages of different size --------------------------------------------------------
+_SIZED = """(SELECT a.profile_id, a.pos, a.n, a.k, sum(b.val) / a.k AS sm FROM {sized_profiles} a JOIN {sized_profiles} b
+  ON a.profile_id = b.profile_id AND abs(a.pos - b.pos) <= a.k // 2 GROUP BY a.profile_id, a.pos, a.n, a.k)"""
+
+
+@query("moving_average_sized", f"SELECT profile_id, pos, round(sm, 6) AS smooth FROM {_SIZED}")
+def _(t):
+    return _r(P.moving_average(t.sized_profiles, c("k")), 6, "smooth").select("profile_id", "pos", "smooth")
+
+
+@query("split_by_valleys_sized", f"""WITH s AS (SELECT *, max(sm) OVER (PARTITION BY profile_id) AS top FROM {_SIZED}),
+cuts AS (SELECT profile_id, s, e, n, k FROM (SELECT profile_id, min(pos) AS s, max(pos) + 1 AS e, max(n) AS n, max(k) AS k FROM (
+    SELECT *, pos - row_number() OVER (PARTITION BY profile_id ORDER BY pos) AS isl FROM s WHERE top > 0 AND n > 2 * (k + 2) AND sm <= 0.5 * top)
+  GROUP BY profile_id, isl) WHERE e - s >= 4),
+parts AS (SELECT profile_id, a, b, count(*) OVER (PARTITION BY profile_id) AS m FROM (
+  SELECT profile_id, coalesce(lag(e) OVER (PARTITION BY profile_id ORDER BY s), 0) AS a, s AS b, k FROM cuts
+  UNION ALL SELECT profile_id, max(e), max(n), max(k) FROM cuts GROUP BY profile_id) WHERE b - a >= k + 2)
+SELECT profile_id, a, b FROM parts WHERE m >= 2
+UNION ALL SELECT DISTINCT profile_id, 0, n FROM s WHERE (top > 0 OR n <= 2 * (k + 2)) AND profile_id NOT IN (SELECT profile_id FROM parts WHERE m >= 2)""")
+def _(t):
+    return P.split_by_valleys(t.sized_profiles, c("k") + 2, 0.5, c("k"))
+
+
+@query("valley_cut_sized", """WITH s AS (SELECT a.profile_id, a.pos, a.n, sum(b.val) / 9 AS sm, floor(a.n * 0.62) AS y0 FROM {sized_profiles} a JOIN {sized_profiles} b
+    ON a.profile_id = b.profile_id AND abs(a.pos - b.pos) <= 4 AND b.pos < floor(a.n * 0.62) WHERE a.pos < floor(a.n * 0.62) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY sm, pos) AS k FROM s WHERE pos >= floor(y0 * 0.35) AND pos < floor(y0 * 0.92))
+SELECT DISTINCT profile_id, ycut FROM (SELECT profile_id, n, unnest([floor(n * 0.52), floor(n * 0.58), floor(n * 0.64), floor(n * 0.70), greatest(floor(n * 0.50), pos)])::INT AS ycut
+  FROM k WHERE k = 1) WHERE ycut BETWEEN floor(n * 0.45) AND floor(n * 0.78)""")
+def _(t):
+    return P.valley_cut(t.sized_profiles, c("n"))
+
+
+@query("active_runs_sized", f"""WITH s AS (SELECT *, max(sm) OVER (PARTITION BY profile_id) AS top FROM {_SIZED}),
+f AS (SELECT *, sm >= greatest(4.0, 0.5 * top) AS flag FROM s),
+k AS (SELECT p.*, NOT EXISTS (SELECT 1 FROM (SELECT d.profile_id, d.pos FROM f d WHERE NOT EXISTS (
+    SELECT 1 FROM f o WHERE o.profile_id = d.profile_id AND abs(o.pos - d.pos) <= d.k // 2 AND o.flag)) q
+  WHERE q.profile_id = p.profile_id AND abs(q.pos - p.pos) <= p.k // 2) AS closed FROM f p)
+SELECT profile_id, s, e FROM (SELECT profile_id, min(pos) AS s, max(pos) + 1 AS e, max(k) AS k FROM (
+    SELECT *, pos - row_number() OVER (PARTITION BY profile_id ORDER BY pos) AS isl FROM k WHERE closed) GROUP BY profile_id, isl) WHERE e - s >= k""")
+def _(t):
+    return P.active_runs(t.sized_profiles, c("k"), c("k"), c("k"), rel=0.5)

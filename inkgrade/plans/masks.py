@@ -144,6 +144,14 @@ def _(t):
     return _r(M.hv_struct_ratio(t.all48, 3), "hv_struct_ratio")
 
 
+@query("long_runs_sized", """WITH h AS (SELECT *, count(*) OVER (PARTITION BY mask_id, y, isl) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY mask_id, y ORDER BY x) AS isl FROM {all48})),
+v AS (SELECT *, count(*) OVER (PARTITION BY mask_id, x, isl) AS n FROM (SELECT *, y - row_number() OVER (PARTITION BY mask_id, x ORDER BY y) AS isl FROM {all48}))
+SELECT h.mask_id, h.y, h.x FROM h JOIN {sized_dims48} d ON d.mask_id = h.mask_id WHERE n >= d.k
+UNION SELECT v.mask_id, v.y, v.x FROM v JOIN {sized_dims48} d ON d.mask_id = v.mask_id WHERE n >= d.k + 1""")
+def _(t):
+    return M.long_runs(t.all48, c("k"), t.sized_dims48, c("k") + 1).select(*M.CELL)
+
+
 @query("fill_metrics", """SELECT mask_id, round(count(*) / 2304, 9) AS fill_ratio, round(count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 9) AS density,
   round(count(*) FILTER (x BETWEEN 4 AND 43 AND y BETWEEN 4 AND 43) / count(*), 9) AS interior_share FROM {ref48} GROUP BY mask_id""")
 def _(t):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkgrade.functions import boxes as g
 from inkgrade.functions.boxes import SIDES, box
-from inkgrade.operators import boxes as B, components as K
+from inkgrade.operators import boxes as B, components as K, projections
 from inkgrade.plans.catalog import query
 
 c = F.col
@@ -351,3 +351,9 @@ LEFT JOIN (SELECT drawing_id, region_id, count(*) AS n FROM {region_ink} GROUP B
 WHERE r.area >= 120 AND coalesce(i.n, 0) / greatest(r.area, 1) >= 0.08""")
 def _(t):
     return K.region_density_filter(t.regions, t.region_ink).withColumn("density", F.round("density", 9))
+
+
+# The chain of splits and refinements has no SQL twin; tests hold it against a pixel-wise version.
+@query("detect_projections")
+def _(t):
+    return projections.detect_projections(t.line_cells, t.outline_segments, t.line_cuts, t.line_dims)

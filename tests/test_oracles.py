@@ -21,7 +21,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES)
+    """All but the view finder, whose chain SQL cannot express; test_projections.py holds it against pixels."""
+    assert set(QUERIES) - set(ORACLES) == {"detect_projections"} and set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
