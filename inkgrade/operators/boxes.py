@@ -11,9 +11,13 @@ Views are few: merged boxes of at least 0.4 % of the page that lie apart from ea
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkgrade.functions.boxes import (
     SIDES, box, box_area, boxes_close, center_dist, center_x, center_y, clip_box, enclose, iou,
@@ -24,8 +28,8 @@ from inkgrade.operators.lineage import by_group_size, cut_lineage
 
 c = F.col
 CELL = 256  # side of a lookup cell in pixels
+GRID = 64  # side of a cell in the grid of kept boxes
 FOLD_LIMIT = 64  # most boxes of one drawing that are merged in a single row
-NMS_LIMIT = 1024  # most boxes of one drawing that are suppressed in a single row
 
 
 def _cells(df: DataFrame, pad: int = 0, size: int = CELL) -> DataFrame:
@@ -163,41 +167,54 @@ def band_clusters(boxes: DataFrame, gap: int = 14, keys: list[str] = ["drawing_i
 def nms(boxes: DataFrame, iou_thr: float = 0.45, keys: list[str] = ["drawing_id"]) -> DataFrame:
     """Greedy suppression, largest first: keep a box when it overlaps no kept box by ``iou_thr``.
 
-    Copies of a box collapse first (only the earliest can be kept).
+    Copies of a box collapse first (only the earliest can be kept). The rest streams through each task sorted by
+    drawing and rank; a task holds the kept boxes of one drawing in a grid and compares a box with those in its grid
+    cells alone, so a drawing costs time by its boxes, not by their pairs, and no drawing needs further rounds.
     """
-    unique = boxes.groupBy(*keys, *SIDES).agg(F.min("seq").alias("seq"))
-    return by_group_size(
-        unique, keys, NMS_LIMIT, lambda df: _nms_in_row(df, keys, iou_thr), lambda df: _nms_spread(df, keys, iou_thr))
-
-
-def _nms_in_row(boxes, keys, iou_thr):
-    ranked = F.array_sort(F.collect_list(F.struct((-box_area(box())).alias("rank"), "seq", *SIDES)))
-    rows = boxes.groupBy(*keys).agg(ranked.alias("m"))
-    kind = rows.schema["m"].dataType
-
-    def add(kept, b):
-        return F.when(F.exists(kept, lambda k: iou(k, b) >= iou_thr), kept).otherwise(F.concat(kept, F.array(b)))
-
-    return rows.select(*keys, F.inline(F.aggregate("m", F.array().cast(kind), add))).drop("rank").select(*keys, "seq", *SIDES)
-
-
-def _nms_spread(boxes, keys, iou_thr):
-    """Rounds over small lookup cells: a box that leads every cell it reaches is kept, then removes
-    what it overlaps. Only leaders are joined to the rest, never all boxes to all. What is left of a
-    drawing overlaps no kept box, so once it is few enough it is finished in a row."""
-    on, ident = [*keys, "gx", "gy"], [*keys, "seq"]
-    spread = lambda df: _cells(df, size=64)
-    left, kept = cut_lineage(boxes.select(*keys, "seq", *SIDES)), []
-    while not left.groupBy(*keys).count().filter(c("count") > NMS_LIMIT).isEmpty():
-        cells = spread(left).withColumn("rank", F.struct(box_area(box()).alias("area"), (-c("seq")).alias("first")))
-        leaders = cells.groupBy(*on).agg(F.max_by("seq", "rank").alias("leader"))
-        won = cells.join(leaders, on).groupBy(*ident, *SIDES).agg(F.min(c("leader") == c("seq")).alias("won"))
-        won = cut_lineage(won.filter("won").drop("won"))
-        hit = cells.drop("rank").join(_renamed(spread(won), "k_", on), on).filter(iou(box(), box("k_")) >= iou_thr)
-        gone = hit.select(*ident).distinct().unionByName(won.select(*ident)).distinct()
-        left = cut_lineage(left.join(gone, ident, "left_anti"))
-        kept.append(won.select(*keys, "seq", *SIDES))
-    return reduce(DataFrame.unionByName, kept, _nms_in_row(left, keys, iou_thr))
+    unique = boxes.groupBy(*keys, *SIDES).agg(F.min("seq").alias("seq")).select(*keys, "seq", *SIDES)
+    ranked = unique.withColumn("_area", box_area(box())).repartition(*keys).sortWithinPartitions(
+        *keys, F.desc("_area"), "seq")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawing, grid = None, _Kept(iou_thr)
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            sides = zip(*[batch.column(n).to_pylist() for n in SIDES])
+            chosen = []
+            for at, (name, b) in enumerate(zip(names, sides)):
+                if name != drawing:
+                    drawing, grid = name, _Kept(iou_thr)
+                if grid.add(b):
+                    chosen.append(at)
+            yield batch.take(pa.array(chosen, pa.int64())).drop_columns(["_area"])
+
+    return ranked.mapInArrow(keep, unique.schema)
+
+
+class _Kept:
+    """Kept boxes of one drawing, each listed in the grid cells it reaches."""
+
+    def __init__(self, iou_thr: float):
+        if iou_thr <= 0:
+            raise ValueError("a threshold of zero would keep one box of each drawing")
+        self.iou_thr, self.cells = iou_thr, defaultdict(list)
+
+    def add(self, b: tuple[int, int, int, int]) -> bool:
+        """Keep the box unless it overlaps a kept one by the threshold; whether it is kept."""
+        x1, y1, x2, y2 = b
+        area = max(0, x2 - x1) * max(0, y2 - y1)
+        reach = [(gx, gy) for gx in range(x1 // GRID, x2 // GRID + 1) for gy in range(y1 // GRID, y2 // GRID + 1)]
+        widest = area / self.iou_thr  # larger boxes share too little of their area
+        for cell in reach:
+            for k1, l1, k2, l2, kept in self.cells[cell]:
+                if kept > widest or k1 >= x2 or x1 >= k2 or l1 >= y2 or y1 >= l2:
+                    continue
+                inter = (min(x2, k2) - max(x1, k1)) * (min(y2, l2) - max(y1, l1))
+                if inter / (area + kept - inter) >= self.iou_thr:
+                    return False
+        for cell in reach:
+            self.cells[cell].append((*b, area))
+        return True
 
 
 def nms_topk(boxes: DataFrame, dims: DataFrame, k: int = 3, iou_thr: float = 0.35) -> DataFrame:
@@ -336,55 +353,99 @@ def assign_side(views: DataFrame, front: DataFrame) -> DataFrame:
 
 
 def resolve_roles(views: DataFrame, zones: DataFrame, system: str = "first_angle", carry: list[str] = []) -> DataFrame:
-    """Every view with its role: isometric, front, top, side, else extra_1, extra_2, … in order.
+    """Every view with its role: isometric, front, top, side, else extra_1, extra_2, … in order; null for a view whose box
+    equals that of a named one.
 
-    The few views of a drawing are gathered into one row, so the successive choices need a single
-    shuffle instead of a join each. Columns named in ``carry`` stay with their view.
+    Views stream through each task sorted by drawing; a task holds the views of one drawing, and their distances and
+    supports block by block, so crowded drawings need no more than a block of pairs at a time. Columns named in
+    ``carry`` stay with their view. A drawing without zone is measured by the extent of its views; views of no drawing
+    are left out.
     """
-    view = F.struct("seq", *SIDES, "diag_ratio", "hv_ratio", "view_type", *carry)
-    rows = views.groupBy("drawing_id").agg(F.sort_array(F.collect_list(view)).alias("v")).join(
-        _zone_sides(zones), "drawing_id")
-    fields = ("seq", *SIDES, *carry)
-
-    def best(candidates, score):
-        ranked = F.transform(candidates, lambda b: F.struct(
-            score(b).alias("score"), (-b.getField("seq")).alias("first"), F.struct(
-                *[b.getField(n).alias(n) for n in ("seq", *SIDES, "diag_ratio", "view_type")]).alias("b")))
-        return F.array_max(ranked).getField("b")
-
-    def differs(b, other):
-        return other.isNull() | ~all_of(*[b.getField(s) == other.getField(s) for s in SIDES])
-
-    def mean_distance(b):
-        others = F.filter("v", lambda o: o.getField("seq") != b.getField("seq"))
-        total = F.aggregate(others, F.lit(0.0), lambda s, o: s + center_dist(b, o))
-        return F.when(F.size("v") > 1, total / (F.size("v") - 1)).otherwise(0.0)
-
-    def summed_support(b):
-        return F.aggregate("orth", F.lit(0), lambda s, o: s + F.when(
-            o.getField("seq") == b.getField("seq"), 0).otherwise(_support(b, o)))
-
-    rows = rows.withColumn("iso", best(c("v"), lambda b: _iso_score(b, mean_distance(b), c("zw"), c("zh"))))
-    rows = rows.withColumn("iso", F.when(_is_iso(c("iso")), c("iso")))
-    rows = rows.withColumn("orth", F.filter("v", lambda b: c("iso").isNull() | (b.getField("seq") != c("iso.seq"))))
-    rows = rows.withColumn("front", best(c("orth"), lambda b: _front_score(b, summed_support(b))))
-    others = F.filter("orth", lambda b: (b.getField("seq") != c("front.seq")) & _fits_top(c("front"), b))
-    rows = rows.withColumn("top", best(others, lambda b: _top_score(c("front"), b, system)))
-    others = F.filter("orth", lambda b: differs(b, c("front")) & differs(b, c("top")) & _fits_side(c("front"), b))
-    rows = rows.withColumn("side", best(others, lambda b: _side_score(c("front"), b)))
-    extra = F.filter("orth", lambda b: all_of(*[differs(b, c(r)) for r in ("front", "top", "side")]))
-    rows = rows.withColumn("extra", F.transform(extra, lambda b: b.getField("seq")))
-
-    def role(b):
-        seq = b.getField("seq")
-        number = F.array_position("extra", seq)
-        named = F.when(seq == c("iso.seq"), "isometric")
-        for r in ("front", "top", "side"):
-            named = named.when(seq == c(f"{r}.seq"), r)
-        return named.when(number > 0, F.concat(F.lit("extra_"), number.cast("string")))
-
-    return rows.select("drawing_id", F.inline(F.transform("v", lambda b: F.struct(
-        *[b.getField(f).alias(f) for f in fields], role(b).alias("role")))))
+    fields = ["drawing_id", "seq", *SIDES, *carry]
+    own = ["diag_ratio", "hv_ratio", "view_type"]
+    rows = views.filter("drawing_id IS NOT NULL").select(*fields, *[c(n).alias("_" + n) for n in own]).join(
+        _zone_sides(zones), "drawing_id", "left").repartition("drawing_id").sortWithinPartitions("drawing_id", "seq")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            ids = table.column("drawing_id").to_pylist()
+            starts = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
+            done = starts[-1] if starts else 0
+            if done:
+                yield from _with_roles(table.slice(0, done), [0, *starts], fields, system)
+            held = table.slice(done)
+        if held is not None and held.num_rows:
+            yield from _with_roles(held, [0, held.num_rows], fields, system)
+
+    schema = StructType([*[rows.schema[n] for n in fields], StructField("role", StringType())])
+    return rows.mapInArrow(named, schema)
+
+
+def _with_roles(table: pa.Table, bounds: list[int], fields: list[str], system: str) -> Iterator[pa.RecordBatch]:
+    """The views of whole drawings, which begin and end at the bounds, with their roles."""
+    number = lambda n: table.column(n).to_numpy().astype(float)  # noqa: E731  nulls become nan
+    numbers = [number(n) for n in (*SIDES, "_diag_ratio", "_hv_ratio", "zw", "zh")]
+    slanted = np.array([t == "diag_dominant" for t in table.column("_view_type").to_pylist()], bool)
+    roles: list[str | None] = []
+    for low, high in zip(bounds, bounds[1:]):
+        roles += _roles(*[v[low:high] for v in numbers], slanted[low:high], system)
+    yield from table.select(fields).append_column("role", pa.array(roles, pa.string())).to_batches()
+
+
+def _pair_sums(n: int, score) -> np.ndarray:
+    """Per view the sum of ``score(views, all)`` over all views, for a block of views at a time."""
+    block = max(1, 4_000_000 // max(n, 1))
+    return np.concatenate([score(np.arange(i, min(i + block, n))[:, None], np.arange(n)[None]).sum(1) for i in range(0, n, block)])
+
+
+def _roles(x1, y1, x2, y2, diag, hv, zw, zh, slanted, system: str) -> list[str | None]:
+    """Roles of the views of one drawing in order; ties go to the earlier view."""
+    n, cx, cy = len(x1), (x1 + x2) / 2, (y1 + y2) / 2
+    area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    zone_w, zone_h = (x2.max(), y2.max()) if np.isnan(zw[0]) or np.isnan(zh[0]) else (zw[0], zh[0])
+
+    def overlap(low, high, a, b):
+        shared = np.maximum(np.minimum(high[a], high[b]) - np.maximum(low[a], low[b]), 0)
+        return shared / np.maximum(1, np.minimum(high[a] - low[a], high[b] - low[b]))
+
+    def best(fit, score):
+        score = np.where(fit, np.nan_to_num(score, nan=-np.inf), -np.inf)
+        return int(np.argmax(score)) if fit.any() else None
+
+    far = _pair_sums(n, lambda a, b: np.hypot(cx[a] - cx[b], cy[a] - cy[b])) / max(n - 1, 1)
+    iso = best(np.ones(n, bool), 1.6 * (diag - hv) + 0.9 * (area / max(1, zone_w * zone_h)) + 0.6 * (
+        far / (max(zone_w, zone_h) + 1e-6)) + np.where(slanted, 0.35, 0.0))
+    iso = iso if diag[iso] >= 0.12 or slanted[iso] else None
+    orth = np.arange(n) != (-1 if iso is None else iso)
+
+    def support(a, b):
+        in_x, in_y = overlap(x1, x2, a, b) >= 0.18, overlap(y1, y2, a, b) >= 0.18
+        tenths = np.where(in_x & (cy[b] < cy[a]), 10, np.where(in_x & (cy[b] > cy[a]), 8, 0)) + np.where(in_y & (cx[b] != cx[a]), 9, 0)
+        return np.where(orth[b] & (a != b), tenths, 0)
+
+    f = best(orth, 1.2 * area + _pair_sums(n, support) / 10.0 * 10000.0)
+    roles: list[str | None] = [None] * n
+    if iso is not None:
+        roles[iso] = "isometric"
+    if f is None:
+        return roles
+    every = np.arange(n)
+    like_x, like_y = overlap(x1, x2, f, every), overlap(y1, y2, f, every)
+    dx, dy = np.abs(cx - cx[f]), cy - cy[f]
+    preferred = dy > 0 if system == "first_angle" else dy < 0
+    top = best(orth & (every != f) & (like_x >= 0.18),
+               2.5 * like_x + 1.5 * np.where(preferred, 1.2, 0.15) - 0.0025 * dx - 0.0015 * np.abs(dy))
+    other = lambda i: np.ones(n, bool) if i is None else (x1 != x1[i]) | (y1 != y1[i]) | (x2 != x2[i]) | (y2 != y2[i])
+    side = best(orth & other(f) & other(top) & (like_y >= 0.18) & (dx >= 5),
+                2.5 * like_y + 0.8 - 0.0015 * np.abs(dy) - 0.0010 * dx)
+    extras = np.flatnonzero(orth & other(f) & other(top) & other(side))
+    for i, name in [(i, f"extra_{k}") for k, i in enumerate(extras, 1)] + [(side, "side"), (top, "top"), (f, "front")]:
+        if i is not None:
+            roles[i] = name
+    return roles
 
 
 # ---- dimensions around views --------------------------------------------------------------------

@@ -243,7 +243,7 @@ def evaluate_optional_batch(views, zones, titles, measures, evidence, clean, tex
     area = F.greatest(c("x2") - c("x1"), F.lit(0)).cast("bigint") * F.greatest(c("y2") - c("y1"), F.lit(0))
     facts = roles.withColumn("ord", free.role_rank(c("role"))).withColumn("area", area).groupBy("drawing_id").agg(
         at("front"), at("top"), at("side"), F.count("*").alias("projection_count"),
-        F.count_if(c("role") != "isometric").alias("orthographic_count"),
+        F.count_if(F.coalesce(c("role") != "isometric", F.lit(True))).alias("orthographic_count"),  # also without a role
         F.coalesce(F.max(c("role") == "isometric"), F.lit(False)).alias("has_isometric"),
         F.count_if(c("role").startswith("extra_")).alias("extra_count"),
         (F.max("area") / F.sum("area")).alias("largest_share"),

@@ -82,16 +82,23 @@ def skew_angle(segments: DataFrame, keys: list[str] = ["drawing_id"], drawings:
     return for_all(drawings, skew, keys, skew_angle=F.lit(0.0))
 
 
-def weighted_mean_std(df: DataFrame, value: Column, weight: Column, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Weighted mean and deviation in one pass; (0, 999) without weight."""
-    sums = df.select(*keys, value.alias("_v"), weight.alias("_w")).groupBy(*keys).agg(
-        F.sum("_w").alias("w"), F.sum(c("_v") * c("_w")).alias("vw"), F.sum(c("_v") * c("_v") * c("_w")).alias("vvw"))
-    base = c("w") + 1e-6
-    mean = c("vw") / base
-    var = (c("vvw") - 2.0 * mean * c("vw") + mean * mean * c("w")) / base
-    none = F.coalesce(c("w") <= 1e-6, F.lit(True))
-    return sums.select(*keys, F.when(none, 0.0).otherwise(mean).alias("mean"),
-                       F.when(none, 999.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), var))).alias("std"))
+def weighted_mean_std(
+    df: DataFrame, value: Column, weight: Column, keys: list[str] = ["drawing_id"], groups: DataFrame | None = None,
+) -> DataFrame:
+    """Weighted mean and deviation; (0, 999) without weight, also for those of ``groups`` that have no rows.
+
+    The deviation is summed from the distances to the mean, not as a difference of squares, so large equal values have
+    none. Both are grouped sums, combined before the shuffle; the means are one row per group.
+    """
+    rows = df.select(*keys, value.alias("_v"), weight.alias("_w"))
+    means = rows.groupBy(*keys).agg(F.sum("_w").alias("_sum"), (F.sum(c("_v") * c("_w")) / (F.sum("_w") + 1e-6)).alias("_mean"))
+    off = c("_v") - c("_mean")
+    spread = rows.join(means, keys).groupBy(*keys).agg(
+        F.first("_mean").alias("mean"), F.first("_sum").alias("_sum"), F.sum(off * off * c("_w")).alias("_off"))
+    some = c("_sum") > 1e-6
+    found = spread.select(*keys, F.when(some, c("mean")).otherwise(0.0).alias("mean"),
+                          F.when(some, F.sqrt(c("_off") / (c("_sum") + 1e-6))).otherwise(999.0).alias("std"))
+    return for_all(groups, found, keys, mean=F.lit(0.0), std=F.lit(999.0))
 
 
 # ---- clusters of positions ----------------------------------------------------------------------
@@ -141,17 +148,23 @@ def hatch_candidates(segments: DataFrame) -> DataFrame:
         "acute", acute(raw_angle())).withColumn("mid_x", (c("x1") + c("x2")) / 2.0).withColumn("mid_y", (c("y1") + c("y2")) / 2.0)
 
 
-def hatch_family(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """The dominant hatch direction of each region: by count, then length, then 45 before 60."""
+def hatch_family(segments: DataFrame, keys: list[str] = ["drawing_id"], regions: DataFrame | None = None) -> DataFrame:
+    """The dominant hatch direction of each region: by count, then length, then 45 before 60.
+
+    With ``regions`` also those without candidates: no lines, deviation 999.
+    """
     per = hatch_candidates(segments).groupBy(*keys, "family").agg(
         F.count("*").alias("dom_line_count"), F.sum("length").alias("length_sum"), F.median("acute").alias("dom_angle"),
         F.stddev_pop("acute").alias("angle_std"), F.avg(c("length") / F.greatest(F.hypot("w", "h"), F.lit(1.0))).alias("mean_len_ratio"),
         F.max(F.least("w", "h")).alias("base"))
     totals = per.groupBy(*keys).agg(F.sum("dom_line_count").alias("line_count"))
     best = top_rows(per, keys, [F.desc("dom_line_count"), F.desc("length_sum"), F.asc("family")])
-    return best.join(totals, keys).select(
+    found = best.join(totals, keys).select(
         *keys, c("family").alias("target_angle"), "line_count", "dom_line_count",
         (c("dom_line_count") / c("line_count")).alias("dom_ratio"), "dom_angle", "angle_std", "mean_len_ratio", "base")
+    zero = F.lit(0.0)
+    return for_all(regions, found, keys, target_angle=zero, line_count=F.lit(0), dom_line_count=F.lit(0), dom_ratio=zero,
+                   dom_angle=zero, angle_std=F.lit(999.0), mean_len_ratio=zero, base=F.lit(None))
 
 
 def stripe_spacing(segments: DataFrame, families: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
@@ -182,8 +195,11 @@ def parallel_segments(segments: DataFrame) -> DataFrame:
     return rows.select("*", c("near.target").alias("target"), F.rint(rho / F.greatest(F.lit(6.0), 0.018 * short)).cast("bigint").alias("bin")).drop("near")
 
 
-def parallel_families(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Hatch families with enough short parallel lines, and how many segments and bins they hold."""
+def parallel_families(segments: DataFrame, keys: list[str] = ["drawing_id"], drawings: DataFrame | None = None) -> DataFrame:
+    """Hatch families with enough short parallel lines, and how many segments and bins they hold.
+
+    With ``drawings`` also those without candidates, all counts zero.
+    """
     rows = parallel_segments(segments)
     bins = rows.groupBy(*keys, "target", "bin").agg(F.count("*").alias("n"), F.sum("length").alias("len")).filter("len >= 8")
     rich = bins.groupBy(*keys, "target").agg(F.count("*").alias("bins"), F.sum("n").alias("accepted"))
@@ -193,12 +209,16 @@ def parallel_families(segments: DataFrame, keys: list[str] = ["drawing_id"]) ->
         rich.filter("bins >= 4"), [*keys, "target"])
     sums = good.groupBy(*keys).agg(F.count("*").alias("accepted_families"), F.sum("accepted").alias("accepted_segments"), F.sum("bins").alias("offset_bins"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    return lengths.groupBy(*keys).agg(F.sum("n").alias("candidate_segments")).join(sums, keys, "left").select(
+    found = lengths.groupBy(*keys).agg(F.sum("n").alias("candidate_segments")).join(sums, keys, "left").select(
         *keys, "candidate_segments", zero("accepted_segments"), zero("accepted_families"), zero("offset_bins"))
+    return for_all(drawings, found, keys, **{n: F.lit(0) for n in found.columns[len(keys):]})
+
 
+def dominant_angle_hist(segments: DataFrame, keys: list[str] = ["drawing_id"], drawings: DataFrame | None = None) -> DataFrame:
+    """Dominant diagonal direction by summed length per degree, and the lines within ten degrees of it.
 
-def dominant_angle_hist(segments: DataFrame, keys: list[str] = ["drawing_id"]) -> DataFrame:
-    """Dominant diagonal direction by summed length per degree, and the lines within ten degrees of it."""
+    With ``drawings`` also those with fewer than three diagonal or kept lines: no direction, no lines, shares zero.
+    """
     rows = segment_features(segments).filter((c("length") >= 3) & c("acute").between(18, 75)).withColumn(
         "bin", F.ceil(c("acute") - 0.5))
     hist = rows.groupBy(*keys, "bin").agg(F.sum("length").alias("len"), F.count("*").alias("n"))
@@ -206,9 +226,11 @@ def dominant_angle_hist(segments: DataFrame, keys: list[str] = ["drawing_id"]) -
     dominant = top_rows(hist, keys, [F.desc("len"), F.asc("bin")]).select(*keys, c("bin").alias("dominant_angle"))
     kept = rows.join(dominant, keys).filter(F.abs(c("acute") - c("dominant_angle")) <= 10.0).groupBy(*keys, "dominant_angle").agg(
         F.count("*").alias("line_count"), F.sum("length").alias("kept_len"), F.max(F.greatest(F.lit(1), F.least("w", "h"))).alias("side"))
-    return total.filter("diag_count >= 3").join(kept, keys).filter("line_count >= 3").select(
+    found = total.filter("diag_count >= 3").join(kept, keys).filter("line_count >= 3").select(
         *keys, "dominant_angle", "line_count", (c("kept_len") / (c("total_len") + 1e-6)).alias("parallel_ratio"),
         (c("kept_len") / c("side")).alias("length_ratio"))
+    return for_all(drawings, found, keys, dominant_angle=F.lit(None), line_count=F.lit(0), parallel_ratio=F.lit(0.0),
+                   length_ratio=F.lit(0.0))
 
 
 # ---- dashed lines -------------------------------------------------------------------------------
@@ -266,14 +288,18 @@ def centerline_strength(sequences: DataFrame, views: DataFrame, keys: list[str]
         *keys, F.coalesce("hidden_sequences", F.lit(0)).alias("hidden_sequences"), F.coalesce(center, F.lit("none")).alias("center"))
 
 
-def visible_contours(segments: DataFrame, keys: list[str] = ["drawing_id", "role"]) -> DataFrame:
-    """Whether a view of size w × h has enough long axis-near lines to count as drawn."""
+def visible_contours(segments: DataFrame, keys: list[str] = ["drawing_id", "role"], views: DataFrame | None = None) -> DataFrame:
+    """Whether a view of size w × h has enough long axis-near lines to count as drawn.
+
+    With ``views`` also those without segments, which are not drawn.
+    """
     near = flat(18) | steep(72)
     s = segments.groupBy(*keys).agg(
         F.count_if(near).alias("count"), F.sum(F.when(near, seg_length()).otherwise(0.0)).alias("len"),
         F.max(F.greatest(F.lit(1), F.least("w", "h"))).alias("side"))
     ratio = c("len") / c("side")
-    return s.select(*keys, "count", ratio.alias("total_length_ratio"), ((c("count") >= 4) & (ratio >= 2.0)).alias("visible"))
+    found = s.select(*keys, "count", ratio.alias("total_length_ratio"), ((c("count") >= 4) & (ratio >= 2.0)).alias("visible"))
+    return for_all(views, found, keys, count=F.lit(0), total_length_ratio=F.lit(0.0), visible=F.lit(False))
 
 
 def dimension_segments(segments: DataFrame, pad: int = 2) -> DataFrame:

@@ -458,3 +458,7 @@ FIXTURES["line_cuts"] = """
 SELECT drawing_id, 124 AS ycut FROM {line_dims} UNION ALL SELECT drawing_id, 139 FROM {line_dims} UNION ALL
 SELECT drawing_id, 153 FROM {line_dims} UNION ALL SELECT drawing_id, 168 FROM {line_dims}
 """
+# drawings and regions, those without any line or component included
+FIXTURES["all_drawings"] = "SELECT drawing_id FROM {drawing_dims} UNION SELECT -c_custkey FROM {customer}"
+FIXTURES["all_regions"] = "SELECT s_suppkey AS drawing_id FROM {supplier} UNION SELECT -c_custkey FROM {customer}"
+FIXTURES["all_views"] = "SELECT drawing_id, role FROM {dash_views} UNION SELECT -c_custkey, 'front' FROM {customer}"

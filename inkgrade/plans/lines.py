@@ -36,14 +36,14 @@ def _(t):
 
 
 _HIST = f"""WITH b AS (SELECT drawing_id, CASE WHEN len >= 40 THEN least(floor(ang / 10), 17)::INT END AS bin FROM {feat('segments')}),
-n AS (SELECT drawing_id, count(bin) AS n FROM b GROUP BY drawing_id), k AS (SELECT drawing_id, bin, count(*) AS k FROM b WHERE bin IS NOT NULL GROUP BY ALL)
+n AS (SELECT a.drawing_id, count(bin) AS n FROM {{all_drawings}} a LEFT JOIN b ON b.drawing_id = a.drawing_id GROUP BY a.drawing_id), k AS (SELECT drawing_id, bin, count(*) AS k FROM b WHERE bin IS NOT NULL GROUP BY ALL)
 SELECT n.drawing_id, s.bin::INT AS bin, CASE WHEN n.n = 0 THEN round(1.0 / 18, 9) ELSE round(coalesce(k.k, 0) / n.n, 9) END AS share
 FROM n CROSS JOIN (SELECT unnest(range(18)) AS bin) s LEFT JOIN k ON k.drawing_id = n.drawing_id AND k.bin = s.bin"""
 
 
 @query("angle_hist", _HIST)
 def _(t):
-    return S.angle_hist(t.segments).select("drawing_id", F.posexplode("hist").alias("bin", "share")).withColumn("share", F.round("share", 9))
+    return S.angle_hist(t.segments, drawings=t.all_drawings).select("drawing_id", F.posexplode("hist").alias("bin", "share")).withColumn("share", F.round("share", 9))
 
 
 @query("cosine_sim", f"""WITH b AS (SELECT drawing_id, role, least(floor(ang / 10), 17)::INT AS bin, count(*) AS k FROM {feat('segments')} WHERE len >= 40 GROUP BY ALL),
@@ -71,18 +71,18 @@ def _(t):
     return _r(p.join(v, "drawing_id").join(r, "drawing_id"), 6, "hv_line_ratio", "v_hv", "v_diag", "v_long", "r_hv", "r_diag")
 
 
-@query("long_line_ratio", f"SELECT drawing_id, round(coalesce(avg((len >= greatest(120, 0.10 * greatest(w, h)))::INT) FILTER (len >= 10), 0), 9) AS long_ratio FROM {feat('segments')} GROUP BY drawing_id")
+@query("long_line_ratio", f"SELECT a.drawing_id, round(coalesce(avg((len >= greatest(120, 0.10 * greatest(w, h)))::INT) FILTER (len >= 10), 0), 9) AS long_ratio FROM {{all_drawings}} a LEFT JOIN {feat('segments')} f ON f.drawing_id = a.drawing_id GROUP BY a.drawing_id")
 def _(t):
-    return _r(S.long_line_ratio(t.segments), 9, "long_ratio")
+    return _r(S.long_line_ratio(t.segments, drawings=t.all_drawings), 9, "long_ratio")
 
 
 @query("weighted_angle", f"""WITH s AS (SELECT *, {_SKEW} AS sk FROM {feat('segments')}),
-m AS (SELECT drawing_id, coalesce(sum(sk * len) FILTER (abs(sk) <= 20 AND len > 0) / (sum(len) FILTER (abs(sk) <= 20 AND len > 0) + 1e-6), 0.0) AS skew_angle, sum(len) AS mw, sum(ac * len) / (sum(len) + 1e-6) AS mean FROM s GROUP BY drawing_id)
+m AS (SELECT a.drawing_id, coalesce(sum(sk * len) FILTER (abs(sk) <= 20 AND len > 0) / (sum(len) FILTER (abs(sk) <= 20 AND len > 0) + 1e-6), 0.0) AS skew_angle, coalesce(sum(len), 0) AS mw, sum(ac * len) / (sum(len) + 1e-6) AS mean FROM {{all_drawings}} a LEFT JOIN s ON s.drawing_id = a.drawing_id GROUP BY a.drawing_id)
 SELECT m.drawing_id, round(any_value(skew_angle), 5) AS skew_angle, CASE WHEN any_value(mw) <= 1e-6 THEN 0.0 ELSE round(any_value(mean), 5) END AS mean,
-  CASE WHEN any_value(mw) <= 1e-6 THEN 999.0 ELSE round(sqrt(sum(len * (ac - mean) ** 2) / (any_value(mw) + 1e-6)), 4) END AS std FROM m JOIN s USING (drawing_id) GROUP BY m.drawing_id""")
+  CASE WHEN any_value(mw) <= 1e-6 THEN 999.0 ELSE round(sqrt(sum(len * (ac - mean) ** 2) / (any_value(mw) + 1e-6)), 4) END AS std FROM m LEFT JOIN s USING (drawing_id) GROUP BY m.drawing_id""")
 def _(t):
-    ms = S.weighted_mean_std(t.segments, acute(raw_angle()), seg_length())
-    return _r(_r(S.skew_angle(t.segments).join(ms, "drawing_id"), 5, "skew_angle", "mean"), 4, "std")
+    ms = S.weighted_mean_std(t.segments, acute(raw_angle()), seg_length(), groups=t.all_drawings)
+    return _r(_r(S.skew_angle(t.segments, drawings=t.all_drawings).join(ms, "drawing_id"), 5, "skew_angle", "mean"), 4, "std")
 
 
 @query("nearest_angle", f"""SELECT drawing_id, seq, CAST(n.t AS DOUBLE) AS target, round(n.d, 6) AS diff FROM (SELECT drawing_id, seq, list_min([{{{{'d': least(abs(ang - 45) % 180, 180 - abs(ang - 45) % 180), 'i': 0, 't': 45.0}}}}, {{{{'d': least(abs(ang - 60) % 180, 180 - abs(ang - 60) % 180), 'i': 1, 't': 60.0}}}},
@@ -97,9 +97,9 @@ _FAM = f"""SELECT drawing_id, fam, n, total, dom_angle, angle_std, mean_len_rati
   FROM (SELECT drawing_id, fam, count(*) AS n, sum(len) AS len, median(ac) AS dom_angle, stddev_pop(ac) AS angle_std, avg(len / sqrt(w * w + h * h)) AS mean_len_ratio FROM {_CAND} WHERE abs(ac - fam) <= 11 GROUP BY drawing_id, fam)) WHERE k = 1"""
 
 
-@query("hatch_family", f"SELECT drawing_id, CAST(fam AS DOUBLE) AS target_angle, total::BIGINT AS line_count, n AS dom_line_count, round(n / total, 6) AS dom_ratio, round(dom_angle, 6) AS dom_angle, round(angle_std, 6) AS angle_std, round(mean_len_ratio, 6) AS mean_len_ratio FROM ({_FAM})")
+@query("hatch_family", f"SELECT a.drawing_id, coalesce(CAST(fam AS DOUBLE), 0) AS target_angle, coalesce(total, 0)::BIGINT AS line_count, coalesce(n, 0) AS dom_line_count, round(coalesce(n / total, 0), 6) AS dom_ratio, round(coalesce(dom_angle, 0), 6) AS dom_angle, round(coalesce(angle_std, 999), 6) AS angle_std, round(coalesce(mean_len_ratio, 0), 6) AS mean_len_ratio FROM {{all_regions}} a LEFT JOIN ({_FAM}) f ON f.drawing_id = a.drawing_id")
 def _(t):
-    return _r(S.hatch_family(t.hatch_segments), 6, "dom_ratio", "dom_angle", "angle_std", "mean_len_ratio").drop("base")
+    return _r(S.hatch_family(t.hatch_segments, regions=t.all_regions), 6, "dom_ratio", "dom_angle", "angle_std", "mean_len_ratio").drop("base")
 
 
 def _clusters(rows, keys, tol):
@@ -118,9 +118,9 @@ cl AS (SELECT {k}, cl, max_by(total / n, i) AS mean, max(n)::BIGINT AS n, max_by
 @query("stripe_spacing", f"""WITH RECURSIVE fam AS ({_FAM}), {_clusters(f"SELECT c.drawing_id, -sin(radians(c.fam)) * mx + cos(radians(c.fam)) * my AS v FROM {_CAND} c JOIN fam ON fam.drawing_id = c.drawing_id AND fam.fam = c.fam WHERE abs(ac - c.fam) <= 11", ["drawing_id"], "greatest(3.0, 500 * 0.020)")},
 g AS (SELECT drawing_id, mean - lag(mean) OVER (PARTITION BY drawing_id ORDER BY mean) AS gap FROM cl),
 s AS (SELECT drawing_id, count(*) AS k, median(gap) AS med, stddev_pop(gap) AS sd, avg(gap) AS av FROM g GROUP BY drawing_id)
-SELECT fam.drawing_id, coalesce(k, 0) AS stripe_count, CASE WHEN k >= 2 THEN round(med / 500, 6) ELSE 0.0 END AS median_gap_norm, CASE WHEN k > 2 THEN round(sd / greatest(av, 1e-6), 6) WHEN k = 2 THEN 0.0 ELSE 999.0 END AS gap_cv FROM fam LEFT JOIN s USING (drawing_id)""")
+SELECT fam.drawing_id, coalesce(k, 0) AS stripe_count, CASE WHEN k >= 2 THEN round(med / 500, 6) ELSE 0.0 END AS median_gap_norm, CASE WHEN k > 2 THEN round(sd / greatest(av, 1e-6), 6) WHEN k = 2 THEN 0.0 ELSE 999.0 END AS gap_cv FROM {{all_regions}} fam LEFT JOIN s USING (drawing_id)""")
 def _(t):
-    return _r(S.stripe_spacing(t.hatch_segments, S.hatch_family(t.hatch_segments)), 6, "median_gap_norm", "gap_cv")
+    return _r(S.stripe_spacing(t.hatch_segments, S.hatch_family(t.hatch_segments, regions=t.all_regions)), 6, "median_gap_norm", "gap_cv")
 
 
 @query("cluster_1d", f"WITH RECURSIVE {_clusters('SELECT drawing_id, CAST(x AS DOUBLE) AS v FROM {components}', ['drawing_id'], '40.0')} SELECT drawing_id, lo, hi, round(mean, 6) AS mean, n FROM cl")
@@ -134,17 +134,19 @@ b AS (SELECT *, near.t AS fam, round_even((mx * cos(radians((near.t + 90) % 180)
 k AS (SELECT drawing_id, fam, count(*) AS bins, sum(n) AS acc FROM (SELECT drawing_id, fam, bin, count(*) AS n, sum(len) AS len FROM b GROUP BY ALL HAVING sum(len) >= 8) GROUP BY ALL),
 f AS (SELECT drawing_id, fam, count(*) AS n, median(len) AS med, quantile_cont(len, 0.85) AS p85, max(greatest(w, h)) AS side FROM b GROUP BY ALL),
 g AS (SELECT f.drawing_id, count(*) AS fams, sum(acc) AS acc, sum(bins) AS bins FROM f JOIN k ON k.drawing_id = f.drawing_id AND k.fam = f.fam WHERE n >= 4 AND bins >= 4 AND med <= 0.16 * side AND p85 <= 0.28 * side GROUP BY f.drawing_id)
-SELECT t.drawing_id, t.n::BIGINT AS candidate_segments, coalesce(acc, 0)::BIGINT AS accepted_segments, coalesce(fams, 0) AS accepted_families, coalesce(bins, 0)::BIGINT AS offset_bins FROM (SELECT drawing_id, sum(n) AS n FROM f GROUP BY drawing_id) t LEFT JOIN g USING (drawing_id)""")
+SELECT a.drawing_id, coalesce(t.n, 0)::BIGINT AS candidate_segments, coalesce(acc, 0)::BIGINT AS accepted_segments, coalesce(fams, 0) AS accepted_families, coalesce(bins, 0)::BIGINT AS offset_bins
+FROM {{all_regions}} a LEFT JOIN (SELECT drawing_id, sum(n) AS n FROM f GROUP BY drawing_id) t USING (drawing_id) LEFT JOIN g USING (drawing_id)""")
 def _(t):
-    return S.parallel_families(t.hatch_segments)
+    return S.parallel_families(t.hatch_segments, drawings=t.all_regions)
 
 
 @query("dominant_angle_hist", f"""WITH d AS (SELECT *, ceil(ac - 0.5)::BIGINT AS bin FROM {feat('hatch_segments')} WHERE len >= 3 AND ac BETWEEN 18 AND 75),
 t AS (SELECT drawing_id, sum(len) AS tot, count(*) AS n FROM d GROUP BY drawing_id), h AS (SELECT drawing_id, bin, row_number() OVER (PARTITION BY drawing_id ORDER BY sum(len) DESC, bin) AS k FROM d GROUP BY drawing_id, bin),
 k AS (SELECT d.drawing_id, h.bin, count(*) AS n, sum(len) AS len, max(least(w, h)) AS side FROM d JOIN h ON h.drawing_id = d.drawing_id AND h.k = 1 WHERE abs(ac - h.bin) <= 10 GROUP BY ALL)
-SELECT t.drawing_id, k.bin AS dominant_angle, k.n AS line_count, round(k.len / (tot + 1e-6), 6) AS parallel_ratio, round(k.len / side, 5) AS length_ratio FROM t JOIN k USING (drawing_id) WHERE t.n >= 3 AND k.n >= 3""".replace("max(least(w, h))", "max(least(d.w, d.h))"))
+SELECT a.drawing_id, q.bin AS dominant_angle, coalesce(q.n, 0) AS line_count, coalesce(q.p, 0) AS parallel_ratio, coalesce(q.l, 0) AS length_ratio FROM {{all_regions}} a LEFT JOIN (
+  SELECT t.drawing_id, k.bin, k.n, round(k.len / (tot + 1e-6), 6) AS p, round(k.len / side, 5) AS l FROM t JOIN k USING (drawing_id) WHERE t.n >= 3 AND k.n >= 3) q USING (drawing_id)""".replace("max(least(w, h))", "max(least(d.w, d.h))"))
 def _(t):
-    return _r(_r(S.dominant_angle_hist(t.hatch_segments), 6, "parallel_ratio"), 5, "length_ratio")
+    return _r(_r(S.dominant_angle_hist(t.hatch_segments, drawings=t.all_regions), 6, "parallel_ratio"), 5, "length_ratio")
 
 
 _DASH = f"""items AS (SELECT *, CASE WHEN axis = 'h' THEN (y1 + y2) / 2.0 ELSE (x1 + x2) / 2.0 END AS v, CASE WHEN axis = 'h' THEN least(x1, x2) ELSE least(y1, y2) END AS a1, CASE WHEN axis = 'h' THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS a2
@@ -172,10 +174,10 @@ def _(t):
     return S.centerline_strength(S.dashed_sequences(t.dash_segments), t.dash_views)
 
 
-@query("visible_contours", f"""SELECT drawing_id, role, count(*) FILTER (ac <= 18 OR ac >= 72) AS count, round(coalesce(sum(len) FILTER (ac <= 18 OR ac >= 72), 0) / 600, 6) AS total_length_ratio,
-  count(*) FILTER (ac <= 18 OR ac >= 72) >= 4 AND coalesce(sum(len) FILTER (ac <= 18 OR ac >= 72), 0) / 600 >= 2 AS visible FROM {feat('dash_segments')} GROUP BY ALL""")
+@query("visible_contours", f"""SELECT a.drawing_id, a.role, count(*) FILTER (ac <= 18 OR ac >= 72) AS count, round(coalesce(sum(len) FILTER (ac <= 18 OR ac >= 72), 0) / 600, 6) AS total_length_ratio,
+  count(*) FILTER (ac <= 18 OR ac >= 72) >= 4 AND coalesce(sum(len) FILTER (ac <= 18 OR ac >= 72), 0) / 600 >= 2 AS visible FROM {{all_views}} a LEFT JOIN {feat('dash_segments')} f ON f.drawing_id = a.drawing_id AND f.role = a.role GROUP BY ALL""")
 def _(t):
-    return _r(S.visible_contours(t.dash_segments), 6, "total_length_ratio")
+    return _r(S.visible_contours(t.dash_segments, views=t.all_views), 6, "total_length_ratio")
 
 
 @query("dimension_segments", f"""SELECT drawing_id, role, greatest(0, least(x1, x2) - 2) AS x1, greatest(0, least(y1, y2) - 2) AS y1, least(w, greatest(x1, x2) + 3) AS x2, least(h, greatest(y1, y2) + 3) AS y2

@@ -159,7 +159,7 @@ _X = "greatest(least(f.{b}, o.{b}) - greatest(f.{a}, o.{a}), 0) / greatest(1, le
 
 
 @query("evaluate_optional_batch", """WITH r AS (SELECT v.*, r.role FROM {views} v JOIN {resolve_roles} r USING (drawing_id, seq)),
-n AS (SELECT drawing_id, count(*) AS views, count(*) FILTER (role <> 'isometric') AS orth, coalesce(bool_or(role = 'isometric'), false) AS iso, count(*) FILTER (role IN ('front', 'top', 'side')) AS named FROM r GROUP BY drawing_id),
+n AS (SELECT drawing_id, count(*) AS views, count(*) FILTER (role IS DISTINCT FROM 'isometric') AS orth, coalesce(bool_or(role = 'isometric'), false) AS iso, count(*) FILTER (role IN ('front', 'top', 'side')) AS named FROM r GROUP BY drawing_id),
 a AS (SELECT f.drawing_id, sum(CASE WHEN o.role = 'top' THEN (o.y1 + o.y2 > f.y1 + f.y2)::INT + (""" + _X.format(a="x1", b="x2") + """)::INT ELSE (abs(o.x1 + o.x2 - f.x1 - f.x2) > 10)::INT + (""" + _X.format(a="y1", b="y2") + """)::INT END) AS arr
   FROM r f JOIN r o ON o.drawing_id = f.drawing_id AND o.role IN ('top', 'side') WHERE f.role = 'front' GROUP BY f.drawing_id),
 h AS (SELECT r.drawing_id, r.role, q.quality, q.present, m.angle_std, m.spacing_cv, m.coverage, m.parallel_ratio, CASE r.role WHEN 'front' THEN 1 WHEN 'top' THEN 2 WHEN 'side' THEN 3 WHEN 'isometric' THEN 4 ELSE 4 + CAST(r.role[7:] AS INT) END AS ord

@@ -292,16 +292,16 @@ def _(t):
     return K.dash_like_count(t.components, t.drawing_dims)
 
 
-@query("small_component_stats", """SELECT drawing_id, count(*) FILTER (ok) AS small_count, coalesce(sum(area) FILTER (ok), 0)::BIGINT AS small_area
-FROM (SELECT *, area BETWEEN 12 AND 450 AND w BETWEEN 3 AND 60 AND h BETWEEN 3 AND 60 AS ok FROM {components}) GROUP BY drawing_id""")
+@query("small_component_stats", """SELECT a.drawing_id, count(*) FILTER (ok) AS small_count, coalesce(sum(area) FILTER (ok), 0)::BIGINT AS small_area
+FROM {all_drawings} a LEFT JOIN (SELECT *, area BETWEEN 12 AND 450 AND w BETWEEN 3 AND 60 AND h BETWEEN 3 AND 60 AS ok FROM {components}) k ON k.drawing_id = a.drawing_id GROUP BY a.drawing_id""")
 def _(t):
-    return K.small_component_stats(t.components)
+    return K.small_component_stats(t.components, t.all_drawings)
 
 
-@query("section_components", """SELECT drawing_id, count(*) FILTER (area >= greatest(6, trunc(page_w * page_h * 0.0001)) AND greatest(w, h) >= greatest(5, trunc(least(page_w, page_h) * 0.04))) AS section_components
-FROM {page_components} GROUP BY drawing_id""")
+@query("section_components", """SELECT a.drawing_id, count(*) FILTER (area >= greatest(6, trunc(page_w * page_h * 0.0001)) AND greatest(w, h) >= greatest(5, trunc(least(page_w, page_h) * 0.04))) AS section_components
+FROM {all_drawings} a LEFT JOIN {page_components} k ON k.drawing_id = a.drawing_id GROUP BY a.drawing_id""")
 def _(t):
-    return K.section_components(t.page_components)
+    return K.section_components(t.page_components, t.all_drawings)
 
 
 @query("classify_components", """SELECT drawing_id, seq, area BETWEEN 12 AND 260 AND w <= 35 AND h <= 35 AND area / (w * h) BETWEEN 0.08 AND 0.75 AS text_like,

@@ -69,9 +69,8 @@ def _iou(a, b):
     return i / (area(a) + area(b) - i)
 
 
-@pytest.mark.parametrize("n,side,limit", [(40, 300, 1024), (300, 300, 40)])
-def test_nms(spark, monkeypatch, n, side, limit):
-    monkeypatch.setattr(B, "NMS_LIMIT", limit)
+@pytest.mark.parametrize("n,side", [(40, 300), (300, 300)])
+def test_nms(spark, n, side):
     rows = _crowd(n, side=side)
     got = {}
     for r in B.nms(spark.createDataFrame(rows, SCHEMA), 0.45).collect():
