@@ -131,39 +131,49 @@ def _spread(runs: DataFrame, name: str, r: int | None = None) -> DataFrame:
     return runs.select("mask_id", F.inline(own))
 
 
-def overlay_counts(dims: DataFrame, tagged: DataFrame, names: list[str], counts: dict[str, Column]) -> DataFrame:
-    """Cells per mask that satisfy conditions over several run tables at once.
+def overlay_runs(dims: DataFrame, tagged: DataFrame, names: list[str], label: str | None = None) -> DataFrame:
+    """Stretches (mask_id, y, s, e) of page rows with one flag per run table: does it cover the stretch?
 
-    Every run adds +1 where it starts and -1 where it ends. Changes at the same place are summed
-    before the shuffle; a running sum along each page row then tells which tables cover a stretch, so
-    any number of overlaps, unions and differences costs one window and one grouping.
+    Every run adds +1 where it starts and -1 where it ends. Changes at the same place are summed before the shuffle; a
+    running sum along each page row then tells which tables cover a stretch, so intersections, unions and differences of
+    any number of run tables cost one window, and no run ever meets another one. With ``label``, a column of the tagged
+    runs that is set on disjoint ones only, a stretch has the label of the last of these to start.
     """
-    inside = tagged.join(dims, "mask_id").filter("y >= 0 AND y < h").select(
-        *ROW, "tag", F.greatest(F.lit(0), "s").alias("s"), F.least("e", "w").alias("e"))
-    steps = inside.select(*ROW, "tag", F.inline(F.array(
-        F.struct(c("s").alias("at"), F.lit(1).alias("d")), F.struct(c("e").alias("at"), F.lit(-1).alias("d")))))
-    rows = steps.groupBy(*ROW, "at").agg(*[F.sum(F.when(c("tag") == n, c("d")).otherwise(0)).alias(n) for n in names])
+    extra = [label] if label else []
+    inside = tagged.join(dims.select("mask_id", "h", "w"), "mask_id").filter("y >= 0 AND y < h").select(
+        *ROW, "tag", F.greatest(F.lit(0), "s").alias("s"), F.least("e", "w").alias("e"), *extra).filter("s < e")
+    start = F.struct(c("s").alias("at"), F.lit(1).alias("d"), *[c(n) for n in extra])
+    end = F.struct(c("e").alias("at"), F.lit(-1).alias("d"), *[F.lit(None).cast(tagged.schema[n].dataType).alias(n) for n in extra])
+    steps = inside.select(*ROW, "tag", F.inline(F.array(start, end)))
+    rows = steps.groupBy(*ROW, "at").agg(
+        *[F.sum(F.when(c("tag") == n, c("d")).otherwise(0)).alias(n) for n in names], *[F.max(n).alias(n) for n in extra])
     order = Window.partitionBy(*ROW).orderBy("at")
-    covered = rows.select("mask_id", (F.lead("at").over(order) - c("at")).alias("len"), *[(F.sum(n).over(order) > 0).alias(n) for n in names])
-    sums = covered.groupBy("mask_id").agg(*[F.sum(F.when(cond, c("len"))).alias(k) for k, cond in counts.items()])
-    return dims.select("mask_id").join(sums, "mask_id", "left").select("mask_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts])
+    return rows.select(
+        *ROW, c("at").alias("s"), F.lead("at").over(order).alias("e"), *[(F.sum(n).over(order) > 0).alias(n) for n in names],
+        *[F.last(n, ignorenulls=True).over(order).alias(n) for n in extra]).filter("e IS NOT NULL")
 
 
-def _in_runs(cells: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    r = runs.select(c("mask_id").alias("_m"), c("y").alias("_y"), *[n for n in runs.columns if n not in ROW])
-    return cells.join(r, (c("mask_id") == c("_m")) & (c("y") == c("_y")) & (c("x") >= c("s")) & (c("x") < c("e")), how)
+def overlay_counts(dims: DataFrame, tagged: DataFrame, names: list[str], counts: dict[str, Column]) -> DataFrame:
+    """Cells per mask that satisfy conditions over several run tables at once."""
+    covered = overlay_runs(dims, tagged, names)
+    sums = covered.groupBy("mask_id").agg(*[F.sum(F.when(cond, c("e") - c("s"))).alias(k) for k, cond in counts.items()])
+    return dims.select("mask_id").join(sums, "mask_id", "left").select("mask_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts])
 
 
 def within_band(a: DataFrame, b: DataFrame, dims: DataFrame, r: int) -> DataFrame:
-    """Cells of ``a`` with a cell of ``b`` at most ``r`` rows and columns away."""
-    return _in_runs(a, dilate_runs(to_runs(b), dims, 2 * r + 1), "left_semi")
+    """Cells of ``a`` with a cell of ``b`` at most ``r`` rows and columns away, each once."""
+    tagged = _spread(to_runs(a), "a").unionByName(_spread(to_runs(b), "b", r))
+    return to_cells(overlay_runs(dims, tagged, ["a", "b_band"]).filter(c("a") & c("b_band")))
 
 
 def missing_extra_cells(ref: DataFrame, stu: DataFrame, dims: DataFrame, r: int) -> DataFrame:
-    """Reference cells without a student cell nearby (``missing``) and the converse (``extra``)."""
-    lost = _in_runs(ref, dilate_runs(to_runs(stu), dims, 2 * r + 1), "left_anti")
-    more = _in_runs(stu, dilate_runs(to_runs(ref), dims, 2 * r + 1), "left_anti")
-    return lost.select(*CELL, F.lit("missing").alias("kind")).unionByName(more.select(*CELL, F.lit("extra").alias("kind")))
+    """Reference cells without a student cell nearby (``missing``) and the converse (``extra``), each once."""
+    tagged = _spread(to_runs(ref), "ref", r).unionByName(_spread(to_runs(stu), "stu", r))
+    stretches = overlay_runs(dims, tagged, ["ref", "stu", "ref_band", "stu_band"])
+    kinds = F.array_compact(F.array(
+        F.when(c("ref") & ~c("stu_band"), "missing"), F.when(c("stu") & ~c("ref_band"), "extra")))
+    odd = stretches.select(*ROW, "s", "e", F.explode(kinds).alias("kind"))
+    return odd.select("mask_id", "y", F.explode(F.sequence("s", c("e") - 1)).alias("x"), "kind").select(*CELL, "kind")
 
 
 def match_metrics(ref: DataFrame, stu: DataFrame, diff: DataFrame, dims: DataFrame, r: int = 10) -> DataFrame:
@@ -379,13 +389,13 @@ def support_region(ref: DataFrame, dims: DataFrame, sizes=(9, 31, 21), least: in
 
 def noise_partition(ref: DataFrame, stu: DataFrame, dims: DataFrame, sizes=(9, 31, 21), band: int = 11, least: int = 400) -> DataFrame:
     """Unexpected student ink per mask: pixels and components of lines, speckles and blobs."""
-    covers = support_region(ref, dims, sizes, least).withColumn("cover", F.lit("support")).unionByName(
-        dilate_runs(to_runs(ref), dims, band).withColumn("cover", F.lit("near")))
-    has = lambda v: F.max(F.coalesce(c("cover") == v, F.lit(False)))
-    marked = _in_runs(stu, covers, "left").groupBy(*CELL).agg(has("support").alias("inside"), has("near").alias("near"))
-    # both sorts of unexpected cells are labelled in one pass, as two masks
-    odd = marked.filter(~c("inside") | ~c("near")).select((c("mask_id") * 2 + flag(c("inside"))).alias("mask_id"), "y", "x")
-    parts = connected_components(odd, 3).withColumn("inside", c("mask_id") % 2 == 1).withColumn("mask_id", F.floor(c("mask_id") / 2))
+    support = support_region(ref, dims, sizes, least)
+    tagged = _spread(to_runs(stu), "stu").unionByName(_spread(to_runs(ref), "ref", band // 2)).unionByName(_spread(support, "support"))
+    odd = overlay_runs(dims, tagged, ["stu", "ref_band", "support"]).filter(c("stu") & ~(c("support") & c("ref_band")))
+    # both sorts of unexpected runs are labelled in one pass, as two masks
+    sorts = odd.select((c("mask_id") * 2 + flag(c("support"))).alias("mask_id"), "y", "s", "e")
+    parts = component_stats(label_runs(_coalesce(sorts))).filter(c("area") >= 3).withColumn(
+        "inside", c("mask_id") % 2 == 1).withColumn("mask_id", F.floor(c("mask_id") / 2))
     fill = c("area") / F.greatest(c("w") * c("h"), F.lit(1))
     aspect = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1))
     kind = (
@@ -426,12 +436,14 @@ def hatch_region(lines: DataFrame, dims: DataFrame, sizes=(9, 13, 5, 9), least:
     k1, k2, k3, k4 = sizes
     hatch = to_runs(lines)
     grown = label_runs(dilate_runs(close_runs(dilate_runs(hatch, dims, k1), dims, k2), dims, k3)).filter(c("area") >= least)
-    inside = hatch.select(*ROW, c("s").alias("hs"), c("e").alias("he"))
-    ink = grown.join(inside, [*ROW], "left").withColumn(
-        "px", F.when((c("s") < c("he")) & (c("hs") < c("e")), F.least("e", "he") - F.greatest("s", "hs")).otherwise(0))
-    per_run = ink.groupBy("mask_id", "label", "area", *ROW[1:], "s", "e").agg(F.sum("px").alias("px"))
-    whole = F.sum("px").over(Window.partitionBy("mask_id", "label"))
-    dense = cut_lineage(per_run.withColumn("px", whole).filter(c("px") / c("area") >= density))
+    grown = cut_lineage(grown.select(*ROW, "s", "e", "label", "area"))  # read twice: measured here, kept below
+    none = F.lit(None).cast("bigint").alias("label")
+    place = [c(n).cast("bigint").alias(n) for n in ("s", "e")]
+    tagged = grown.select(*ROW, *place, F.lit("grown").alias("tag"), "label").unionByName(
+        hatch.select(*ROW, *place, F.lit("ink").alias("tag"), none))
+    ink = overlay_runs(dims, tagged, ["grown", "ink"], label="label").filter(c("grown") & c("ink")).groupBy("mask_id", "label").agg(
+        F.sum(c("e") - c("s")).alias("px"))
+    dense = cut_lineage(grown.join(ink, ["mask_id", "label"]).filter(c("px") / c("area") >= density))
     clusters = dims.select("mask_id").join(dense.groupBy("mask_id").agg(F.countDistinct("label").alias("n")), "mask_id", "left").select(
         "mask_id", F.coalesce("n", F.lit(0)).alias("cluster_count"))
     region = drop_small_runs(close_runs(dense.select(*ROW, "s", "e"), dims, k4), final)
