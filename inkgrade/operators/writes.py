@@ -35,12 +35,18 @@ def apply_evaluations(submissions: DataFrame, evaluations: DataFrame, latest: st
 
 
 def patch_rows(base: DataFrame, patches: DataFrame, key: str, columns: list[str],
-               set_columns: str = "set_columns") -> DataFrame:
-    """Partial update: only the columns a patch names change, and a named null overwrites."""
-    p = patches.select(key, F.col(set_columns).alias("_set"), *[F.col(c).alias(f"_{c}") for c in columns])
-    named = lambda c: F.coalesce(F.array_contains("_set", c), F.lit(False))
-    return base.join(p, key, "left").select(
-        *[F.when(named(c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+               set_columns: str = "set_columns", order: str | None = None) -> DataFrame:
+    """Partial update: only the columns a patch names change, and a named null overwrites.
+
+    Several patches of one row apply in the ``order`` of that column (else of their values), so for each column the last
+    one to name it counts. They are reduced to one patch per row before the join.
+    """
+    last = F.col(order) if order else F.struct(*[F.col(c) for c in sorted(patches.columns) if c != key])
+    named = lambda c: F.array_contains(set_columns, c)
+    one = patches.groupBy(key).agg(*[
+        F.max_by(F.when(named(c), F.struct(F.col(c).alias("to"))), F.when(named(c), last)).alias(f"_{c}") for c in columns])
+    return base.join(one, key, "left").select(
+        *[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.to")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
           for c in base.columns])
 
 
@@ -93,7 +99,7 @@ UNIQUE = {
     "submissions": [["id"], ["task_id", "student_id", "attempt_number"]],
 }
 REQUIRED = {
-    "teachers": ["first_name", "email"],
+    "teachers": ["first_name", "last_name", "email"],
     "students": ["teacher_id", "full_name", "login", "is_active"],
     "tasks": ["teacher_id", "title", "mode", "is_active"],
     "task_assignments": ["task_id", "student_id"],
@@ -103,13 +109,16 @@ ALLOWED = {
     "tasks": {"mode": ["etalon", "optional"]},
     "submissions": {"mode": ["etalon", "optional"], "status": ["pending", "evaluated", "failed"]},
 }
-# shortest and longest text, after the request schemas and column widths
+# Shortest and longest text, after the request schemas and column widths
 LENGTHS = {
-    "teachers": {"first_name": (2, 100), "email": (1, 255)},
-    "students": {"full_name": (3, 255), "login": (1, 100), "direction": (0, 255)},
-    "tasks": {"title": (2, 255), "reference_file_path": (0, 500)},
+    "teachers": {
+        "first_name": (2, 100), "last_name": (2, 100), "email": (1, 255), "position": (0, 150), "university": (0, 255)},
+    "students": {
+        "full_name": (3, 255), "login": (3, 100), "university": (0, 255), "direction": (0, 255), "stage": (0, 100)},
+    "tasks": {"title": (3, 255), "reference_file_path": (0, 500), "instruction_file_path": (0, 500)},
     "submissions": {"uploaded_file_path": (1, 500), "overlay_path": (0, 500)},
 }
+PATTERNS = {"teachers": {"email": r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"}}
 
 
 def audit_constraints(tables: dict[str, DataFrame], lengths=None) -> DataFrame:
@@ -126,6 +135,7 @@ def audit_constraints(tables: dict[str, DataFrame], lengths=None) -> DataFrame:
         rules += [(~F.col(c).isin(v), f"enum:{c}") for c, v in ALLOWED.get(name, {}).items() if c in df.columns]
         rules += [(~F.length(c).between(lo, hi), f"length:{c}")
                   for c, (lo, hi) in lengths.get(name, {}).items() if c in df.columns]
+        rules += [(~F.col(c).rlike(p), f"pattern:{c}") for c, p in PATTERNS.get(name, {}).items() if c in df.columns]
         rows = df
         for child, column, parent in FOREIGN_KEYS:
             if child == name and parent in tables:

@@ -52,10 +52,10 @@ def _(t):
 
 
 @query("content_bbox", """SELECT d.mask_id, greatest(0, min(x) - 2) AS x1, greatest(0, min(y) - 2) AS y1, least(47, max(x) + 2) AS x2, least(47, max(y) + 2) AS y2
-FROM {ref48} r JOIN {dims48} d ON d.mask_id = r.mask_id GROUP BY d.mask_id
-UNION ALL SELECT mask_id, NULL, NULL, NULL, NULL FROM {dims48} WHERE mask_id NOT IN (SELECT mask_id FROM {ref48})""")
+FROM {all48} r JOIN {dims48} d ON d.mask_id = r.mask_id GROUP BY d.mask_id
+UNION ALL SELECT mask_id, NULL, NULL, NULL, NULL FROM {dims48} WHERE mask_id NOT IN (SELECT mask_id FROM {all48})""")
 def _(t):
-    return M.content_bbox(t.ref48, t.dims48, 2)
+    return M.content_bbox(t.all48, t.dims48, 2)
 
 
 @query("mask_algebra", """SELECT 'and' AS op, r.* FROM {ref48} r SEMI JOIN {stu48} s USING (mask_id, y, x) UNION ALL SELECT 'minus', r.* FROM {ref48} r ANTI JOIN {stu48} s USING (mask_id, y, x)
@@ -69,9 +69,9 @@ def _(t):
     return out
 
 
-@query("strip_border", "SELECT * FROM {ref48} WHERE y BETWEEN 5 AND 42 AND x BETWEEN 5 AND 42")
+@query("strip_border", "SELECT * FROM {all48} WHERE y BETWEEN 5 AND 42 AND x BETWEEN 5 AND 42")
 def _(t):
-    return M.strip_border(t.ref48, t.dims48, 5)
+    return M.strip_border(t.all48, t.dims48, 5)
 
 
 @query("connected_components", f"WITH RECURSIVE {comps('k', '{cells8}')} SELECT mask_id, label, x, y, w, h, area FROM k_s WHERE area >= 2")
@@ -79,9 +79,9 @@ def _(t):
     return M.connected_components(t.cells8, 2)
 
 
-@query("connected_components_48", f"WITH RECURSIVE {comps('k', '{ref48}', 40)} SELECT mask_id, label, x, y, w, h, area FROM k_s")
+@query("connected_components_48", f"WITH RECURSIVE {comps('k', '{all48}', 40)} SELECT mask_id, label, x, y, w, h, area FROM k_s")
 def _(t):
-    return M.connected_components(t.ref48)
+    return M.connected_components(t.all48)
 
 
 @query("remove_small_components", f"WITH RECURSIVE {comps('k', '{cells8}')} SELECT * FROM {kept('k', 'area >= 6')}")
@@ -153,27 +153,27 @@ def _(t):
 
 
 @query("fill_metrics", """SELECT mask_id, round(count(*) / 2304, 9) AS fill_ratio, round(count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 9) AS density,
-  round(count(*) FILTER (x BETWEEN 4 AND 43 AND y BETWEEN 4 AND 43) / count(*), 9) AS interior_share FROM {ref48} GROUP BY mask_id""")
+  round(count(*) FILTER (x BETWEEN 4 AND 43 AND y BETWEEN 4 AND 43) / count(*), 9) AS interior_share FROM {all48} GROUP BY mask_id""")
 def _(t):
-    return _r(M.fill_metrics(t.ref48, t.dims48), "fill_ratio", "density", "interior_share")
+    return _r(M.fill_metrics(t.all48, t.dims48), "fill_ratio", "density", "interior_share")
 
 
-@query("border_occupancy", """SELECT mask_id, round(sum((y < 4)::INT + (y >= 44)::INT + (x < 4)::INT + (x >= 44)::INT) / (2 * 4 * 96), 9) AS border_occ FROM {ref48} GROUP BY mask_id""")
+@query("border_occupancy", """SELECT mask_id, round(sum((y < 4)::INT + (y >= 44)::INT + (x < 4)::INT + (x >= 44)::INT) / (2 * 4 * 96), 9) AS border_occ FROM {all48} GROUP BY mask_id""")
 def _(t):
-    return _r(M.border_occupancy(t.ref48, t.dims48, 4), "border_occ")
+    return _r(M.border_occupancy(t.all48, t.dims48, 4), "border_occ")
 
 
 _COVER = "EXISTS (SELECT 1 FROM {mask_boxes} b WHERE b.mask_id = a.mask_id AND a.x >= greatest(0, b.x1 - 1) AND a.x < least(48, b.x2 + 1) AND a.y >= greatest(0, b.y1 - 1) AND a.y < least(48, b.y2 + 1))"
 
 
-@query("protect_cover", f"SELECT a.* FROM {{ref48}} a WHERE {_COVER}")
+@query("protect_cover", f"SELECT a.* FROM {{all48}} a WHERE {_COVER}")
 def _(t):
-    return M.protect_cover(t.ref48, t.mask_boxes, t.dims48, 1)
+    return M.protect_cover(t.all48, t.mask_boxes, t.dims48, 1)
 
 
-@query("stray_ratio", f"SELECT mask_id, round(count(*) FILTER (NOT {_COVER}) / 2304, 9) AS stray_ratio FROM {{ref48}} a GROUP BY mask_id".replace("FILTER (NOT EXISTS", "FILTER (NOT EXISTS"))
+@query("stray_ratio", f"SELECT mask_id, round(count(*) FILTER (NOT {_COVER}) / 2304, 9) AS stray_ratio FROM {{all48}} a GROUP BY mask_id".replace("FILTER (NOT EXISTS", "FILTER (NOT EXISTS"))
 def _(t):
-    return _r(M.stray_ratio(t.ref48, t.mask_boxes, t.dims48, 1), "stray_ratio")
+    return _r(M.stray_ratio(t.all48, t.mask_boxes, t.dims48, 1), "stray_ratio")
 
 
 @query("stroke_quantiles", """WITH q AS (SELECT mask_id, count(*) AS n, quantile_cont(value, [0.25, 0.50, 0.75, 0.90, 0.05, 0.95]) AS q FROM {stroke_values} GROUP BY mask_id)
@@ -189,11 +189,11 @@ def _(t):
     return M.pick_binarization(t.two_fills)
 
 
-@query("occupancy_profile", """SELECT 'y' AS axis, d.mask_id AS profile_id, p.pos::INT AS pos, CAST(count(c.mask_id) AS DOUBLE) AS val FROM {dims48} d CROSS JOIN (SELECT unnest(range(48)) AS pos) p LEFT JOIN {ref48} c ON c.mask_id = d.mask_id AND c.y = p.pos GROUP BY ALL
-UNION ALL SELECT 'x', d.mask_id, p.pos::INT, round(count(c.mask_id) / 48, 9) FROM {dims48} d CROSS JOIN (SELECT unnest(range(48)) AS pos) p LEFT JOIN {ref48} c ON c.mask_id = d.mask_id AND c.x = p.pos GROUP BY ALL""")
+@query("occupancy_profile", """SELECT 'y' AS axis, d.mask_id AS profile_id, p.pos::INT AS pos, CAST(count(c.mask_id) AS DOUBLE) AS val FROM {dims48} d CROSS JOIN (SELECT unnest(range(48)) AS pos) p LEFT JOIN {all48} c ON c.mask_id = d.mask_id AND c.y = p.pos GROUP BY ALL
+UNION ALL SELECT 'x', d.mask_id, p.pos::INT, round(count(c.mask_id) / 48, 9) FROM {dims48} d CROSS JOIN (SELECT unnest(range(48)) AS pos) p LEFT JOIN {all48} c ON c.mask_id = d.mask_id AND c.x = p.pos GROUP BY ALL""")
 def _(t):
-    rows = P.occupancy_profile(t.ref48, t.dims48).select(F.lit("y").alias("axis"), "profile_id", "pos", "val")
-    cols = P.occupancy_profile(t.ref48, t.dims48, "x", "mean").select(F.lit("x").alias("axis"), "profile_id", "pos", F.round("val", 9).alias("val"))
+    rows = P.occupancy_profile(t.all48, t.dims48).select(F.lit("y").alias("axis"), "profile_id", "pos", "val")
+    cols = P.occupancy_profile(t.all48, t.dims48, "x", "mean").select(F.lit("x").alias("axis"), "profile_id", "pos", F.round("val", 9).alias("val"))
     return rows.unionByName(cols)
 
 

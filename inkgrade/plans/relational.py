@@ -11,7 +11,7 @@ from inkgrade.functions import text
 from inkgrade.operators import admission, results as R, writes
 from inkgrade.operators.lineage import shared_folder
 from inkgrade.plans.catalog import query
-from inkgrade.sources import files
+from inkgrade.sources import files, tables
 
 STORED = ["teachers", "students", "tasks", "task_assignments", "submissions"]
 
@@ -21,9 +21,17 @@ SELECT 'teachers' AS table_name, count(*) AS n FROM {teachers} UNION ALL SELECT
 UNION ALL SELECT 'tasks', count(*) FROM {tasks} UNION ALL SELECT 'task_assignments', count(*) FROM {task_assignments}
 UNION ALL SELECT 'submissions', count(*) FROM {submissions}""")
 def _(t):
+    """The five tables written out and read back by their declared schemas; a table whose ids were lost counts none."""
+    folder = f"{shared_folder(t.spark)}/stored-{uuid.uuid4().hex}"
+    for n in STORED:
+        rows = getattr(t, n)
+        if n == "submissions":  # here ids are texts; the stored tables have numbers
+            rows = rows.withColumn("id", F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)))
+        rows.select(tables.declared(rows, n)).write.parquet(f"{folder}/{n}")
+    read = tables.read_tables(t.spark, folder)
+    key = lambda n: "task_id" if n == "task_assignments" else "id"
     return reduce(DataFrame.unionByName, [
-        getattr(t, n).groupBy().count().select(F.lit(n).alias("table_name"), F.col("count").alias("n"))
-        for n in STORED])
+        read[n].groupBy().agg(F.count(key(n)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n in STORED])
 
 
 @query("list_drawings", r"""
@@ -299,7 +307,7 @@ def _(t):
     return reduce(DataFrame.unionByName, [left[n].select(F.lit(n).alias("table_name"), key[n].alias("key")) for n in STORED])
 
 
-@query("audit_constraints", """SELECT 'submissions' AS table_name, 'unique:task_id,student_id,attempt_number' AS rule, task_id || '/' || student_id || '/' || attempt_number AS key
+@query("audit_constraints_limits", """SELECT 'submissions' AS table_name, 'unique:task_id,student_id,attempt_number' AS rule, task_id || '/' || student_id || '/' || attempt_number AS key
 FROM {submissions} GROUP BY task_id, student_id, attempt_number HAVING count(*) > 1
 UNION ALL SELECT 'submissions', 'unique:id', id FROM {submissions} GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'submissions', 'length:uploaded_file_path', id FROM {submissions} WHERE length(uploaded_file_path) NOT BETWEEN 1 AND 40
@@ -310,6 +318,48 @@ def _(t):
     return writes.audit_constraints({n: getattr(t, n) for n in STORED}, lengths)
 
 
+def _audit_sql() -> str:
+    """Every rule of the stored tables, written out."""
+    one = "SELECT '{0}' AS table_name, '{1}' AS rule, {2} AS key FROM {{{0}}} WHERE {3}"
+    many = "SELECT '{0}', 'unique:{1}', {2} FROM {{{0}}} GROUP BY {1} HAVING count(*) > 1"
+    text = lambda *names: " || '/' || ".join(f"CAST({n} AS VARCHAR)" for n in names)
+    rules = [
+        ("teachers", "not_null:first_name", "first_name IS NULL"), ("teachers", "not_null:email", "email IS NULL"),
+        ("teachers", "length:first_name", "length(first_name) NOT BETWEEN 2 AND 100"),
+        ("teachers", "length:email", "length(email) NOT BETWEEN 1 AND 255"),
+        ("teachers", "length:university", "length(university) > 255"),
+        ("teachers", "pattern:email", r"NOT regexp_matches(email, '^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$')"),
+        *[("students", f"not_null:{n}", f"{n} IS NULL") for n in ("teacher_id", "full_name", "login", "is_active")],
+        ("students", "length:full_name", "length(full_name) NOT BETWEEN 3 AND 255"),
+        ("students", "length:login", "length(login) NOT BETWEEN 3 AND 100"), ("students", "length:direction", "length(direction) > 255"),
+        ("students", "foreign:teacher_id", "teacher_id NOT IN (SELECT id FROM {teachers})"),
+        *[("tasks", f"not_null:{n}", f"{n} IS NULL") for n in ("teacher_id", "title", "mode", "is_active")],
+        ("tasks", "length:title", "length(title) NOT BETWEEN 3 AND 255"), ("tasks", "enum:mode", "mode NOT IN ('etalon', 'optional')"),
+        ("tasks", "length:reference_file_path", "length(reference_file_path) > 500"),
+        ("tasks", "foreign:teacher_id", "teacher_id NOT IN (SELECT id FROM {teachers})"),
+        *[("submissions", f"not_null:{n}", f"{n} IS NULL") for n in (
+            "task_id", "student_id", "attempt_number", "mode", "uploaded_file_path", "status")],
+        ("submissions", "length:uploaded_file_path", "length(uploaded_file_path) NOT BETWEEN 1 AND 500"),
+        ("submissions", "length:overlay_path", "length(overlay_path) > 500"),
+        ("submissions", "enum:mode", "mode NOT IN ('etalon', 'optional')"),
+        ("submissions", "enum:status", "status NOT IN ('pending', 'evaluated', 'failed')"),
+        ("submissions", "foreign:task_id", "task_id NOT IN (SELECT id FROM {tasks})"),
+        ("submissions", "foreign:student_id", "student_id NOT IN (SELECT id FROM {students})"),
+    ]
+    pair = text("task_id", "student_id")
+    return "\nUNION ALL ".join([
+        *[one.format(table, rule, text("id"), fails) for table, rule, fails in rules],
+        *[one.format("task_assignments", f"foreign:{n}", pair, f"{n} NOT IN (SELECT id FROM {{{of}}})") for n, of in (("task_id", "tasks"), ("student_id", "students"))],
+        *[many.format(t, k, text(*k.split(","))) for t, k in (
+            ("teachers", "id"), ("teachers", "email"), ("students", "id"), ("students", "login"), ("tasks", "id"),
+            ("task_assignments", "task_id,student_id"), ("submissions", "id"), ("submissions", "task_id,student_id,attempt_number"))]])
+
+
+@query("audit_constraints", _audit_sql())
+def _(t):
+    return writes.audit_constraints({n: getattr(t, n) for n in STORED})
+
+
 @query("route_by_mode", """SELECT s.id, CASE WHEN s.mode = 'optional' THEN 'single' WHEN s.mode = 'etalon' AND t.reference_file_path IS NOT NULL THEN 'pair' ELSE 'error' END AS route,
   CASE WHEN s.mode = 'etalon' AND t.reference_file_path IS NULL THEN 'reference_file_path required' END AS route_error
 FROM {submissions} s JOIN {tasks} t ON t.id = s.task_id""")

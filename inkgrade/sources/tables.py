@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 SCHEMAS = {
     "teachers": "id INT, first_name STRING, last_name STRING, email STRING, position STRING, "
@@ -22,33 +23,36 @@ SCHEMAS = {
 
 
 def read_tables(spark: SparkSession, base: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
-    """Each stored table as a DataFrame, read from ``base/<table>`` without schema inference.
+    """Each stored table as a DataFrame of its declared schema, read from ``base/<table>`` without schema inference.
 
-    With ``fmt="jdbc"``, ``base`` is the JDBC URL and ``id_bounds`` and ``num_partitions`` in
-    ``options`` split each read into ranges of ``id``.
+    With ``fmt="jdbc"``, ``base`` is the JDBC URL and ``id_bounds`` (one pair, or one per table) and ``num_partitions`` in
+    ``options`` split each read into ranges of ``id``; columns are cast to their declared types, structures from JSON.
     """
     if fmt != "jdbc":
         return {
             name: spark.read.schema(schema).format(fmt).options(**options).load(f"{base}/{name}")
             for name, schema in SCHEMAS.items()
         }
-    low, high = options.pop("id_bounds")
+    bounds = options.pop("id_bounds")
     parts = options.pop("num_partitions", 200)
-    return {
-        name: spark.read.format("jdbc").options(
-            url=base, dbtable=name, partitionColumn="id", lowerBound=low, upperBound=high,
-            numPartitions=parts, **options,
-        ).load().select(*[c.split()[0] for c in _columns(schema)])
-        for name, schema in SCHEMAS.items()
-    }
-
-
-def _columns(schema: str) -> list[str]:
-    """Top-level column declarations of a DDL string."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(schema):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(schema[start:i].strip())
-            start = i + 1
-    return out + [schema[start:].strip()]
+    out = {}
+    for name in SCHEMAS:
+        low, high = bounds[name] if isinstance(bounds, dict) else bounds
+        rows = spark.read.format("jdbc").options(
+            url=base, dbtable=name, partitionColumn="id", lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
+        out[name] = rows.select(declared(rows, name))
+    return out
+
+
+def declared(rows: DataFrame, name: str) -> list[Column]:
+    """The columns of a stored table in their declared types; those that ``rows`` lack are null."""
+    out = []
+    for field in StructType.fromDDL(SCHEMAS[name]).fields:
+        if field.name not in rows.columns:
+            value = F.lit(None).cast(field.dataType)
+        elif isinstance(field.dataType, ArrayType) and isinstance(rows.schema[field.name].dataType, StringType):
+            value = F.from_json(field.name, field.dataType.simpleString())
+        else:
+            value = F.col(field.name).cast(field.dataType)
+        out.append(value.alias(field.name))
+    return out

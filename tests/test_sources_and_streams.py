@@ -23,7 +23,9 @@ def test_tables_round_trip(spark, tmp_path):
     got = tables.read_tables(spark, str(tmp_path))
     assert {n: df.count() for n, df in got.items()} == {n: 1 for n in rows}
     assert got["submissions"].first().table_json[0].criterion == "c"
-    assert tables._columns(tables.SCHEMAS["submissions"])[9].startswith("table_json ARRAY")
+    raw = spark.createDataFrame([("7", '[{"criterion": "a", "score": 1.5}]', "2024-01-02 03:04:05")], "id string, table_json string, created_at string")
+    row = raw.select(tables.declared(raw, "submissions")).first()
+    assert (row.id, row.table_json[0].criterion, row.table_json[0].score, row.created_at.day, row.status) == (7, "a", 1.5, 2, None)
 
 
 def test_listing_and_reports(spark, tmp_path):
