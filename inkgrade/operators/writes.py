@@ -144,6 +144,8 @@ def audit_constraints(tables: dict[str, DataFrame], lengths=None) -> DataFrame:
                 rules.append((F.col(column).isNotNull() & F.col(f"_{column}").isNull(), f"foreign:{column}"))
         found.append(rows.select(F.lit(name).alias("table_name"), F.explode(messages(*rules)).alias("rule"), key.alias("key")))
         for cols in UNIQUE[name]:
+            if not set(cols) <= set(df.columns):
+                continue
             found.append(
                 df.groupBy(*cols).count().filter("count > 1").select(
                     F.lit(name).alias("table_name"), F.lit("unique:" + ",".join(cols)).alias("rule"),
