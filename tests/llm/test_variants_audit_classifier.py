@@ -214,3 +214,22 @@ def test_classifier_uses_text_alone(spark):
     mixed = docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0)})
     a, b = (classifier.score_quality(d, labels).toPandas().sort_values("doc_id")["score"] for d in (docs, mixed))
     pd.testing.assert_series_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from inkgrade.llm import packing
+
+    texts = ["Don't STOP 12, it's\tnaïve... <b>", "a<|endoftext|>b", "İstanbul ß 5%", "", "x" * 5000 + " , " + "y " * 3000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        if not os.path.exists(path):
+            continue
+        ids, plain = packing.WordIds(path), Tokenizer.from_file(path)
+        assert ids.by_chunks == (name == "word_bpe_49k.json")
+        for text, raw in zip(texts, ids.many(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
