@@ -18,8 +18,8 @@ from inkgrade.operators.lineage import cut_lineage
 #: Pieces that are packed together, islands that pack them, epochs (elites migrate in between), generations of an
 #: epoch, and individuals of an island.
 GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 2, 4, 4
-#: Tasks that the islands are spread over, at most.
-TASKS = 4096
+#: Islands that evolve in one task, about.
+TOGETHER = 8
 
 #: Chunks of Latin letters and ASCII, which lower-casing and composing treat letter by letter.
 _PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eßà-öø-ÿÀ-ÖØ-Þ]+")
@@ -31,8 +31,6 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^\sa-zß
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Bytes of remembered chunks and parts, about, with what Python needs to hold one.
 _CACHE_BYTES, _ENTRY_BYTES = 300_000_000, 150
-#: Characters of the texts whose new chunks are learned together.
-_TOGETHER = 2_000_000
 #: A tokenizer splits as ``_PARTS`` does if it gives the ids of this text chunk by chunk.
 _PROBE = "It's THE word's don't 12 3a4 we'll \"(Über)\" naïve... x--y ¡no! e-mail@a.b/c ÀÉ ß's 5%,6 a_b 'tis &c."
 
@@ -40,10 +38,10 @@ _PROBE = "It's THE word's don't 12 3a4 we'll \"(Über)\" naïve... x--y ¡no! e-
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, remembered by word.
 
-    The vocabulary drops white space and never merges across it, so the ids of a text are those of its chunks. The new
-    chunks of several texts are split into the vocabulary's parts (letters, single digits, others) and their new parts
-    encoded in few calls, where every part ends with the only token that closes a word. A tokenizer that splits
-    otherwise, as a probe shows, encodes whole texts.
+    The vocabulary drops white space and never merges across it, so the ids of a text are those of its chunks. New
+    chunks are split into the vocabulary's parts (letters, single digits, others) and new parts are encoded in one
+    call, where every part ends with the only token that closes a word. A tokenizer that splits otherwise, as a probe
+    shows, encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,70 +59,47 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_parts(self, fresh: list[str]) -> None:
-        """Remember the ids of new parts, encoded 500 at a time."""
-        groups = [fresh[at:at + 500] for at in range(0, len(fresh), 500)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for some, encoding in zip(groups, encoded, strict=True):
-            ids = np.array(encoding.ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                raw, start = ids.tobytes(), 0
-                for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self.parts[part] = raw[start:end]
-                    start = end
-            else:
-                self.parts |= {p: self._encode(p) for p in some}
-            self.held += 4 * len(ids) + sum(map(len, some)) + _ENTRY_BYTES * len(some)
-
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         chunks, parts = self.chunks, self.parts
-        single, split = [], {}
+        split = {}
         for chunk in new:
             if not _PLAIN.fullmatch(chunk):
                 chunks[chunk] = self._encode(chunk)
             elif chunk.isalpha():
-                single.append((chunk, chunk if chunk.islower() else chunk.lower()))
+                split[chunk] = (chunk.lower(),)
             else:
                 split[chunk] = _PARTS.findall(chunk.lower())
-        fresh = {low for _, low in single}
-        fresh.update(*split.values())
-        self._learn_parts(list(fresh - parts.keys()))
-        for chunk, low in single:
-            chunks[chunk] = parts[low]
+        fresh = list({p for found in split.values() for p in found if p not in parts})
+        for at in range(0, len(fresh), 500):
+            some = fresh[at:at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                raw, start = ids.tobytes(), 0
+                for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                    parts[part] = raw[start:end]
+                    start = end
+            else:
+                parts |= {p: self._encode(p) for p in some}
         for chunk, found in split.items():
-            chunks[chunk] = b"".join([parts[p] for p in found])
-        self.held += sum(map(len, new)) + sum(len(chunks[c]) for c in split) + _ENTRY_BYTES * len(new)
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if not self.by_chunks:
-            return [self._encode(t) for t in texts]
-        split = [
-            t.lower().split() if _PLAIN_TEXT.fullmatch(t) else
-            None if _SEPARATORS.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.split()
-            for t in texts]
-        if self.held > _CACHE_BYTES:
-            self.chunks, self.parts, self.held = {}, {}, 0
-        self._learn(set().union(*[c for c in split if c]) - self.chunks.keys())
-        ids = self.chunks
-        return [self._encode(t) if c is None else b"".join([ids[w] for w in c]) for t, c in zip(texts, split)]
+            chunks[chunk] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
+        self.held += sum(map(len, new)) + 2 * sum(map(len, fresh)) + _ENTRY_BYTES * (len(new) + len(fresh))
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-
-def _together(texts: list[str]) -> Iterator[list[str]]:
-    """Lists of texts in order, each of about ``_TOGETHER`` characters or one text."""
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text) > _TOGETHER:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
+        if not self.by_chunks:
+            return self._encode(text)
+        if _PLAIN_TEXT.fullmatch(text):
+            text = text.lower()
+        elif _SEPARATORS.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return self._encode(text)
+        chunks = text.split()
+        new = [c for c in set(chunks) if c not in self.chunks]
+        if new:
+            if self.held > _CACHE_BYTES:
+                self.chunks, self.parts, self.held = {}, {}, 0
+                new = list(set(chunks))
+            self._learn(new)
+        return b"".join([self.chunks[c] for c in chunks])
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -145,9 +120,8 @@ def tokenized(
         end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * limit
         for pdf in parts:
             out = []
-            found = (ids for some in _together([t or "" for t in pdf["text"]]) for ids in ids_of.many(some))
-            for doc_id, raw in zip(pdf["doc_id"], found, strict=True):
-                raw += end
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                raw = ids_of(text or "") + end
                 out += [
                     (doc_id, at // step, at // 4, min(step, len(raw) - at) // 4, raw[at:at + step])
                     for at in range(0, len(raw), step)
@@ -303,7 +277,7 @@ def pack(
                 F.sort_array(F.collect_list("e"), asc=False), lambda e: e["elite"]).alias("elites"))
             start = elites.join(lengths, "group").select("group", "island", "lengths", "elites")
         # a number of partitions of its own, so that the small rows are not put together in one task
-        start = start.repartition(min(groups * islands, TASKS), "group", "island")
+        start = start.repartition(-(-groups * islands // TOGETHER), "group", "island")
         state = cut_lineage(start.mapInPandas(epoch(number), schema))
     best = state.groupBy("group").agg(
         F.max(F.struct("count", "filled", F.expr("-island").alias("island"), "elite")).alias("best"))
