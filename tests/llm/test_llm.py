@@ -34,7 +34,7 @@ def edges(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twin(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
