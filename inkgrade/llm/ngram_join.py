@@ -17,10 +17,12 @@ N, PERCENT = 5, 80
 SEEDS = 8
 #: Signatures that more documents share are crowded: compared by leads first, then in blocks of so many.
 CROWD, BLOCK = 64, 512
-#: Rows of one or two numbers up to which a side is broadcast; beyond, it is joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Shingles of a block's documents, on average, beyond which a signature gets more blocks.
+BLOCK_SHINGLES = 1_000_000
+#: Numbers (rows times columns) up to which a counted side is broadcast; beyond, it is joined by shuffling.
+BROADCAST_NUMBERS = 2_000_000
 #: Rounds in which documents on a crowded signature meet so many leads of its largest class.
-ROUNDS, LEADS = 2, 4
+ROUNDS, LEADS = 1, 4
 #: Longs of a set's parity sketch.
 SKETCH = 16
 #: Documents for each partition of the small tables (labels, pairs, signatures left) that the rounds write.
@@ -163,18 +165,23 @@ def parities(features: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(doc_id, n_shingles, slack, sketch, signatures) of every row; a null id has no signatures."""
+    """(doc_id, n_shingles, slack, digest, sketch, signatures) of every row; a null id has no signatures.
+
+    Equal sets have equal digests.
+    """
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 features = shingles(text, n)
                 found, slack = signatures(features, percent)
-                out.append((i, len(features), slack, parities(features), found[:0] if pd.isna(i) else found))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "slack", "sketch", "signatures"]).astype(
+                digest = int(features.sum(dtype=_U).view(np.int64))
+                out.append((i, len(features), slack, digest, parities(features), found[:0] if pd.isna(i) else found))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "slack", "digest", "sketch", "signatures"]).astype(
                 {"doc_id": "Int64"})
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, slack int, sketch array<long>, signatures array<long>")
+    return docs.mapInPandas(
+        sign, "doc_id long, n_shingles long, slack int, digest long, sketch array<long>, signatures array<long>")
 
 
 def _kept(df: DataFrame, parts: int) -> DataFrame:
@@ -211,8 +218,8 @@ def _premerged(signed: DataFrame, docs: DataFrame, percent: int, n: int, parts:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of at most ``rows`` counted rows of ids and numbers, up to BROADCAST_ROWS."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast a side of at most ``rows`` counted rows, all of whose columns are numbers, up to BROADCAST_NUMBERS."""
+    return F.broadcast(df) if rows * len(df.columns) <= BROADCAST_NUMBERS else df
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, percent: int, rows: int) -> DataFrame:
@@ -296,40 +303,103 @@ def _uncrowded(rows: DataFrame, parts: int) -> DataFrame:
     return _kept(calm.unionByName(busy.select(rows.columns)), 2 * parts)
 
 
-def _blocked(rows: DataFrame, crowded: DataFrame, n: int, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b, label_a, label_b): documents of two classes on one of ``n`` crowded signatures that sketches may link.
+def _meeting(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of rows, of two classes and of the group's two blocks, that sketches may link.
+
+    A pair that shares several crowded signatures meets at the least of them only.
+    """
+    own, low, high = pdf["own"].to_numpy(), pdf["low"].iat[0], pdf["high"].iat[0]
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    sketch, size = np.stack(pdf["sketch"].to_numpy()).view(_U), pdf["n_shingles"].to_numpy()
+    label, ids = pdf["label"].to_numpy(), pdf["doc_id"].to_numpy()
+    flips = np.zeros((len(left), len(right)), dtype=np.int32)
+    for i in range(SKETCH):
+        flips += np.bitwise_count(sketch[left, None, i] ^ sketch[None, right, i])
+    n, m, p, q = size[left, None], size[None, right], label[left, None], label[None, right]
+    fits = (p < q if low == high else p != q) & (ids[left, None] != ids[None, right])
+    fits &= np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+    fits &= flips * (100 + percent) <= (n + m) * (100 - percent)
+    i, j = np.nonzero(fits)
+    i, j = left[i], right[j]
+    signature, shared = pdf["signature"].iat[0], pdf["crowds"]
+    before = {r: frozenset(shared.iat[r][shared.iat[r] < signature].tolist()) for r in {*i.tolist(), *j.tolist()}}
+    first = [before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    first = np.array(first, dtype=bool)
+    return i[first], j[first]
+
+
+def _joined_classes(pdf: pd.DataFrame, percent: int, n: int) -> list[tuple[int, int]]:
+    """Links between the classes of a group's rows, by whole texts: no more than join them, so fewer than rows."""
+    text, distinct = pd.factorize(pdf["text"])
+    label, features, above, apart, out = pdf["label"].tolist(), {}, {}, set(), []
+
+    def root(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    def set_of(t: int) -> np.ndarray:
+        if t not in features:
+            features[t] = shingles(distinct[t], n)
+        return features[t]
+
+    for x, y in zip(*(side.tolist() for side in _meeting(pdf, percent)), strict=True):
+        p, q = root(label[x]), root(label[y])
+        texts = text[x], text[y]
+        if p == q or texts in apart:
+            continue
+        if texts[0] == texts[1] or linked(set_of(texts[0]), set_of(texts[1]), percent):
+            above[max(p, q)] = min(p, q)
+            out.append((min(p, q), max(p, q)))
+        else:
+            apart.add(texts)
+    return out
+
+
+def _blocked(rows: DataFrame, crowded: DataFrame, n: int, signed: DataFrame, docs: DataFrame, percent: int, width: int,
+             parts: int) -> DataFrame:
+    """(label_a, label_b): linked classes of documents on one of ``n`` crowded signatures.
 
-    A signature's documents are dealt to blocks by id hash, and every two blocks meet in a group of their own, so a
-    task holds two blocks however many documents share the signature; only pairs within the differences come out.
+    Of a class's documents with equal sets one takes part. A signature's largest class and its other documents are
+    dealt to blocks by id hash; every block of the others meets each block in a group of its own, blocks of the
+    largest class do not meet. So a task holds two blocks however many documents share the signature. Rows with a
+    partner within the differences by sketch go on, with their texts, to the same group for the check of whole sets.
     """
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = (pdf["low"] == pdf["high"]).all()
-        left = pdf[pdf["own"] == pdf["low"]]
-        right = left if same else pdf[pdf["own"] == pdf["high"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("a", "b", "label_a", "label_b")})
-        x, y = (np.stack(side["sketch"].to_numpy()).view(_U) for side in (left, right))
-        flips = np.zeros((len(x), len(y)), dtype=np.int64)
-        for i in range(SKETCH):
-            flips += np.bitwise_count(x[:, None, i] ^ y[None, :, i])
-        n, m = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None, :]
-        (p, of_p), (q, of_q) = ((s["doc_id"].to_numpy(), s["label"].to_numpy()) for s in (left, right))
-        apart = of_p[:, None] < of_q[None, :] if same else of_p[:, None] != of_q[None, :]
-        fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-        fits &= flips * (100 + percent) <= (n + m) * (100 - percent)
-        i, j = np.nonzero(apart & fits & (p[:, None] != q[None, :]))
-        turned = of_p[i] > of_q[j]
-        return pd.DataFrame({
-            "a": np.where(turned, q[j], p[i]), "b": np.where(turned, p[i], q[j]),
-            "label_a": np.minimum(of_p[i], of_q[j]), "label_b": np.maximum(of_p[i], of_q[j])})
-
-    blocks = F.ceil(F.col("crowd") / BLOCK)
-    busy = rows.join(_small(crowded, n), "signature").join(signed.select("doc_id", "sketch"), "doc_id").withColumn(
-        "own", F.pmod(F.xxhash64("doc_id"), blocks))
-    dealt = busy.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
-        "signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id",
-        "n_shingles", "label", "sketch")
-    return dealt.groupBy("signature", "low", "high").applyInPandas(compare, "a long, b long, label_a long, label_b long")
+    count = lambda k, size: F.ceil(F.greatest(F.col(k) / BLOCK, F.col(size) / BLOCK_SHINGLES))
+    held = rows.join(_small(crowded.select("signature"), n), "signature").select("signature", "label", "doc_id").join(
+        signed.select("doc_id", "n_shingles", "sketch", "digest"), "doc_id")
+    busy = _kept(held.groupBy("signature", "label", "n_shingles", "sketch", "digest").agg(
+        F.min("doc_id").alias("doc_id")), 2 * parts)
+    classes = busy.groupBy("signature", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    sizes = _kept(classes.groupBy("signature").agg(
+        F.max_by(F.struct("label", "n", "size"), F.struct("n", "label")).alias("most"), F.sum("n").alias("n"),
+        F.sum("size").alias("size")).select(
+        "signature", F.col("most.label").alias("most"), F.col("most.n").alias("k"), F.col("most.size").alias("s"),
+        (F.col("n") - F.col("most.n")).alias("k_rest"), (F.col("size") - F.col("most.size")).alias("s_rest")).where(
+        "k_rest > 0").select("signature", "most", count("k", "s").alias("many"), count("k_rest", "s_rest").alias("rest")),
+        parts)
+    met = busy.join(_small(sizes, n), "signature")
+    crowds = met.groupBy("doc_id", "digest").agg(F.collect_set("signature").alias("crowds"))
+    top, place = F.col("label") == F.col("most"), F.xxhash64("doc_id")
+    dealt = met.join(crowds, ["doc_id", "digest"]).withColumn(
+        "own", F.when(top, F.col("rest") + F.pmod(place, "many")).otherwise(F.pmod(place, "rest"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(top, 0).otherwise(F.col("many"))))
+    ).select("signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id",
+             "n_shingles", "label", "sketch", "crowds")
+    group = ["signature", "low", "high"]
+
+    def partnered(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[np.unique(np.concatenate(_meeting(pdf, percent)))]
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.array(_joined_classes(pdf, percent, width), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame(found, columns=["label_a", "label_b"])
+
+    near = cut_lineage(dealt.groupBy(*group).applyInPandas(partnered, dealt.schema))
+    texts = docs.select("doc_id", "text").join(near.select("doc_id").distinct(), "doc_id")
+    return near.join(texts, "doc_id").groupBy(*group).applyInPandas(joined, "label_a long, label_b long")
 
 
 def _starred(rows: DataFrame, crowded: DataFrame, n: int, turn: int, parts: int) -> DataFrame:
@@ -396,13 +466,13 @@ def near_duplicates(
             left, right = calm.select("signature", *side("a")), calm.select("signature", *side("b"))
             candidates = left.join(right, "signature").where(fits & (F.col("label_a") < F.col("label_b"))).select(
                 "a", "b", "label_a", "label_b")
-            if busy:
-                candidates = candidates.unionByName(_blocked(rows, crowded, busy, signed, percent))
         else:
             candidates = _starred(rows, crowded.select("signature"), busy, turn, parts).where(fits)
         pairs = candidates.select("a", "b", "label_a", "label_b").distinct()
-        new = _kept(_verified(pairs, signed, docs, percent, n, parts).select(
-            F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), parts)
+        links = _verified(pairs, signed, docs, percent, n, parts).select("label_a", "label_b")
+        if every and busy:
+            links = links.unionByName(_blocked(rows, crowded, busy, signed, docs, percent, n, parts))
+        new = _kept(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), parts)
         if new.isEmpty():
             continue
         classes = components(new if edges is None else edges.unionByName(new), parts)
