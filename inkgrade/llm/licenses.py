@@ -375,15 +375,14 @@ _MATCHES = f"""
         s -> s.found))))
 """
 
-# In order of start, then length, then priority: what lies within the last kept is dropped; of two that only
-# overlap, the one of higher priority stays.
+# In order of priority, then length, then start, then label: a detection stays if it overlaps none that stayed, so
+# nothing is suppressed by one that is itself suppressed. In the end they stand in order of start.
 _RESOLVED = f"""
-    aggregate(array_sort(found), cast(array() as {_FOUND}), (kept, d) -> case
-      when size(kept) = 0 or d.start >= -element_at(kept, -1).neg_stop then array_append(kept, d)
-      when d.neg_stop >= element_at(kept, -1).neg_stop then kept
-      when d.neg_priority < element_at(kept, -1).neg_priority
-        then array_append(slice(kept, 1, size(kept) - 1), d)
-      else kept end)
+    array_sort(aggregate(
+      transform(array_sort(transform(found, d -> struct(
+        d.neg_priority, d.start + d.neg_stop as neg_length, d.start, d.label, d))), x -> x.d),
+      cast(array() as {_FOUND}),
+      (kept, d) -> if(exists(kept, k -> d.start < -k.neg_stop and k.start < -d.neg_stop), kept, array_append(kept, d))))
 """
 
 
@@ -395,11 +394,11 @@ def scan_licenses(
 
     ``places`` is a map from phrase to the word positions where its words stand consecutively. ``detections`` are
     (start, stop, priority, label) over the text's words joined by single blanks, one blank in front: rules apply
-    where all their keywords occur, a detection within another is suppressed, and of two that overlap the one of higher
-    priority stays.
+    where all their keywords occur. Detections are taken by priority, then length, then start, then label, and each
+    suppresses what lies within it or overlaps it; ties leave the longer, then the earlier one.
 
     Only texts with the longest word of a phrase, or of every keyword of a rule, are looked at closely; no text that
-    a rule or phrase fits lacks it. Null and empty texts have no words and no
+    a rule or phrase fits lacks it. Very long texts are scanned whole. Null and empty texts have no words and no
     detections; repeated rows are scanned one by one; an empty table gives no rows; other columns are left out.
     """
     rules = signature_rules() if rules is None else rules

@@ -240,9 +240,10 @@ def pack(
     rows; in each, ``islands`` populations of packings evolve apart, and between epochs every island's elite moves on
     to the next island. The best packing of any island is the result. Only lengths and bin numbers travel; a group is
     gathered into one row, bounded by the deal, which a hash of the row and its place in the input evens out for
-    repeated rows. Rows with equal content are interchangeable; an empty table gives no rows.
+    repeated rows. Rows with equal content are interchangeable; an empty table gives no rows; columns of ``pieces``
+    named ``sequence_id`` or ``offset`` give way to the results.
     """
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     fixed = cut_lineage(pieces.withColumn("__at", F.monotonically_increasing_id()))
     groups = max(1, -(-fixed.count() // group))
     rows = fixed.groupBy(F.pmod(F.xxhash64("__at"), F.lit(groups)).alias("group")).agg(

@@ -241,8 +241,10 @@ def find_pii(
 
     ``base`` has the base kinds; ``spans`` adds those that the classifier takes, learned from this corpus unless
     ``accepted`` gives its patterns. Both are ordered by kind, then start. Null texts are empty; repeated rows are
-    searched one by one; an empty table gives no rows; columns not named in ``keep`` are left out.
+    searched one by one; very long texts are searched whole; an empty table gives no rows; columns not named in
+    ``keep``, or named like a result, are left out.
     """
+    keep = tuple(c for c in keep if c not in ("doc_id", "base", "spans"))
     accepted = learn_patterns(docs, text_col=text_col) if accepted is None else accepted
 
     def search(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -252,12 +254,16 @@ def find_pii(
             yield pd.DataFrame({"base": [named(b) for b, _ in both], "spans": [named(b + o) for b, o in both]})
 
     found = F.pandas_udf(search, f"base {SPANS}, spans {SPANS}")
-    return docs.select(F.col(id_col).alias("doc_id"), *keep, found(F.col(text_col)).alias("found")).select(
-        "doc_id", *keep, "found.*")
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, found(F.col(text_col)).alias("__found")).select(
+        "doc_id", *keep, "__found.*")
 
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text", accepted: frozenset[str] | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first kind.
+
+    Null texts stay null and empty ones empty; very long texts are masked whole, repeated rows one by one; an empty
+    table gives no rows; other columns stay as they are.
+    """
     accepted = learn_patterns(docs, text_col=text_col) if accepted is None else accepted
 
     def mask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

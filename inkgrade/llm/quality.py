@@ -181,8 +181,10 @@ def quality_verdicts(
 
     ``score`` is the trees' probability of good quality, 1 where nothing could be fitted. A document is kept if the
     base rules pass and the score reaches ``threshold``. Null texts have no words and fail; repeated rows are judged
-    one by one; an empty table gives no rows; columns not named in ``keep`` are left out.
+    one by one; very long texts are judged whole; an empty table gives no rows; columns not named in ``keep``, or named
+    like a result, are left out.
     """
+    keep = tuple(c for c in keep if c not in ("doc_id", *STATS, "base_failed", "kept", "score"))
     forest = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **fit)
 
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -200,5 +202,5 @@ def quality_verdicts(
     schema = ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, kept boolean, score double"
     judged = F.pandas_udf(judge, schema)
     return docs.select(
-        F.col(id_col).alias("doc_id"), *keep, judged(F.col(text_col)).alias("judged")
-    ).select("doc_id", *keep, "judged.*")
+        F.col(id_col).alias("doc_id"), *keep, judged(F.col(text_col)).alias("__judged")
+    ).select("doc_id", *keep, "__judged.*")
