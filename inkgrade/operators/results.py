@@ -27,11 +27,15 @@ def result_row(df: DataFrame) -> DataFrame:
     )
 
 
-def results(submissions: DataFrame, tasks: DataFrame, students: DataFrame) -> DataFrame:
-    """submission ⋈ task ⋈ student as result rows."""
+def results(submissions: DataFrame, tasks: DataFrame, students: DataFrame, order=()) -> DataFrame:
+    """submission ⋈ task ⋈ student as result rows, sorted by ``order`` (columns of the submission, and teacher_id).
+
+    The derived URLs are added after sorting and are not shuffled.
+    """
     t = tasks.select(F.col("id").alias("task_id"), "teacher_id", F.col("title").alias("task_title"))
     s = students.select(F.col("id").alias("student_id"), F.col("full_name").alias("student_full_name"))
-    return result_row(submissions.join(t, "task_id").join(s, "student_id"))
+    rows = submissions.join(t, "task_id").join(s, "student_id")
+    return result_row(rows.orderBy(*order) if order else rows)
 
 
 def students_of(students: DataFrame, teachers: DataFrame | None = None) -> DataFrame:
@@ -40,8 +44,8 @@ def students_of(students: DataFrame, teachers: DataFrame | None = None) -> DataF
 
 def teacher_results(submissions, tasks, students, teachers=None) -> DataFrame:
     """Newest first within each teacher; the id breaks ties."""
-    rows = results(submissions, _scoped(tasks, teachers, "teacher_id"), students)
-    return rows.orderBy("teacher_id", F.desc("created_at"), F.desc("submission_id"))
+    return results(submissions, _scoped(tasks, teachers, "teacher_id"), students,
+                   ["teacher_id", F.desc("created_at"), F.desc("id")])
 
 
 def teacher_task_results(submissions, tasks, students, wanted=None) -> DataFrame:
@@ -52,8 +56,7 @@ def teacher_task_results(submissions, tasks, students, wanted=None) -> DataFrame
     if wanted is not None:
         keys = wanted.select("teacher_id", F.col("task_id").alias("id")).distinct()
         tasks = tasks.join(keys, ["teacher_id", "id"], "left_semi")
-    return results(submissions, tasks, students).orderBy(
-        "teacher_id", "task_id", "student_id", "attempt_number", "submission_id")
+    return results(submissions, tasks, students, ["teacher_id", "task_id", "student_id", "attempt_number", "id"])
 
 
 def teacher_student_results(submissions, tasks, students, wanted=None) -> DataFrame:
@@ -74,21 +77,22 @@ def teacher_result_lookup(submissions, tasks, students, asks) -> DataFrame:
 
 
 def student_results(submissions, tasks, students, wanted=None) -> DataFrame:
-    rows = results(_scoped(submissions, wanted, "student_id"), tasks, students)
-    return rows.orderBy("student_id", F.desc("created_at"), F.desc("submission_id"))
+    return results(_scoped(submissions, wanted, "student_id"), tasks, students,
+                   ["student_id", F.desc("created_at"), F.desc("id")])
 
 
 def student_task_results(submissions, tasks, students, wanted=None) -> DataFrame:
     if wanted is not None:
         submissions = submissions.join(
             wanted.select("student_id", "task_id").distinct(), ["student_id", "task_id"], "left_semi")
-    return results(submissions, tasks, students).orderBy(
-        "student_id", "task_id", "attempt_number", "submission_id")
+    return results(submissions, tasks, students, ["student_id", "task_id", "attempt_number", "id"])
 
 
 def student_result_lookup(submissions, tasks, students, asks) -> DataFrame:
-    return results(submissions, tasks, students).join(
-        asks.select("submission_id", "student_id").distinct(), ["submission_id", "student_id"], "left_semi")
+    """Results by (submission_id, student_id), looked up before titles, names and URLs are added."""
+    asked = asks.select(F.col("submission_id").alias("id"), "student_id")
+    found = results(submissions.join(asked, ["id", "student_id"], "left_semi"), tasks, students)
+    return found.select("submission_id", "student_id", *[n for n in found.columns if n not in ("submission_id", "student_id")])
 
 
 def student_submissions(submissions, wanted=None) -> DataFrame:
