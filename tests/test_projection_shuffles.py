@@ -66,3 +66,9 @@ def test_masks_cleaned_from_runs_equal_those_from_cells(spark):
     want = M.close_runs(M.drop_small_runs(M.to_runs(inner), least, size), size, 3)
     rows = lambda df: sorted(tuple(r) for r in df.select("mask_id", "y", "s", "e").collect())
     assert rows(got) == rows(want) and len({r[0] for r in rows(got)}) == 2
+
+
+def test_a_page_given_twice_is_one(spark):
+    dims = spark.createDataFrame([(7, 300, 240)] * 2 + [(8, 300, 240)], "drawing_id long, w int, h int")
+    cuts = spark.createDataFrame([(7, 124), (7, 124), (7, 139), (8, 124), (None, 124)], "drawing_id long, ycut int")
+    assert sorted((r.drawing_id, r.ycut) for r in V.mask_pages(cuts, dims).collect()) == [(7, 124), (7, 139), (8, 124)]
