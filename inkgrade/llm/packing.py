@@ -31,59 +31,56 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^\sa-zß
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Bytes of remembered chunks and parts, about, with what Python needs to hold one.
 _CACHE_BYTES, _ENTRY_BYTES = 300_000_000, 150
-#: A tokenizer splits as ``_PARTS`` does if it gives the ids of this text chunk by chunk.
-_PROBE = "It's THE word's don't 12 3a4 we'll \"(Über)\" naïve... x--y ¡no! e-mail@a.b/c ÀÉ ß's 5%,6 a_b 'tis &c."
+#: The letters and signs of plain chunks, lower-cased.
+_PLAIN_SIGNS = [chr(i) for i in range(0x21, 0x100) if _PLAIN.fullmatch(chr(i)) and chr(i) == chr(i).lower()]
+#: A tokenizer splits and writes as ``WordIds`` does if it gives the ids of this text chunk by chunk.
+_PROBE = "It's THE word's don't 12 3a4 we'll \"(Über)\" naïve... x--y ¡no! e-mail@a.b/c ÀÉ ß's 5%,6 a_b 'tis &c. " + " ".join(_PLAIN_SIGNS)
 
 
-class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, remembered by word.
+class WordIds(dict):
+    """Token ids of texts as little-endian unsigned 32-bit bytes, remembered by chunk (white space parts chunks).
 
-    The vocabulary drops white space and never merges across it, so the ids of a text are those of its chunks. New
-    chunks are split into the vocabulary's parts (letters, single digits, others) and new parts are encoded in one
-    call, where every part ends with the only token that closes a word. A tokenizer that splits otherwise, as a probe
-    shows, encodes whole texts.
+    The vocabulary drops white space and never merges across it, so the ids of a text are those of its chunks. A new
+    chunk is split into the vocabulary's parts (letters, single digits, others), which the tokenizer's model encodes one
+    by one, written as its pre-tokenizer writes them; normalizing and splitting again would take most of the time. A
+    tokenizer that splits or writes otherwise, as a probe shows, encodes whole texts.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.held = 0
         self.by_chunks = True
+        before = self.tokenizer.pre_tokenizer
+        written = {} if before is None else {c: before.pre_tokenize_str(c) for c in _PLAIN_SIGNS}
+        self.written = {ord(c): "".join(part for part, _ in parts) for c, parts in written.items()}
+        self.tokens = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.by_chunks = self(_PROBE) == self._encode(_PROBE)
+        self.clear()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        chunks, parts = self.chunks, self.parts
-        split = {}
-        for chunk in new:
-            if not _PLAIN.fullmatch(chunk):
-                chunks[chunk] = self._encode(chunk)
-            elif chunk.isalpha():
-                split[chunk] = (chunk.lower(),)
-            else:
-                split[chunk] = _PARTS.findall(chunk.lower())
-        fresh = list({p for found in split.values() for p in found if p not in parts})
-        for at in range(0, len(fresh), 500):
-            some = fresh[at:at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                raw, start = ids.tobytes(), 0
-                for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                    parts[part] = raw[start:end]
-                    start = end
-            else:
-                parts |= {p: self._encode(p) for p in some}
-        for chunk, found in split.items():
-            chunks[chunk] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
-        self.held += sum(map(len, new)) + 2 * sum(map(len, fresh)) + _ENTRY_BYTES * (len(new) + len(fresh))
+    def __missing__(self, chunk: str) -> bytes:
+        """The ids of a new chunk or part, which are remembered."""
+        if self.held > _CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        letters, latin = chunk.isalpha(), chunk.isascii()
+        if not (letters and latin or _PLAIN.fullmatch(chunk)):
+            ids = self._encode(chunk)
+        elif (lower := chunk.lower()) != chunk:
+            ids = self[lower]
+        elif letters or len(parts := _PARTS.findall(chunk)) == 1:
+            id_bytes = self.id_bytes
+            ids = b"".join([id_bytes[t.id] for t in self.tokens(chunk if latin else chunk.translate(self.written))])
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self.held += len(chunk) + len(ids) + _ENTRY_BYTES
+        self[chunk] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if not self.by_chunks:
@@ -92,14 +89,7 @@ class WordIds:
             text = text.lower()
         elif _SEPARATORS.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return self._encode(text)
-        chunks = text.split()
-        new = [c for c in set(chunks) if c not in self.chunks]
-        if new:
-            if self.held > _CACHE_BYTES:
-                self.chunks, self.parts, self.held = {}, {}, 0
-                new = list(set(chunks))
-            self._learn(new)
-        return b"".join([self.chunks[c] for c in chunks])
+        return b"".join([self[c] for c in text.split()])
 
 
 _LOADED: dict[str, WordIds] = {}

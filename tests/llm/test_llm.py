@@ -376,3 +376,14 @@ def test_pipeline(spark, documents):
     want = {r["doc_id"] for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, DIR)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == want
+
+
+def test_new_words_need_the_model_only(monkeypatch):
+    """Plain words never pass through the normalizer again, and a cache that overflows within a text loses nothing."""
+    ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain, ids.tokenizer = ids.tokenizer, None
+    text = " ".join([*packing._PLAIN_SIGNS, "Übergrößen,", "l'été", "(naïve)", "don't", "ÀÉ9x", "the", "THE", "the--The"])
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 400)
+    for _ in range(2):
+        assert np.frombuffer(ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(ids) < 10
