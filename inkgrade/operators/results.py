@@ -8,7 +8,9 @@ splitting for popular tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from inkgrade.functions.text import to_upload_url
 
@@ -122,13 +124,29 @@ def teacher_task_submissions(submissions, tasks, wanted=None) -> DataFrame:
     return rows.orderBy("teacher_id", "task_id", "student_id", "attempt_number", "id")
 
 
-def submission_lookup(submissions, tasks, asks, scope: str) -> DataFrame:
-    """Each ask with whether its submission was found in scope (``teacher`` or ``student``)."""
-    key = f"{scope}_id"
-    rows = _owned(submissions, tasks) if scope == "teacher" else submissions
-    hits = rows.select(F.col("id").alias("submission_id"), key, "status", F.lit(True).alias("hit"))
-    return asks.join(hits, ["submission_id", key], "left").select(
-        "submission_id", key, "status", F.coalesce("hit", F.lit(False)).alias("found"))
+def submission_lookup(submissions, tasks, asks, scope: str | None = None) -> DataFrame:
+    """Each ask with whether its submission was found in scope (``teacher`` or ``student``).
+
+    Asks of one ``scope``, or a dict of the asks by scope; rows of a dict also have their ``scope``, and null for the other
+    scope's id. Submissions are shuffled once, by id, for all scopes.
+    """
+    if scope is not None:
+        return submission_lookup(submissions, tasks, {scope: asks}).select("submission_id", f"{scope}_id", "status", "found")
+    ids = {"teacher": F.col("teacher_id"), "student": F.col("student_id")}
+    asked = reduce(DataFrame.unionByName, [
+        a.select("submission_id", F.lit(s == "teacher").alias("_owner"), *[(ids[k] if k == s else F.lit(None)).alias(f"{k}_id") for k in ids])
+        for s, a in asks.items()])
+    # a task given twice is found twice by its teachers, but makes no second submission for a student
+    first = F.row_number().over(Window.partitionBy("id").orderBy("teacher_id")) == 1
+    own = tasks.select(F.col("id").alias("task_id"), F.col("teacher_id").alias("_teacher"), first.alias("_first"))
+    hits = submissions.join(own, "task_id", "left").select(
+        F.col("id").alias("_id"), "_teacher", F.coalesce("_first", F.lit(True)).alias("_first"),
+        F.col("student_id").alias("_student"), "status")
+    teacher, student = ids["teacher"] == F.col("_teacher"), F.col("_first") & (ids["student"] == F.col("_student"))
+    within = F.when(F.col("_owner"), teacher).otherwise(student)
+    return asked.join(hits, (F.col("submission_id") == F.col("_id")) & within, "left").select(
+        "submission_id", F.when(F.col("_owner"), "teacher").otherwise("student").alias("scope"), *[f"{k}_id" for k in ids],
+        "status", F.col("_id").isNotNull().alias("found"))
 
 
 def tasks_for_student(tasks, assignments, wanted=None) -> DataFrame:

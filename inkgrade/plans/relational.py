@@ -149,10 +149,9 @@ FROM {teacher_asks} a LEFT JOIN (SELECT x.id, x.status, t.teacher_id FROM {submi
 UNION ALL SELECT a.submission_id, 'student', a.student_id, x.status, x.id IS NOT NULL
 FROM {student_asks} a LEFT JOIN {submissions} x ON x.id = a.submission_id AND x.student_id = a.student_id""")
 def _(t):
-    def side(asks, scope):
-        return R.submission_lookup(t.submissions, t.tasks, asks, scope).select(
-            "submission_id", F.lit(scope).alias("scope"), F.col(f"{scope}_id").cast("bigint").alias("scope_id"), "status", "found")
-    return side(t.teacher_asks, "teacher").unionByName(side(t.student_asks, "student"))
+    rows = R.submission_lookup(t.submissions, t.tasks, {"teacher": t.teacher_asks, "student": t.student_asks})
+    scope_id = F.when(F.col("scope") == "teacher", F.col("teacher_id").cast("bigint")).otherwise(F.col("student_id").cast("bigint"))
+    return rows.select("submission_id", "scope", scope_id.alias("scope_id"), "status", "found")
 
 
 @query("tasks_for_student", "SELECT a.student_id, t.* FROM {task_assignments} a JOIN {tasks} t ON t.id = a.task_id WHERE t.is_active")
