@@ -52,10 +52,11 @@ v AS (SELECT a.drawing_id, a.role, s.bin, CASE WHEN sum(coalesce(b.k, 0)) OVER (
   FROM a CROSS JOIN (SELECT unnest(range(18)) AS bin) s LEFT JOIN b ON b.drawing_id = a.drawing_id AND b.role = a.role AND b.bin = s.bin)
 SELECT p.drawing_id, round(sum(p.x * q.x) / (sqrt(sum(p.x * p.x)) * sqrt(sum(q.x * q.x)) + 1e-9), 6) AS similarity FROM v p JOIN v q ON p.drawing_id = q.drawing_id AND p.bin = q.bin AND p.role = 'front' AND q.role = 'top' GROUP BY p.drawing_id""")
 def _(t):
-    h = S.angle_hist(t.segments, keys=["drawing_id", "role"])
-    a = h.filter("role = 'front'").select("drawing_id", c("hist").alias("a"))
-    b = h.filter("role = 'top'").select("drawing_id", c("hist").alias("b"))
-    return a.join(b, "drawing_id").select("drawing_id", F.round(cosine_sim(c("a"), c("b")), 6).alias("similarity"))
+    # one histogram per drawing and role, so both roles meet in a grouping instead of a join of two scans
+    h = S.angle_hist(t.segments.filter("role IN ('front', 'top')"), keys=["drawing_id", "role"])
+    of = lambda role: F.max(F.when(c("role") == role, c("hist")))
+    both = h.groupBy("drawing_id").agg(of("front").alias("a"), of("top").alias("b")).filter("drawing_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
+    return both.select("drawing_id", F.round(cosine_sim(c("a"), c("b")), 6).alias("similarity"))
 
 
 @query("orientation_ratios", f"""WITH f AS (SELECT *, ac <= 12 OR ac >= 78 AS p_hv, ac BETWEEN 18 AND 72 AS p_d, ang <= 12 OR ang >= 168 OR ang BETWEEN 78 AND 102 AS v_hv, ang BETWEEN 18 AND 72 OR ang BETWEEN 108 AND 162 AS v_d,
