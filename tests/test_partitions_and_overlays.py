@@ -1,6 +1,7 @@
 """Shuffle partitions follow the size of the tables; overlays shuffle runs once, before they are widened."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgrade.operators import cells as M
 from inkgrade.plans import catalog
@@ -31,6 +32,31 @@ def test_partitions_grow_with_the_tables(spark, tmp_path, settings, monkeypatch)
     assert int(spark.conf.get(catalog.SHUFFLE_PARTITIONS)) == raised
 
 
+def test_joined_partitions_stay_small(spark, tmp_path, settings):
+    """About 6 MB of shuffled rows: at most 2 MB of them meet in a task, however few tasks would do."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    for name, (default, _) in catalog.PIECES.items():
+        spark.conf.set(name, default)
+    spark.conf.set(catalog.SHUFFLE_PARTITIONS, "40")
+    try:
+        spark.range(150000).selectExpr("id AS o_orderkey", "uuid() AS o_comment").write.parquet(f"{tmp_path}/orders.parquet")
+        orders = catalog.Tables(spark, str(tmp_path)).orders
+        parts = orders.groupBy("o_orderkey").agg(F.max("o_comment").alias("o_comment")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", before)
+    assert 3 <= parts < 40
+
+
+def test_partitions_suit_a_task(spark, tmp_path, settings):
+    """A shuffle partition for every MB of the tables read."""
+    spark.conf.set(catalog.SHUFFLE_PARTITIONS, "1")
+    spark.range(150000).selectExpr("id AS o_orderkey", "uuid() AS o_comment").coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/orders.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "orders.parquet").glob("*.parquet"))
+    assert catalog.Tables(spark, str(tmp_path)).orders.count() == 150000
+    assert int(spark.conf.get(catalog.SHUFFLE_PARTITIONS)) == -(-size // (1 << 20)) > 4
+
+
 def test_a_band_never_leaves_the_task_of_its_mask(spark):
     runs = spark.createDataFrame([(1, 0, 2, 4), (1, 5, 0, 9), (2, 3, 3, 4)], "mask_id long, y int, s int, e int")
     dims = spark.createDataFrame([(1, 6, 9), (2, 5, 5)], "mask_id long, h int, w int")
