@@ -32,14 +32,14 @@ def _drain(t: Tables, df: DataFrame) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-@query("stream_admission", ORACLES_RAW["admit_submissions"])
+@query("stream_admission", ORACLES_RAW["admit_submissions"], flat=True)
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", U.ROCKSDB)
     requests = _submissions(t).select("id", "task_id", "student_id", "uploaded_file_path", "created_at")
     return _drain(t, U.stream_admission(requests, t.tasks, t.task_assignments))
 
 
-@query("stream_admission_stored", ORACLES_RAW["admit_submissions_stored"])
+@query("stream_admission_stored", ORACLES_RAW["admit_submissions_stored"], flat=True)
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", U.ROCKSDB)
     arriving = c("created_at") >= F.lit("1996-01-01").cast("timestamp_ntz")
@@ -62,7 +62,8 @@ def _(t):
 
 
 @query("stream_drawing_intake", r"""SELECT DISTINCT uploaded_file_path AS path, lower(regexp_extract(uploaded_file_path, '[^/\\](\.[^./\\]+)$', 1)) AS suffix
-FROM {submissions} WHERE lower(regexp_extract(uploaded_file_path, '[^/\\](\.[^./\\]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.pdf')""")
+FROM {submissions} WHERE lower(regexp_extract(uploaded_file_path, '[^/\\](\.[^./\\]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.pdf')""", flat=True)
 def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", U.ROCKSDB)  # paths are kept on disk, not in memory
     files = _submissions(t).select(c("uploaded_file_path").alias("path"), "created_at")
     return _drain(t, U.stream_drawing_intake(files, "path", "created_at", "3650 days")).select("path", "suffix")
