@@ -113,7 +113,7 @@ def _(t):
     return R.student_results(t.submissions, t.tasks, t.students)
 
 
-@query("student_task_results", RESULT_SQL + " JOIN (SELECT DISTINCT task_id, student_id FROM {task_assignments}) a ON a.task_id = x.task_id AND a.student_id = x.student_id")
+@query("student_task_results", RESULT_SQL + " JOIN (SELECT DISTINCT task_id, student_id FROM {task_assignments}) a ON a.task_id = x.task_id AND a.student_id = x.student_id", flat=True)
 def _(t):
     return R.student_task_results(t.submissions, t.tasks, t.students, t.task_assignments)
 
