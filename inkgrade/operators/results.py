@@ -123,10 +123,10 @@ def student_submissions(submissions, wanted=None) -> DataFrame:
 
 
 def student_task_submissions(submissions, wanted=None) -> DataFrame:
-    if wanted is not None:
-        submissions = submissions.join(
-            wanted.select("student_id", "task_id").distinct(), ["student_id", "task_id"], "left_semi")
-    return submissions.orderBy("student_id", "task_id", "attempt_number", "id")
+    if wanted is None:
+        return submissions.orderBy("student_id", "task_id", "attempt_number", "id")
+    rows = _dealt_by_pair(submissions, wanted.select("student_id", "task_id").distinct()).drop("_found")
+    return rows.select("student_id", "task_id", *[n for n in rows.columns if n not in ("student_id", "task_id")])
 
 
 def _owned(submissions, tasks, teachers=None) -> DataFrame:

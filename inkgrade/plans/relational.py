@@ -128,7 +128,7 @@ def _(t):
     return R.student_submissions(t.submissions)
 
 
-@query("student_task_submissions", "SELECT x.* FROM {submissions} x SEMI JOIN {task_assignments} a ON a.task_id = x.task_id AND a.student_id = x.student_id")
+@query("student_task_submissions", "SELECT x.* FROM {submissions} x SEMI JOIN {task_assignments} a ON a.task_id = x.task_id AND a.student_id = x.student_id", flat=True)
 def _(t):
     return R.student_task_submissions(t.submissions, t.task_assignments)
 

@@ -45,6 +45,15 @@ def _wide_shuffles(df):
     return sum("Exchange" in a and "uploaded_file_path" in "".join(lines[i + 1:i + 3]) for i, a in enumerate(lines))
 
 
+def test_submissions_of_pairs(world, wanted):
+    subs, *_ = world
+    out = R.student_task_submissions(subs, wanted)
+    want = subs.join(wanted.distinct(), ["student_id", "task_id"], "left_semi").orderBy("student_id", "task_id", "attempt_number", "id")
+    assert out.dtypes == want.dtypes and out.collect() == want.collect() and want.count() == 7
+    plan = _plan(out)
+    assert len(re.findall("Exchange rangepartitioning", plan)) == 1 and "LeftSemi" not in plan
+
+
 def test_results_of_pairs(world, wanted):
     subs, tasks, students = world
     out = R.student_task_results(subs, tasks, students, wanted)
@@ -57,7 +66,7 @@ def test_results_of_pairs(world, wanted):
     assert len(re.findall("Exchange rangepartitioning", _plan(out))) == 1 and _wide_shuffles(out) == 1
 
 
-@pytest.mark.parametrize("name", ["student_task_results"])
+@pytest.mark.parametrize("name", ["student_task_results", "student_task_submissions"])
 def test_they_take_larger_partitions(spark, name, monkeypatch):
     seen = []
 
