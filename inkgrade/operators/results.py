@@ -91,9 +91,13 @@ def teacher_student_results(submissions, tasks, students, wanted=None) -> DataFr
 
 
 def teacher_result_lookup(submissions, tasks, students, asks) -> DataFrame:
-    """Results by (submission_id, teacher_id) within the teacher's scope."""
-    return results(submissions, tasks, students).join(
-        asks.select("submission_id", "teacher_id").distinct(), ["submission_id", "teacher_id"], "left_semi")
+    """Results by (submission_id, teacher_id) within the teacher's scope, looked up before titles, names and URLs are added."""
+    owned = tasks.select(F.col("id").alias("task_id"), "teacher_id", F.col("title").alias("task_title"))
+    asked = asks.select(F.col("submission_id").alias("id"), "teacher_id")
+    found = submissions.join(owned, "task_id").join(asked, ["id", "teacher_id"], "left_semi")
+    named = students.select(F.col("id").alias("student_id"), F.col("full_name").alias("student_full_name"))
+    rows = result_row(found.join(named, "student_id"))
+    return rows.select("submission_id", "teacher_id", *[n for n in rows.columns if n not in ("submission_id", "teacher_id")])
 
 
 def student_results(submissions, tasks, students, wanted=None) -> DataFrame:

@@ -103,7 +103,7 @@ def _(t):
     return R.teacher_student_results(t.submissions, t.tasks, t.students)
 
 
-@query("teacher_result_lookup", RESULT_SQL + " SEMI JOIN {teacher_asks} a ON a.submission_id = x.id AND a.teacher_id = t.teacher_id")
+@query("teacher_result_lookup", RESULT_SQL + " SEMI JOIN {teacher_asks} a ON a.submission_id = x.id AND a.teacher_id = t.teacher_id", flat=True)
 def _(t):
     return R.teacher_result_lookup(t.submissions, t.tasks, t.students, t.teacher_asks)
 

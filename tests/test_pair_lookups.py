@@ -66,7 +66,18 @@ def test_results_of_pairs(world, wanted):
     assert len(re.findall("Exchange rangepartitioning", _plan(out))) == 1 and _wide_shuffles(out) == 1
 
 
-@pytest.mark.parametrize("name", ["student_task_results", "student_task_submissions"])
+def test_teacher_lookup_precedes_names(spark, world):
+    asks = spark.createDataFrame([("a", 1), ("a", 1), ("c", 2), ("c", 3), ("c", 1), ("h", 2), ("g", 1), (None, 1)], "submission_id string, teacher_id int")
+    out = R.teacher_result_lookup(*world, asks)
+    text = _plan(out)
+    assert len(re.findall("Join.*Inner", text[:text.index("LeftSemi")])) == 1  # names are joined to what was found
+    want = R.results(*world).join(asks.distinct(), ["submission_id", "teacher_id"], "left_semi")
+    assert out.dtypes == want.dtypes
+    key = lambda r: str(tuple(r))
+    assert sorted(out.collect(), key=key) == sorted(want.collect(), key=key) and len(want.collect()) == 6
+
+
+@pytest.mark.parametrize("name", ["student_task_results", "student_task_submissions", "teacher_result_lookup"])
 def test_they_take_larger_partitions(spark, name, monkeypatch):
     seen = []
 
