@@ -118,7 +118,7 @@ def _(t):
     return R.student_task_results(t.submissions, t.tasks, t.students, t.task_assignments)
 
 
-@query("student_result_lookup", RESULT_SQL + " SEMI JOIN {student_asks} a ON a.submission_id = x.id AND a.student_id = x.student_id")
+@query("student_result_lookup", RESULT_SQL + " SEMI JOIN {student_asks} a ON a.submission_id = x.id AND a.student_id = x.student_id", flat=True)
 def _(t):
     return R.student_result_lookup(t.submissions, t.tasks, t.students, t.student_asks)
 

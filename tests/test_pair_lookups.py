@@ -77,7 +77,8 @@ def test_teacher_lookup_precedes_names(spark, world):
     assert sorted(out.collect(), key=key) == sorted(want.collect(), key=key) and len(want.collect()) == 6
 
 
-@pytest.mark.parametrize("name", ["student_task_results", "student_task_submissions", "teacher_result_lookup"])
+@pytest.mark.parametrize("name", [
+    "student_task_results", "student_task_submissions", "student_result_lookup", "teacher_result_lookup"])
 def test_they_take_larger_partitions(spark, name, monkeypatch):
     seen = []
 
