@@ -78,7 +78,7 @@ def test_teacher_lookup_precedes_names(spark, world):
 
 
 @pytest.mark.parametrize("name", [
-    "student_task_results", "student_task_submissions", "student_result_lookup", "teacher_result_lookup"])
+    "student_task_results", "student_task_submissions", "student_result_lookup", "teacher_result_lookup", "evaluate_optional_batch"])
 def test_they_take_larger_partitions(spark, name, monkeypatch):
     seen = []
 
